@@ -1,7 +1,7 @@
 """The queries ``opN_<name>`` and their DuckDB equivalents."""
 
-from . import quality
+from . import licenses, quality, urlfilter
 
-_MODULES = [quality]
+_MODULES = [licenses, quality, urlfilter]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
