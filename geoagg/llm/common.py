@@ -49,10 +49,13 @@ def drop_scratch(spark: SparkSession, *paths: str) -> None:
         _remove(spark, p.rpartition("/")[0])
 
 
-def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared scratch folder and read again: cuts lineage, survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: cuts lineage, survives lost executors.
+
+    ``files``: for tables whose size does not follow the number of documents, the number of files at most.
+    """
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -147,3 +150,42 @@ def byte_texts(column: Iterable) -> list[bytes | None]:
     import pyarrow as pa
 
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def text_chunks(batches: Iterable, column: str = "text", budget: int = 4 << 20) -> Iterable:
+    """(slice of the record batch, its texts as bytes) of about ``budget`` bytes, so that word lists stay small."""
+    for batch in batches:
+        texts = byte_texts(batch.column(batch.schema.get_field_index(column)))
+        at = size = 0
+        for i, t in enumerate(texts):
+            size += len(t or b"") + 64
+            if size >= budget:
+                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
+                at, size = i + 1, 0
+        if at < len(texts):
+            yield batch.slice(at), texts[at:]
+
+
+def extended(batch, arrays: list, schema, drop: tuple[str, ...] = ()):
+    """``batch`` without the columns ``drop``, with ``arrays`` appended, as a record batch of the Arrow ``schema``."""
+    import pyarrow as pa
+
+    kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n not in drop]
+    columns = [c.cast(f.type) if c.type != f.type else c for c, f in zip([*kept, *arrays], schema, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def arrow_schema(fields: str | list, like: DataFrame | None = None, drop: tuple[str, ...] = ()):
+    """(Spark schema, Arrow schema) of ``like`` without ``drop`` and then ``fields`` (a DDL string)."""
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    own = [f for f in like.schema.fields if f.name not in drop] if like is not None else []
+    spark_schema = T.StructType([*own, *T.StructType.fromDDL(fields).fields])
+    spark_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in spark_schema.fields])
+    return spark_schema, to_arrow_schema(spark_schema)
+
+
+def from_batches(df: DataFrame, f: Callable, schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)``."""
+    return df.mapInArrow(f, schema)

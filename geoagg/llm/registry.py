@@ -1,7 +1,7 @@
 """The queries ``opN_<name>`` and their DuckDB equivalents."""
 
-from . import licenses, mixing, quality, urlfilter
+from . import decontam, licenses, mixing, quality, urlfilter
 
-_MODULES = [mixing, licenses, quality, urlfilter]
+_MODULES = [mixing, licenses, quality, urlfilter, decontam]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
