@@ -128,7 +128,7 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
 def quality_filter(docs: DataFrame, spread: float = 3.0, min_group: int = 100) -> DataFrame:
     """The documents of ``docs`` that pass, with the columns of ``docs``. Two passes over the texts, none is stored."""
     spark = docs.sparkSession
-    limits = stored(spark, thresholds(stored(spark, sketch(with_counts(docs.select("text", "lang", "source"))), "sketches"), spread, min_group), "limits")
+    limits = stored(spark, thresholds(stored(spark, sketch(with_counts(docs.select("text", "lang", "source"))), "sketches", 4), spread, min_group), "limits", 1)
     names = docs.columns
     kept = judged(with_counts(docs.select(F.struct(*names).alias("_doc"), "text", "lang", "source")), limits).filter("kept")
     return kept.select("_doc.*")
@@ -138,7 +138,7 @@ def quality_report(docs: DataFrame, spread: float = 3.0, min_group: int = 100) -
     """One row a document: doc_id, the five counts, the metrics with their upper bounds, base_failed, kept."""
     spark = docs.sparkSession
     counted = stored(spark, with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "counted")
-    limits = stored(spark, thresholds(stored(spark, sketch(counted), "sketches"), spread, min_group), "limits")
+    limits = stored(spark, thresholds(stored(spark, sketch(counted), "sketches", 4), spread, min_group), "limits", 1)
     return judged(counted, limits).select("doc_id", *COUNTS, *METRICS, *[f"upper_{k}" for k in METRICS], "base_failed", "kept")
 
 
