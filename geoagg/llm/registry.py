@@ -1,7 +1,7 @@
 """The queries ``opN_<name>`` and their DuckDB equivalents."""
 
-from . import decontam, jaccard, licenses, mixing, quality, urlfilter
+from . import decontam, jaccard, kneser_ney, licenses, mixing, quality, urlfilter
 
-_MODULES = [mixing, licenses, quality, urlfilter, jaccard, decontam]
+_MODULES = [mixing, licenses, quality, kneser_ney, urlfilter, jaccard, decontam]
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in _MODULES for k, v in m.ORACLE.items()}
