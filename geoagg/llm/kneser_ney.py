@@ -30,13 +30,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_schema, extended, from_batches, gram_hashes, mix, scratch, space_words, text_chunks
+from .common import HashedWords, arrow_schema, column_chunks, extended, from_batches, gram_hashes, scratch
 
 #: Tokens that a counting task holds before it hands its sums on.
 FLUSH = 4_000_000
 #: Text bytes scored at once.
 CHUNK = 8 << 20
-BEGIN, END = b" begin", b" end"  # no word contains a space
+#: Hashes of the two marks, taken at random.
+BEGIN, END = np.uint64(0x6B1F3C5D9E274A81), np.uint64(0xC3A5D7E912B4F608)
 
 
 # --- shared files ----------------------------------------------------------------------------------------------------
@@ -113,10 +114,17 @@ class Arrays:
 # --- counting --------------------------------------------------------------------------------------------------------
 
 
-def _tokens(texts: list, hashes: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``begin w1 .. wn end`` of all texts in a row, and each text's number of tokens with ``begin``."""
-    lists = [[BEGIN, *space_words(t), END] for t in texts]
-    return mix(hashes([w for x in lists for w in x])), np.array([len(x) for x in lists], np.int64)
+def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``begin w1 .. wn end`` of all texts of an Arrow column, and each text's number of tokens with ``begin``."""
+    words = HashedWords(texts, "space")
+    sizes = words.sizes + 2
+    stops = np.cumsum(sizes)
+    tokens = np.empty(int(stops[-1]) if len(stops) else 0, np.uint64)
+    inner = np.ones(len(tokens), bool)
+    inner[stops - sizes] = inner[stops - 1] = False
+    tokens[inner] = words.hashes
+    tokens[stops - sizes], tokens[stops - 1] = BEGIN, END
+    return tokens, sizes
 
 
 def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +168,9 @@ def _counts(docs: DataFrame, shards: int) -> DataFrame:
                 for i in range(0, len(rows), 256):
                     yield batch_of(rows[i : i + 256])
 
-        hashes, words, pairs, held = WordHash(), [], [], 0
-        for _, texts in text_chunks(batches):
-            t, sizes = _tokens(texts, hashes)
+        words, pairs, held = [], [], 0
+        for _, texts in column_chunks(batches):
+            t, sizes = _tokens(texts)
             words.append(t)
             pairs.append(_pairs(t, sizes)[0])
             held += len(t)
@@ -184,8 +192,6 @@ def _classes(c: np.ndarray) -> list[int]:
 
 def _merge_counts(rows: DataFrame, folder: str) -> DataFrame:
     """Writes the sorted arrays of each range; one row of sums a range."""
-    begin = int(mix(WordHash()([BEGIN]))[0])
-
     def merge(key, pdf):
         import pandas as pd
 
@@ -193,7 +199,7 @@ def _merge_counts(rows: DataFrame, folder: str) -> DataFrame:
         k, c = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"]]))
         _write(folder, f"{kind}-{shard}-keys", k)
         _write(folder, f"{kind}-{shard}-count", c.astype(np.uint32) if c.max(initial=0) >= 1 << 16 else c.astype(np.uint16) if c.max(initial=0) >= 256 else c.astype(np.uint8))
-        own = c[k != begin] if kind == "word" else c
+        own = c[k != BEGIN] if kind == "word" else c
         return pd.DataFrame([[kind, shard, len(own), float(own.sum()), *_classes(own)]], columns=[x.split()[0] for x in STATS.split(", ")])
 
     return rows.groupBy("kind", "shard").applyInPandas(merge, STATS)
@@ -213,11 +219,11 @@ def _contexts(docs: DataFrame, folder: str, shards: int) -> DataFrame:
                 own = rows[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), arrow, strict=True)], schema=arrow)
 
-        hashes, held, size = WordHash(), [], 0
+        held, size = [], 0
         counts = None
-        for _, texts in text_chunks(batches, budget=CHUNK):
+        for _, texts in column_chunks(batches, budget=CHUNK):
             counts = counts or Arrays(folder, "pair", shards, ("count",))
-            t, sizes = _tokens(texts, hashes)
+            t, sizes = _tokens(texts)
             pairs, first = _pairs(t, sizes)
             different, at = np.unique(pairs, return_inverse=True)
             c = counts(different)[0][at]
@@ -266,12 +272,12 @@ class Model:
         """A function: texts -> arrays of n_tokens, n_known, base_score, score."""
         words = Arrays(self.folder, "word", self.shards, ("count", "before", "n1", "n2", "n3"))
         pairs = Arrays(self.folder, "pair", self.shards, ("count",))
-        t, hashes = self.totals, WordHash()
+        t = self.totals
         d, e = np.array([0, *t["d"]]), np.array([0, *t["e"]])
         level = lambda c: np.minimum(c, 3).astype(np.int64)
 
         def score(texts):
-            tokens, sizes = _tokens(texts, hashes)
+            tokens, sizes = _tokens(texts)
             grams, first = _pairs(tokens, sizes)
             own, at = np.unique(tokens, return_inverse=True)
             count, before, n1, n2, n3 = words(own)
@@ -328,7 +334,7 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
         import pyarrow as pa
 
         scorer = None
-        for batch, texts in text_chunks(batches, budget=CHUNK):
+        for batch, texts in column_chunks(batches, budget=CHUNK):
             scorer = scorer or Model(folder, shards, totals).scorer()
             yield extended(batch, [pa.array(x) for x in scorer(texts)], arrow, drop)
 
