@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, schedule=SCHEDULE, max_repeats: i
         "capped": F.coalesce(F.sum(F.lit(max_repeats) * F.col("source_size")).over(before), F.lit(0)),
         "open": F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)),
     })
-    level = F.min(F.when((F.col("total") - F.col("capped")) <= F.col("ratio") * F.col("open"), (F.col("total") - F.col("capped")) / F.col("open"))).over(every)
+    # of the levels that leave the next cap unreached, the first in this order, which is the largest
+    level = F.max(F.when((F.col("total") - F.col("capped")) <= F.col("ratio") * F.col("open"), (F.col("total") - F.col("capped")) / F.col("open"))).over(every)
     t = t.withColumn("level", level)
     return t.select("source", "source_size", F.least(F.col("level") * F.col("weight"), (F.lit(max_repeats) * F.col("source_size")).cast("double")).alias("target"), "start", "stop")
 
@@ -130,7 +131,7 @@ s1 as (select *, [5e0, 2e0, 1e0][((row_number() over (order by source nulls last
 s2 as (select *, 3 * source_size / weight ratio, sum(source_size) over () total from s1),
 s3 as (select *, coalesce(sum(3 * source_size) over w, 0) capped, sum(weight) over () - coalesce(sum(weight) over w, 0) open_
   from s2 window w as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
-s4 as (select *, min(case when total - capped <= ratio * open_ then (total - capped) / open_ end) over () lvl from s3),
+s4 as (select *, max(case when total - capped <= ratio * open_ then (total - capped) / open_ end) over () lvl from s3),
 t as (select source, source_size, least(lvl * weight, 3e0 * source_size) target, a, b, (b - a) / 2 half from s4),
 j as (
   select doc_id, size, source_size, target, floor(target)::bigint goal, at_::bigint at_, a, half,
