@@ -40,8 +40,8 @@ def sweep(ids: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray, radi
     cx, cy = np.floor(x.astype(np.float64) / size).astype(np.int64), np.floor(y.astype(np.float64) / size).astype(np.int64)
     cells: dict[tuple[int, int], np.ndarray] = {}
     by_cell = np.lexsort((np.arange(len(ids)), cy, cx))
-    edges = np.flatnonzero(np.r_[True, (cx[by_cell][1:] != cx[by_cell][:-1]) | (cy[by_cell][1:] != cy[by_cell][:-1])]) if len(ids) else []
-    for a, b in zip(edges, [*edges[1:], len(ids)], strict=True):
+    edges = np.flatnonzero(np.r_[True, (cx[by_cell][1:] != cx[by_cell][:-1]) | (cy[by_cell][1:] != cy[by_cell][:-1])])[: len(ids)]
+    for a, b in zip(edges, [*edges[1:], len(ids)], strict=False):
         cells[(cx[by_cell[a]], cy[by_cell[a]])] = by_cell[a:b]
     seed = ids.copy()
     free = np.ones(len(ids), bool)
