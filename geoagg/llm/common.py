@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -43,10 +44,12 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
-    """Deletes scratch tables whose rows nothing reads any more."""
-    for p in paths:
-        _remove(spark, p.rpartition("/")[0])
+def drop_scratch(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing will read any more, and lets Spark drop the shuffle files behind them."""
+    for df in tables:
+        _remove(df.sparkSession, df._scratch)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -56,7 +59,9 @@ def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = No
     """
     path = scratch(spark, name)
     (df.coalesce(files) if files else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path.rpartition("/")[0]
+    return out
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -189,3 +194,77 @@ def arrow_schema(fields: str | list, like: DataFrame | None = None, drop: tuple[
 def from_batches(df: DataFrame, f: Callable, schema) -> DataFrame:
     """``df.mapInArrow(f, schema)``."""
     return df.mapInArrow(f, schema)
+
+
+_LOW_BYTES = np.array([0, *[(1 << 8 * k) - 1 for k in range(1, 9)]], np.uint64)
+_SPACED = bytes(32 if c in (9, 10, 11, 12, 13) else c + 32 if 65 <= c <= 90 else c for c in range(256))
+
+
+class HashedWords:
+    """The words of an Arrow string column as 64-bit hashes, without a Python object for each.
+
+    ``kind`` "space" cuts as ``space_words``, "alnum" as ``alnum_words``. ``hashes``: of all words in a row; ``sizes``: words of
+    each text. ``word(i)`` gives the bytes of one. Words over 256 bytes are hashed one by one.
+    """
+
+    def __init__(self, column, kind: str):
+        import pyarrow as pa
+
+        column = column.cast(pa.large_binary())
+        if column.null_count:
+            column = column.fill_null(b"")
+        offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+        first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
+        raw = memoryview(column.buffers()[2])[first : first + n] if n else b""
+        self._bytes = bytes(raw).translate(_SPACED if kind == "space" else _WORDS) + bytes(8)
+        at = offsets - first
+        inside = np.frombuffer(self._bytes, np.uint8, n) != 32
+        starts, stops = inside.copy(), inside.copy()
+        starts[1:] &= ~inside[:-1]
+        stops[:-1] &= ~inside[1:]
+        full = np.flatnonzero(at[1:] > at[:-1])  # texts that touch are cut where they meet
+        starts[at[:-1][full]] = inside[at[:-1][full]]
+        stops[at[1:][full] - 1] = inside[at[1:][full] - 1]
+        self.starts, self.stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
+        self.sizes = np.diff(np.searchsorted(self.starts, at))
+        self.hashes = self._hash(n)
+
+    def _hash(self, n: int) -> np.ndarray:
+        eight = np.ndarray((n + 1,), "<u8", self._bytes, strides=(1,))
+        length = self.stops - self.starts
+        with np.errstate(over="ignore"):
+            h = mix(mix(eight[self.starts] & _LOW_BYTES[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for k in range(1, 33):
+                long = np.flatnonzero(length > 8 * k)
+                if not len(long):
+                    return h
+                if k == 32:
+                    import xxhash
+
+                    for i in long.tolist():
+                        h[i] = xxhash.xxh3_64_intdigest(self.word(i))
+                    return h
+                v = eight[self.starts[long] + 8 * k] & _LOW_BYTES[np.minimum(length[long] - 8 * k, 8)]
+                h[long] = mix(h[long] * np.uint64(0xA24BAED4963EE407) + v)
+        return h
+
+    def word(self, i: int) -> bytes:
+        return self._bytes[self.starts[i] : self.stops[i]]
+
+
+def column_chunks(batches: Iterable, column: str = "text", budget: int = 4 << 20) -> Iterable:
+    """(slice of the record batch, its text column) of about ``budget`` bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        texts = batch.column(batch.schema.get_field_index(column))
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            done = size[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(size, done + budget, side="right")))
+            yield batch.slice(at, to - at), texts.slice(at, to - at)
+            at = to
