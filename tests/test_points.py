@@ -108,7 +108,7 @@ def test_bounds_and_filter_reach_the_scan(spark, tmp_path):
     assert tuple(index.dataset_bounds(df).first()) == (-10.0, -5.0, 10.0, 5.0)
     df.write.parquet(str(tmp_path / "p"))
     plan = viewport.viewport(spark.read.parquet(str(tmp_path / "p")), Bounds(-1, -1, 1, 1), 5)._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(lng" in plan
+    assert "IsNotNull(lng), IsNotNull(lat), GreaterThan(lng" in plan
 
 
 def test_summary_rules(spark):
