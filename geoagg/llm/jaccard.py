@@ -1,23 +1,28 @@
 """N-gram Jaccard join: components of documents whose shingle sets are similar, by a token-group matrix.
 
 A document's set is its distinct ``width``-word shingles (64-bit hashes). Two sets link when
-``100 * |A and B| >= percent * |A or B|``. Equal sets are one node (128-bit signature). Steps:
+``100 * |A and B| >= percent * |A or B|``. Equal sets are one node, named by a 64-bit signature of the set (two of n different
+sets share one with a chance of n * n / 2**65). Steps:
 
 1. Signatures: one row (doc_id, n, sig) a document. Copies meet here, in a partial aggregate, and nowhere later.
 2. Token order: counts of hashed tokens in a table of fixed size, summed over all documents; rare tokens come first, ties
    by hash. Any fixed order gives exact results, this one keeps common lines and passages out of the prefixes.
 3. Prefixes: linked sets share a token among the first ``n - ceil(percent * n / 100) + 1`` of each. Only tokens in the
    prefixes of two different sets matter further; what has none of these is linked to nothing.
-4. Groups: sets are linked with the leader (smallest size, then signature) of each of their tokens if the exact test
-   holds; the components of these links partition similar documents into groups. Leaders give as many pairs as there are
+   Sets with a frequent token in their prefix would meet in numbers that grow with its square. For these, frequent
+   tokens are replaced by segments: hashed into one more segment than linked sets of their size can differ in tokens, two
+   linked sets agree in a whole segment; its hash takes the place of a token. Sizes are dealt to classes so that linked
+   sets lie in the same or in adjoining ones.
+4. Groups: sets are linked with the leader (the most shared prefix) of each of their tokens if the exact test holds; the components of these links partition similar documents into groups. Leaders give as many pairs as there are
    prefix rows at most, never all pairs of a group.
 5. Token-group matrix: (token, group) rows with the group's range of sizes, and each group's token union as a bit map. A
-   set queries the groups of its tokens other than its own; sizes and the overlap bound ``|q| - bits of q missing in the
-   union`` discard most, and only groups that qualify are opened: their members are bounded in the same way and the rest
+   set queries the groups of its tokens that are larger than its own (ties by name); sizes and the overlap bound ``|q| - bits of q missing in the
+   union`` discard most (tokens of a prefix that no other prefix has count as missing at once), and only groups that qualify are opened: their members are bounded in the same way and the rest
    compared exactly. All links between groups share a prefix token, so none is lost.
 6. Components over both kinds of links by repeated minimum with pointer jumping; labels are tables, nothing is collected.
 
-Sets of tokens are kept only for sets that take part in a pair, selected by a bit table of fixed size.
+Pairs are first bounded by bit maps of their tokens, sizes included; full token sets are fetched, from the texts, only for
+pairs that pass, selected by a bit table of fixed size.
 
 Defined results: null or empty texts and texts without words have n_shingles 0 and are their own component; a text with
 fewer words than ``width`` has one shingle; rows with a null doc_id get the smallest doc_id of their component, or null;
@@ -30,47 +35,60 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, arrow_schema, from_batches, gram_hashes, mix, small, space_words, stored, text_chunks
+from .common import HashedWords, arrow_schema, column_chunks, drop_scratch, extended, from_batches, gram_hashes, mix, small, stored
 
 #: Bits of a set's or a group's token union.
 UNION_BITS = 2048
-#: Entries of the hashed token counts: about one for 32 tokens, within these powers of two.
-COUNT_BITS = (12, 24)
+#: Entries of the hashed token counts and of the bit table, as a power of two, and of one of their blocks.
+COUNT_BITS = 22
 BLOCK = 4096
+#: Prefix tokens in more sets than this are frequent.
+FREQUENT = 128
 
 
-def shingle_sets(texts: list, width: int, hashes: WordHash) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    words = [space_words(t) for t in texts]
-    flat = hashes([x for w in words for x in w])
+def shingle_sets(column, width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of an Arrow column."""
+    words = HashedWords(column, "space")
+    grams = gram_hashes(words.hashes, width)
     out, at = [], 0
-    for w in words:
-        h = flat[at : at + len(w)]
-        at += len(w)
-        out.append(np.unique(gram_hashes(h, min(width, len(w)))) if len(w) else h)
+    for n in words.sizes.tolist():
+        own = grams[at : at + n - width + 1].copy() if n >= width else gram_hashes(words.hashes[at : at + n], n) if n else grams[:0]
+        at += n
+        own.sort()
+        out.append(own[np.r_[True, own[1:] != own[:-1]]] if n > width else own)
     return out
 
 
-def signature(tokens: np.ndarray) -> bytes:
+def signature(tokens: np.ndarray) -> int:
     import xxhash
 
-    return xxhash.xxh3_128_digest(tokens.tobytes())
+    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
-def signed(docs: DataFrame, width: int, keep: tuple[str, ...] | None = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` (None: all) of ``docs`` with ``_n`` and ``_sig``, null for an empty set."""
+COUNT_ROWS = "_part int, _block int, _counts binary"
+
+
+def signed(docs: DataFrame, width: int, keep: tuple[str, ...] | None = None, bits: int = 0) -> DataFrame:
+    """The columns ``keep`` (None: all) of ``docs`` with ``_n`` and ``_sig``, null for an empty set.
+
+    With ``bits``, rows with a ``_block`` follow: each task's token counts, in a table of 2**bits entries.
+    """
     drop = tuple(c for c in docs.columns if keep is not None and c not in keep)
-    schema, arrow = arrow_schema("_n long, _sig binary", docs, drop)
+    schema, arrow = arrow_schema("_n long, _sig long" + f", {COUNT_ROWS}" * bool(bits), docs, drop)
 
     def sign(batches):
         import pyarrow as pa
 
-        from .common import extended
-
-        hashes = WordHash()
-        for batch, texts in text_chunks(batches):
-            sets = shingle_sets(texts, width, hashes)
-            yield extended(batch, [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.binary())], arrow, drop)
+        counts = Counts(bits) if bits else None
+        for batch, texts in column_chunks(batches):
+            sets = shingle_sets(texts, width)
+            if counts:
+                counts.add(np.concatenate(sets))
+            made = [pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) if len(s) else None for s in sets], pa.int64())]
+            yield extended(batch, made + ([pa.nulls(len(sets))] * 3 if bits else []), arrow, drop)
+        for rows in counts.rows() if counts else ():
+            nothing = [pa.nulls(len(rows[0]), f.type) for f in list(arrow)[:-3]]
+            yield pa.RecordBatch.from_arrays(nothing + rows, schema=arrow)
 
     return from_batches(docs, sign, schema)
 
@@ -78,84 +96,109 @@ def signed(docs: DataFrame, width: int, keep: tuple[str, ...] | None = ("doc_id"
 # --- tables of fixed size --------------------------------------------------------------------------------------------
 
 
-def summed(parts: DataFrame, bits: int) -> np.ndarray:
-    """Adds (block, counts) rows up, in two steps, to one byte an entry: exact below 64, then in steps of a twentieth."""
+class Counts:
+    """One task's counts of hashes."""
 
-    def add(key, pdf):
-        import pandas as pd
+    def __init__(self, bits: int):
+        self.total = np.zeros(1 << bits, np.uint32)
 
-        total = np.sum([np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"]], axis=0)
-        return pd.DataFrame({"block": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+    def add(self, hashes: np.ndarray) -> None:
+        at, c = np.unique((hashes & np.uint64(len(self.total) - 1)).astype(np.uint32), return_counts=True)
+        self.total[at] += c.astype(np.uint32)
 
-    schema = "block int, counts binary"
-    once = parts.groupBy("block", F.pmod(F.col("part"), F.lit(64)).alias("part")).applyInPandas(add, schema)
-    out = np.zeros(1 << bits, np.uint8)
-    for r in once.groupBy("block").applyInPandas(add, schema).toLocalIterator():
-        c = np.frombuffer(r["counts"], np.uint32)
-        with np.errstate(divide="ignore"):
-            steps = 64 + np.floor(np.log(np.maximum(c, 1) / 64.0) * 10)
-        out[r["block"] * len(c) : (r["block"] + 1) * len(c)] = np.where(c < 64, c, np.minimum(steps, 255)).astype(np.uint8)
-    return out
+    def rows(self):
+        """Column lists (part, block, counts) of the blocks that are not all zero."""
+        import pyarrow as pa
+        from pyspark import TaskContext
 
+        parts = np.minimum(self.total, 255).astype(np.uint8).reshape(-1, BLOCK)
+        blocks = np.flatnonzero(parts.any(axis=1))
+        for i in range(0, len(blocks), 256):
+            own = blocks[i : i + 256]
+            yield [pa.array(np.full(len(own), TaskContext.get().partitionId(), np.int32)), pa.array(own.astype(np.int32)), pa.array([_packed(parts[b]) for b in own], pa.binary())]
 
-def _count_rows(arrays, bits: int, arrow):
-    """Adds hash arrays up to one table of 2**bits counts; yields it as (part, block, counts) rows."""
-    import pyarrow as pa
-    from pyspark import TaskContext
 
-    total = np.zeros(1 << bits, np.uint32)
-    some = False
-    for a in arrays:
-        u, c = np.unique(a & np.uint64((1 << bits) - 1), return_counts=True)
-        total[u.astype(np.int64)] += c.astype(np.uint32)
-        some = True
-    size = min(BLOCK, 1 << bits)
-    blocks = [b for b in range(len(total) // size) if total[b * size : (b + 1) * size].any()] if some else []
-    for i in range(0, len(blocks), 64):
-        own = blocks[i : i + 64]
-        part = np.full(len(own), TaskContext.get().partitionId(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own, pa.int32()), pa.array([total[b * size : (b + 1) * size].tobytes() for b in own], pa.binary())], schema=arrow)
+def _packed(counts: np.ndarray) -> bytes:
+    """A block's counts up to 255: all of them, or places and counts where most are zero."""
+    at = np.flatnonzero(counts).astype(np.uint16)
+    return counts.tobytes() if 3 * len(at) >= BLOCK else at.tobytes() + counts[at].tobytes()
 
 
-def token_counts(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    schema, arrow = arrow_schema("part int, block int, counts binary")
+def _unpacked(x: bytes) -> np.ndarray:
+    if len(x) == BLOCK:
+        return np.frombuffer(x, np.uint8).astype(np.uint32)
+    n, out = len(x) // 3, np.zeros(BLOCK, np.uint32)
+    out[np.frombuffer(x, np.uint16, n)] = np.frombuffer(x, np.uint8, n, 2 * n)
+    return out
 
-    def count(batches):
-        hashes = WordHash()
-        yield from _count_rows((np.concatenate(s) for _, t in text_chunks(batches) if (s := shingle_sets(t, width, hashes))), bits, arrow)
 
-    return summed(from_batches(docs.select("text"), count, schema), bits)
+def summed(rows: DataFrame, bits: int) -> np.ndarray:
+    """All tasks' counts added up, in two steps, to one byte an entry: exact below 64, then in steps of a tenth."""
 
+    def adder(read):
+        def add(key, pdf):
+            import pandas as pd
 
-def _sig_hash(sigs: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(sigs), np.uint64)[::2] if sigs else np.empty(0, np.uint64)
+            total = np.zeros(BLOCK, np.uint64)
+            for x in pdf["_counts"]:
+                total += read(x)
+            return pd.DataFrame({"_block": [key[0]], "_counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
+        return add
 
-def membership(sigs: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each hash value that a signature in ``sigs.sig`` has: a filter without false negatives."""
-    schema, arrow = arrow_schema("part int, block int, counts binary")
+    schema = "_block int, _counts binary"
+    once = rows.groupBy("_block", F.pmod(F.xxhash64("_part"), F.lit(4)).alias("_part")).applyInPandas(adder(_unpacked), schema)
+    out = np.zeros(1 << bits, np.uint8)
+    for r in once.groupBy("_block").applyInPandas(adder(lambda x: np.frombuffer(x, np.uint32)), schema).toLocalIterator():
+        c = np.frombuffer(r["_counts"], np.uint32)
+        steps = 64 + np.floor(np.log(np.maximum(c, 1) / 64.0) * 10)
+        out[r["_block"] * BLOCK : (r["_block"] + 1) * BLOCK] = np.where(c < 64, c, np.minimum(steps, 255)).astype(np.uint8)
+    return out
+
+
+def membership(nodes: DataFrame, bits: int) -> np.ndarray:
+    """One bit for each hash that a value of ``nodes.sig`` has: a filter without false negatives."""
+    schema, arrow = arrow_schema(COUNT_ROWS)
 
     def count(batches):
-        yield from _count_rows((_sig_hash(b.column(0).to_pylist()) for b in batches), bits, arrow)
+        import pyarrow as pa
+
+        counts = Counts(bits)
+        for b in batches:
+            counts.add(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        for rows in counts.rows():
+            yield pa.RecordBatch.from_arrays(rows, schema=arrow)
 
-    return np.packbits(summed(from_batches(sigs.select("sig"), count, schema), bits) > 0)
+    return np.packbits(summed(from_batches(nodes.select("sig"), count, schema), bits) > 0)
 
 
 # --- prefixes and sets -----------------------------------------------------------------------------------------------
 
 
+def union_bits(tokens: np.ndarray) -> bytes:
+    flags = np.zeros(UNION_BITS, bool)
+    flags[(mix(tokens) % np.uint64(UNION_BITS)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
 def prefixes(docs: DataFrame, width: int, percent: int, counts) -> DataFrame:
-    """(token, sig, n): the prefix of each set. Copies within a partition give theirs once."""
-    schema, arrow = arrow_schema("token long, sig binary, n long")
+    """Rows (sig, lead, ord, n, bits) for each set and (sig, lead, ord, token) for each token of its prefix. A task gives copies once.
+
+    ``ord``: the token's place in the order of all tokens (its first 55 bits of hash), for a set that of its prefix's last.
+
+    ``lead``: mean rank of the prefix, then the first bits of the signature. What a set shares with many others ranks high,
+    so the set that a group of near copies derives from, which has few tokens of its own, has the group's largest value.
+    """
+    schema, arrow = arrow_schema("sig long, lead long, ord long, token long, n long, bits binary")
 
     def cut(batches):
         import pyarrow as pa
 
-        hashes, table, seen = WordHash(), counts.value, set()
+        table, seen = counts.value, set()
         mask = np.uint64(len(table) - 1)
-        for _, texts in text_chunks(batches):
-            tokens, sigs, sizes, lengths = [], [], [], []
-            for s in shingle_sets(texts, width, hashes):
+        for _, texts in column_chunks(batches):
+            tokens, orders, sigs, leads, sizes, bits = [], [], [], [], [], []
+            for s in shingle_sets(texts, width):
                 n = len(s)
                 if not n or (sig := signature(s)) in seen:
                     continue
@@ -166,48 +209,100 @@ def prefixes(docs: DataFrame, width: int, percent: int, counts) -> DataFrame:
                 # the p smallest by (rank, hash): the hashes are sorted already
                 cutoff = np.partition(rank, p - 1)[p - 1]
                 low = np.flatnonzero(rank < cutoff)
-                own = s[np.concatenate([low, np.flatnonzero(rank == cutoff)[: p - len(low)]])]
-                tokens.append(own)
+                own = np.concatenate([low, np.flatnonzero(rank == cutoff)[: p - len(low)]])
+                tokens.append(s[own])
+                orders.append((rank[own].astype(np.int64) << 55) + (s[own] >> np.uint64(9)).astype(np.int64))
                 sigs.append(sig)
+                leads.append((int(rank[own].mean()) << 55) + ((sig & (1 << 64) - 1) >> 9))
                 sizes.append(n)
-                lengths.append(len(own))
+                bits.append(union_bits(s))
             if tokens:
-                k = np.repeat(np.arange(len(sigs)), lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(sigs, pa.binary()).take(pa.array(k)), pa.array(np.array(sizes, np.int64)[k])], schema=arrow)
+                k, token = np.repeat(np.arange(len(sigs)), [len(t) for t in tokens]), np.concatenate(tokens).view(np.int64)
+                sigs, leads = np.array(sigs, np.int64), np.array(leads, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs[k]), pa.array(leads[k]), pa.array(np.concatenate(orders)), pa.array(token), pa.nulls(len(k), pa.int64()), pa.nulls(len(k), pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), pa.array(leads), pa.array([x.max() for x in orders], pa.int64()), pa.nulls(len(sigs), pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())], schema=arrow)
 
     return from_batches(docs.select("text"), cut, schema)
 
 
-def union_bits(tokens: np.ndarray) -> bytes:
-    flags = np.zeros(UNION_BITS, bool)
-    flags[(mix(tokens) % np.uint64(UNION_BITS)).astype(np.int64)] = True
-    return np.packbits(flags).tobytes()
-
-
 def token_sets(docs: DataFrame, width: int, active) -> DataFrame:
-    """(part, sig, n, bits, tokens) of the sets that pass the bit table ``active``; copies of a partition once."""
-    schema, arrow = arrow_schema("part int, sig binary, n long, bits binary, tokens binary")
+    """(part, sig, tokens) of the sets that pass the bit table ``active``; a task gives copies once."""
+    schema, arrow = arrow_schema("part int, sig long, tokens binary")
 
     def gather(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        hashes, table, seen, part = WordHash(), np.unpackbits(active.value), set(), TaskContext.get().partitionId()
+        table, seen, part = np.unpackbits(active.value), set(), TaskContext.get().partitionId()
         mask = len(table) - 1
-        for _, texts in text_chunks(batches):
+        for _, texts in column_chunks(batches):
             rows = []
-            for s in shingle_sets(texts, width, hashes):
-                if not len(s) or (sig := signature(s)) in seen or not table[int.from_bytes(sig[:8], "little") & mask]:
+            for s in shingle_sets(texts, width):
+                if not len(s) or not table[(sig := signature(s)) & mask] or sig in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(sig)
-                rows.append((part, sig, len(s), union_bits(s), s.tobytes()))
+                rows.append((part, sig, s.tobytes()))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     return from_batches(docs.select("text"), gather, schema)
 
 
+def size_classes(percent: int, most: int) -> list[int]:
+    """First size of each class, up to ``most``: a size linked with one of a class lies in it or in a neighbour."""
+    starts = [1]
+    while starts[-1] <= most:
+        starts.append(100 * starts[-1] // percent + 1)
+    return starts
+
+
+def segment_hashes(tokens: np.ndarray, percent: int) -> np.ndarray:
+    """Hashes of the segments of a set, for the class of its size as the smaller and as the larger one of a pair."""
+    starts = size_classes(percent, len(tokens))
+    own = len(starts) - 2
+    out = []
+    with np.errstate(over="ignore"):
+        for c in (own, own - 1):
+            if c < 0:
+                continue
+            a = starts[c + 1] - 1 if c + 1 < len(starts) else 100 * starts[c] // percent
+            segments = (100 - percent) * (a + 100 * a // percent) // (100 + percent) + 1
+            h = mix(tokens + np.uint64(0x632BE59BD9B4E019))
+            sums = np.zeros(segments, np.uint64)
+            np.add.at(sums, (h % np.uint64(segments)).astype(np.int64), mix(h))
+            out.append(mix(sums + mix(np.arange(segments, dtype=np.uint64) + np.uint64((c + 1) << 32))))
+    return np.concatenate(out)
+
+
+def segments(docs: DataFrame, width: int, percent: int, active) -> DataFrame:
+    """(sig, token): the segment hashes, as tokens, of the sets that pass the bit table ``active``."""
+    schema, arrow = arrow_schema("sig long, token long")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        table, seen = np.unpackbits(active.value), set()
+        mask = len(table) - 1
+        for _, texts in column_chunks(batches):
+            for s in shingle_sets(texts, width):
+                if not len(s) or not table[(sig := signature(s)) & mask] or sig in seen:
+                    continue
+                if len(seen) < 1 << 18:
+                    seen.add(sig)
+                h = segment_hashes(s, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), sig, np.int64)), pa.array(h.view(np.int64))], schema=arrow)
+
+    return from_batches(docs.select("text"), cut, schema)
+
+
+def _one_row_each(sets: DataFrame) -> DataFrame:
+    """``sets`` with one row a signature: copies that lay in several partitions were gathered in each."""
+    several = sets.groupBy("sig").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last")
+    several = small(stored(sets.sparkSession, several.select("sig", "first"), "several_parts"))
+    return sets.join(several, "sig", "left").filter(F.col("part") == F.coalesce("first", "part")).drop("first", "part")
+
+
 # --- bounds and links ------------------------------------------------------------------------------------------------
 
 
@@ -225,7 +320,7 @@ def _missing(a: list, b: list) -> np.ndarray:
 
 def bounded(pairs: DataFrame, percent: int, both: bool) -> DataFrame:
     """Rows of (a, b, na, nb, bits_a, bits_b) whose overlap bound reaches what a link needs; ``both``: b is a set too."""
-    schema, arrow = arrow_schema("a binary, b binary")
+    schema, arrow = arrow_schema("a long, b long")
 
     def bound(batches):
         import pyarrow as pa
@@ -239,19 +334,40 @@ def bounded(pairs: DataFrame, percent: int, both: bool) -> DataFrame:
             if both:
                 fits &= nb - _missing(y, x) >= needed(na, nb, percent)
             keep = pa.array(fits)
-            yield pa.RecordBatch.from_arrays([a.filter(keep).cast(pa.binary()), b.filter(keep).cast(pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], schema=arrow)
 
     return from_batches(pairs.select("a", "b", "na", "nb", "bits_a", "bits_b"), bound, schema)
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of signatures whose sets link."""
-    spark = pairs.sparkSession
-    side = lambda s, *cols: sets.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in cols])
-    light = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b").withColumnsRenamed({"n_a": "na", "n_b": "nb"})
-    near = stored(spark, bounded(light, percent, True), "near")
-    full = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").select("a", "b", "tokens_a", "tokens_b")
-    schema, arrow = arrow_schema("a binary, b binary")
+def _side(node: DataFrame, s: str, *columns: str) -> DataFrame:
+    return node.select(F.col("sig").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+
+
+def _need(a: str, b: str, percent: int):
+    return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100.0 + percent) - 1e-9)
+
+
+def near(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit maps allow to link."""
+    facts = ("n", "ord", "alone", "until")
+    sized = pairs.join(_side(node, "a", *facts), "a").join(_side(node, "b", *facts), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    need = _need("n_a", "n_b", percent)
+    left = lambda x, y: F.col(f"n_{x}") - F.when(F.col(f"until_{x}") < F.col(f"ord_{y}"), F.col(f"alone_{x}")).otherwise(0)
+    sized = stored(pairs.sparkSession, sized.filter((left("a", "b") >= need) & (left("b", "a") >= need)).select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")), "sized")
+    mapped = sized.join(_side(node, "a", "bits"), "a").join(_side(node, "b", "bits"), "b")
+    return stored(pairs.sparkSession, bounded(mapped, percent, True), "near")
+
+
+def linked(docs: DataFrame, width: int, percent: int, pairs: DataFrame, bits: int) -> DataFrame:
+    """The stored pairs (a, b) of signatures whose sets link."""
+    spark = docs.sparkSession
+    if not pairs.limit(1).count():
+        return pairs
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
+    sets = _one_row_each(stored(spark, token_sets(docs, width, spark.sparkContext.broadcast(membership(ends, bits))), "sets"))
+    side = lambda s: sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"tokens_{s}"))
+    full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
+    schema, arrow = arrow_schema("a long, b long")
 
     def compare(batches):
         import pyarrow as pa
@@ -265,7 +381,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = int((y[at] == x).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep).cast(pa.binary()) for i in (0, 1)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], schema=arrow)
 
     return stored(spark, from_batches(full, compare, schema), "links")
 
@@ -274,7 +390,7 @@ def components(links: DataFrame) -> DataFrame:
     """(sig, comp): the smallest signature that each linked one reaches."""
     spark = links.sparkSession
     both = stored(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "both")
-    labels = stored(spark, both.groupBy(F.col("u").alias("sig")).agg(F.least(F.min("v"), F.first("u")).alias("comp")), "labels")
+    labels = stored(spark, both.groupBy(F.col("u").alias("sig")).agg(F.min(F.least("u", "v")).alias("comp")), "labels")
     while True:
         seen = both.join(labels.select(F.col("sig").alias("v"), "comp"), "v").groupBy(F.col("u").alias("sig")).agg(F.min("comp").alias("near"))
         moved = labels.join(seen, "sig").select("sig", "comp", F.least("comp", "near").alias("low"))
@@ -286,58 +402,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-
-def set_components(docs: DataFrame, signs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(sig, comp) for the sets of ``docs.text`` that link with a different set. ``signs``: the stored rows of ``signed``."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    total = signs.agg(F.sum("_n")).first()[0] or 0
-    bits = int(np.clip(int(total // 32).bit_length(), *COUNT_BITS))
-    prefix = stored(spark, prefixes(docs, width, percent, sc.broadcast(token_counts(docs, width, bits))), "prefix")
-    leaders = prefix.groupBy("token").agg(F.min(F.struct("n", "sig")).alias("lead"), F.max(F.struct("n", "sig")).alias("last")).filter(F.col("lead.sig") != F.col("last.sig"))
-    leaders = stored(spark, leaders.select("token", F.col("lead.sig").alias("b"), F.col("lead.n").alias("nb")), "leaders")
-    shared = stored(spark, prefix.join(leaders, "token").select("token", "sig", "n", "b", "nb"), "shared")
-    pairs = shared.filter((F.col("sig") != F.col("b")) & _sizes_fit("n", "nb", percent)).select(F.col("sig").alias("a"), "b").distinct()
-    pairs = stored(spark, pairs, "pairs")
-
-    nodes = shared.select("sig").distinct()
-    active = sc.broadcast(membership(nodes, bits))
-    sets = _one_row_each(stored(spark, token_sets(docs, width, active), "sets"))
-
-    first = linked(pairs, sets, percent)
-    groups = components(first)
-    # the token-group matrix: each set's group is its component, or itself
-    node = stored(spark, sets.select("sig", "n", "bits").join(groups, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "node")
-    rows = stored(spark, shared.select("token", "sig", "n").join(node.select("sig", "comp"), "sig"), "rows")
-    matrix = rows.groupBy("token", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    several = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
-    several = stored(spark, several, "several")
-    matrix = stored(spark, matrix.join(several, "token"), "matrix")
-    asks = rows.join(several, "token")
-    asks = asks.join(matrix.withColumnRenamed("comp", "b"), "token").filter((F.col("comp") < F.col("b")) & (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")))
-    asks = stored(spark, asks.select(F.col("sig").alias("a"), "b").distinct(), "asks")
-    opened = asks.join(node.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
-    unions = node.join(asks.select(F.col("b").alias("comp")).distinct(), "comp")
-    opened = bounded(opened.join(_unions(unions), "b"), percent, False)
-    opened = stored(spark, opened, "opened")
-    members = node.select(F.col("comp").alias("g"), F.col("sig").alias("b"), F.col("n").alias("nb"))
-    inner = opened.withColumnRenamed("b", "g").join(node.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a").join(members, "g").filter(_sizes_fit("na", "nb", percent)).select("a", "b").distinct()
-    second = linked(stored(spark, inner, "inner"), sets, percent)
-    return components(first.union(second))
-
-
-def _one_row_each(sets: DataFrame) -> DataFrame:
-    """``sets`` with one row a signature: copies that lay in several partitions were gathered in each."""
-    several = sets.groupBy("sig").agg(F.min("part").alias("first"), F.max("part").alias("last")).filter("first < last")
-    several = small(stored(sets.sparkSession, several.select("sig", "first"), "several_parts"))
-    return sets.join(several, "sig", "left").filter(F.col("part") == F.coalesce("first", "part")).drop("first", "part")
-
-
 def _unions(node: DataFrame) -> DataFrame:
-    """(b, nb, bits_b): a group's smallest size and the token union of its members, joined in two salted steps."""
-    schema = "comp binary, least long, bits binary"
+    """(b, nb, bits_b): each group's smallest size and the token union of its members; large groups in two salted steps."""
+    schema = "comp long, least long, bits binary"
 
     def join(key, pdf):
         import pandas as pd
@@ -345,24 +412,118 @@ def _unions(node: DataFrame) -> DataFrame:
         bits = np.bitwise_or.reduce(np.stack([np.frombuffer(x, np.uint8) for x in pdf["bits"]]), axis=0)
         return pd.DataFrame({"comp": [key[0]], "least": [pdf["least"].min()], "bits": [bits.tobytes()]})
 
-    rows = node.select("comp", F.col("n").alias("least"), "bits", F.pmod(F.xxhash64("sig"), F.lit(256)).alias("salt"))
-    return rows.groupBy("comp", "salt").applyInPandas(join, schema).groupBy("comp").applyInPandas(join, schema).select(F.col("comp").alias("b"), F.col("least").alias("nb"), F.col("bits").alias("bits_b"))
+    rows = node.filter("grouped").select("comp", F.col("n").alias("least"), "bits", F.pmod(F.xxhash64("sig"), F.lit(256)).alias("salt"))
+    groups = rows.groupBy("comp", "salt").applyInPandas(join, schema).groupBy("comp").applyInPandas(join, schema)
+    alone = node.filter("not grouped").select("comp", F.col("n").alias("least"), "bits")
+    return groups.union(alone).select(F.col("comp").alias("b"), F.col("least").alias("nb"), F.col("bits").alias("bits_b"))
+
+
+def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int, bits: int) -> DataFrame:
+    """(sig, comp) for the sets of ``docs.text`` that link with a different set. ``counts``: the block rows of ``signed``."""
+    spark = docs.sparkSession
+    rows = stored(spark, prefixes(docs, width, percent, spark.sparkContext.broadcast(summed(counts, bits))), "prefixes")
+    prefix = rows.filter(F.col("token").isNotNull()).select("token", "sig", "lead", "ord")
+
+    def met_in(rows: DataFrame, name: str) -> DataFrame:
+        """The tokens that two different sets have, with the leader's value and the number of rows."""
+        tokens = rows.groupBy("token").agg(F.max("lead").alias("head"), F.min("lead").alias("least"), F.count("*").alias("rows"))
+        return stored(spark, tokens.filter("least < head").select("token", "head", "rows"), name)
+
+    leaders = met_in(prefix, "leaders")
+    joined = stored(spark, prefix.select("token", "sig").join(leaders, "token"), "joined")
+    shared = joined.filter(F.col("rows") <= FREQUENT).drop("rows")
+    lonely = None
+    if leaders.filter(F.col("rows") > FREQUENT).limit(1).count():
+        busy = joined.filter(F.col("rows") > FREQUENT).select("sig").distinct()
+        busy = stored(spark, rows.filter(F.col("token").isNull()).select("sig", "lead").distinct().join(busy, "sig"), "busy")
+        cut = segments(docs, width, percent, spark.sparkContext.broadcast(membership(busy, bits)))
+        cut = stored(spark, cut.join(busy, "sig").select("token", "sig", "lead"), "segments")
+        shared = shared.unionByName(cut.select("token", "sig").join(met_in(cut, "segment_leaders").drop("rows"), "token"))
+        own = prefix.join(small(busy.select("sig")), "sig", "left_semi").select("token", "sig", "ord").distinct().join(leaders.select("token"), "token", "left_anti")
+        lonely = stored(spark, own.groupBy("sig").agg(F.max("ord").alias("last_alone")), "lonely")
+    shared = stored(spark, shared, "shared")
+    # alone: tokens of the prefix that no other prefix has; until: none of these lies behind it
+    met = joined.groupBy("sig").agg(F.count("*").alias("met"))
+    node = rows.filter(F.col("token").isNull()).select("sig", "lead", "ord", "n", "bits").join(met, "sig").dropDuplicates(["sig"])
+    node = node.join(lonely, "sig", "left") if lonely is not None else node.withColumn("last_alone", F.lit(None).cast("long"))
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    node = node.withColumns({"alone": F.greatest(length - F.col("met"), F.lit(0)).cast("long"), "until": F.coalesce("last_alone", "ord")})
+    node = stored(spark, node.drop("met", "last_alone"), "node")
+    drop_scratch(rows, joined)
+
+    pairs = shared.select(F.col("sig").alias("a"), "head").distinct()
+    pairs = pairs.join(node.select(F.col("lead").alias("head"), F.col("sig").alias("b")), "head").filter("a <> b").select("a", "b")
+    first = linked(docs, width, percent, near(pairs, node, percent), bits)
+    # the token-group matrix: each set's group is its component, or itself
+    groups = components(first)
+    groups = groups.join(groups.groupBy("comp").agg(F.count("*").alias("members")), "comp")
+    node = node.join(groups, "sig", "left").select("sig", "n", "bits", "ord", "alone", "until", F.coalesce("comp", "sig").alias("comp"), F.coalesce("members", F.lit(1)).alias("members"), F.col("comp").isNotNull().alias("grouped"))
+    node = stored(spark, node, "grouped")
+    asks = stored(spark, shared.select("token", "sig").join(node.select("sig", "n", "comp", "members", "ord", "alone", "until"), "sig"), "asks")
+    matrix = asks.groupBy("token", F.col("comp").alias("b")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.min("ord").alias("first_ord"), F.max("until").alias("b_until"), F.max(F.col("n") - F.col("alone")).alias("free"), F.max("members").alias("b_members")
+    )
+    matrix = stored(spark, matrix, "matrix")
+    # a token that no other prefix has is in no set whose prefix ends behind it (``near`` bounds single pairs like this, too)
+    need = _need("n", "least", percent)
+    fits = (F.col("n") - F.when(F.col("until") < F.col("first_ord"), F.col("alone")).otherwise(0) >= need) & (F.when(F.col("b_until") < F.col("ord"), F.col("free")).otherwise(F.col("most")) >= need)
+    # the smaller group asks the larger one
+    asking = (F.col("members") < F.col("b_members")) | ((F.col("members") == F.col("b_members")) & (F.col("comp") < F.col("b")))
+    met = asks.join(matrix, "token").filter(asking & (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")) & fits)
+    met = stored(spark, met.select(F.col("sig").alias("a"), "b").distinct(), "met")
+    opened = stored(spark, bounded(met.join(_side(node, "a", "n", "bits").withColumnRenamed("n_a", "na"), "a").join(_unions(node), "b"), percent, False), "opened")
+    members = node.select(F.col("comp").alias("g"), F.col("sig").alias("b"))
+    inside = opened.withColumnRenamed("b", "g").join(members, "g").select("a", "b").distinct()
+    second = linked(docs, width, percent, near(inside, node, percent), bits)
+    out = components(first.union(second))
+    drop_scratch(shared, node, asks, matrix, met, opened)
+    return out
+
+
+def named_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: the documents' (doc_id, _n, _sig), and (_sig, component_id, comp) of all sets that are not empty."""
+    spark = docs.sparkSession
+    bits = COUNT_BITS
+    both = stored(spark, signed(docs.select("doc_id", "text"), width, ("doc_id",), bits), "signs")
+    signs = both.filter(F.col("_block").isNull()).select("doc_id", "_n", "_sig")
+    found = set_components(docs, both.filter(F.col("_block").isNotNull()).select("_part", "_block", "_counts"), width, percent, bits)
+    least = signs.filter(F.col("_sig").isNotNull()).groupBy(F.col("_sig").alias("sig")).agg(F.min("doc_id").alias("least"))
+    comp = stored(spark, least.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "comp")
+    ids = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
+    names = stored(spark, comp.join(ids, "comp").select(F.col("sig").alias("_sig"), "component_id", "comp"), "names")
+    drop_scratch(comp)
+    return signs, names
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
-    spark = docs.sparkSession
-    signs = stored(spark, signed(docs.select("doc_id", "text"), width), "signs")
-    found = set_components(docs, signs, width, percent)
-    named = signs.filter(F.col("_sig").isNotNull()).groupBy(F.col("_sig").alias("sig")).agg(F.min("doc_id").alias("least"))
-    comp = named.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    comp = stored(spark, comp, "comp")
-    least = comp.groupBy("comp").agg(F.min("least").alias("component_id"))
-    comp = stored(spark, comp.join(least, "comp").select(F.col("sig").alias("_sig"), "component_id"), "names")
-    out = signs.join(comp, "_sig", "left")
+    signs, names = named_components(docs, width, percent)
+    out = signs.join(names, "_sig", "left")
     return out.select("doc_id", F.col("_n").alias("n_shingles"), F.when(F.col("_sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id (null last; ties: smallest signature).
+
+    Documents without words stay. Only the keys of dropped documents are joined with the documents.
+    """
+    spark = docs.sparkSession
+    signs, names = named_components(docs, width, percent)
+    rows = stored(spark, signs.join(names, "_sig").groupBy("comp", "doc_id", "_sig").agg(F.count("*").alias("rows")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_sig").alias("sig"))
+    stays = rows.groupBy("comp").agg(F.min(order).alias("stays"))
+    marked = rows.join(stays, "comp").withColumn("first", (order == F.col("stays")))
+    gone = stored(spark, marked.filter("not first").select(F.col("doc_id").alias("_id"), F.col("_sig").alias("_s")), "gone")
+    twice = stored(spark, marked.filter("first and rows > 1").select(F.col("doc_id").alias("_id"), F.col("_sig").alias("_s")), "twice")
+    drop_scratch(rows, names)
+    again = signed(docs, width)
+    left = again.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_s")), "left_anti")
+    if twice.limit(1).count():  # rows that agree in doc_id and set
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_s"))
+        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_sig"]))
+    return left.select(*docs.columns)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
 
