@@ -120,7 +120,7 @@ def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
     return (
         counted.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
         .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)))
+        .withColumn("kept", F.when(base, False).otherwise(F.coalesce(fits, F.lit(True))))  # one piece: a pushed-down part would count twice
         .drop("_lang", "_source")
     )
 
