@@ -349,8 +349,40 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     out = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, ("text",))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.totals["tokens"])).cast("long").alias("train_tokens"), "base_score", "score")
-
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.totals["tokens"])).cast("long").alias("train_tokens"), F.round("base_score", 7).alias("base_score"), F.round("score", 7).alias("score"))
+
+
+OP5_SQL = """
+with d as (
+  select row_number() over () rid, doc_id, list_concat(list_concat([' begin'], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')), [' end']) t,
+    list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))) crc
+  from documents),
+e as (select rid, doc_id, coalesce(xor(crc, 4294967295) % 7 = 2, false) held_out, t from d),
+p as (select rid, held_out, t[i] v, t[i + 1] w from (select rid, held_out, t, unnest(range(1, len(t))) i from e)),
+c2 as (select v, w, count(*) c from p where not held_out group by v, w),
+c1 as (select w, sum(c) c, count(*) before from c2 group by w),
+hv as (select v, sum(c) c, count(*) filter (c = 1) n1, count(*) filter (c = 2) n2, count(*) filter (c >= 3) n3 from c2 group by v),
+k as (
+  select (select coalesce(sum(c), 0)::bigint from c1) tokens, (select count(*) from c1) types, (select count(*) from c2) pairs,
+    (select [count(*) filter (c = 1), count(*) filter (c = 2), count(*) filter (c = 3), count(*) filter (c = 4)] from c2) a,
+    (select [count(*) filter (before = 1), count(*) filter (before = 2), count(*) filter (before = 3), count(*) filter (before = 4)] from c1) b),
+k2 as (
+  select *, case when a[1] > 0 then a[1]::double / (a[1] + 2 * a[2]) else 0.5e0 end ya, case when b[1] > 0 then b[1]::double / (b[1] + 2 * b[2]) else 0.5e0 end yb from k),
+k3 as (
+  select *, list_transform(range(1, 4), lambda i: least(greatest(case when a[i] > 0 and a[i + 1] > 0 then i - (i + 1) * ya * a[i + 1] / a[i] else i * 0.5e0 end, 0.05e0), i::double)) dd,
+    list_transform(range(1, 4), lambda i: least(greatest(case when b[i] > 0 and b[i + 1] > 0 then i - (i + 1) * yb * b[i + 1] / b[i] else i * 0.5e0 end, 0.05e0), i::double)) ee from k2),
+s as (
+  select rid, c1.c is not null known, log10((coalesce(c1.c, 0) + 1) / (tokens + types + 1)::double) base,
+    case when pairs > 0 then (greatest(coalesce(before, 0) - case when before is null then 0 else ee[least(before, 3)] end, 0)
+      + (ee[1] * b[1] + ee[2] * b[2] + ee[3] * (types - b[1] - b[2])) / (types + 1)) / pairs else 1e0 / (types + 1) end low,
+    hv.c head, greatest(coalesce(c2.c, 0) - case when c2.c is null then 0 else dd[least(c2.c, 3)] end, 0) top, dd[1] * n1 + dd[2] * n2 + dd[3] * n3 rest
+  from p left join c1 using (w) left join hv using (v) left join c2 using (v, w) cross join k3),
+g as (
+  select rid, count(*) n_tokens, count(*) filter (known) n_known, sum(base) base_score, sum(log10(case when head is null then low else (top + rest * low) / head end)) score from s group by rid)
+select doc_id, held_out, n_tokens, n_known, (select tokens from k) train_tokens, round(base_score, 7) base_score, round(score, 7) score
+from e join g using (rid)
+"""
 
 QUERIES = {"op5_kneser_ney": op5_kneser_ney}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_kneser_ney": OP5_SQL}
