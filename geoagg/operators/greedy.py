@@ -1,8 +1,8 @@
 """Ordered greedy groups: the clustering operator.
 
 Points are visited in order; a point that is still free takes all free points within the radius if they are ``min_points`` or
-more with itself, else stays alone and leaves them free. Points whose cells are not connected never meet, so each connected
-set of occupied cells is a task of its own. The cell graph is labelled by repeated minimum over (cell, label) tables.
+more with itself, else stays alone and leaves them free. Points whose cells are not connected never meet, so connected sets of
+occupied cells are dealt to tasks whole, many small ones to one task. The cell graph is labelled by repeated minimum over (cell, label) tables.
 
 A set of cells with more than ``MAX_GROUP`` points is not handed to one task: it is solved in rounds instead. In a round every
 free point that is the first among the free ones within two radii is decided, which is what the sequential visit would do with
@@ -21,6 +21,8 @@ from .neighbors import SLACK, celled, within
 
 #: Points of one connected set that one task sweeps: 16 bytes a point and a few index arrays.
 MAX_GROUP = 5_000_000
+#: Points of the many small sets that one task sweeps together; sets do not meet, so sweeping them at once changes nothing.
+TASK_POINTS = 100_000
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -80,11 +82,13 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     """(id, cluster_id): each point's seed. ``projected``: id, x, y, one row an id. ``order``: "x" (ties by id) or "id"."""
     points = _stored(celled(projected.select("id", "x", "y"), radius), "points")
     parts = connected_cells(points)
-    sizes = parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n"))
+    sizes = _stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
     giant = [r["part"] for r in sizes.filter(F.col("n") > max_group).select("part").collect()]  # at most rows / max_group
     labelled = points.join(parts, ["cx", "cy"])
 
-    def one_set(pdf):
+    def sets(pdf):
         import pandas as pd
 
         ids, x = pdf["id"].to_numpy(), pdf["x"].to_numpy(np.float32)
@@ -94,7 +98,8 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     is_giant = F.lit(False)
     for g in giant:
         is_giant = is_giant | ((F.col("part.cx") == g["cx"]) & (F.col("part.cy") == g["cy"]))
-    small = labelled.filter(~is_giant).groupBy("part").applyInPandas(one_set, "id long, cluster_id long")
+    dealt = labelled.filter(~is_giant).groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
+    small = dealt.applyInPandas(sets, "id long, cluster_id long")
     if not giant:
         return small
     return small.unionByName(greedy_rounds(labelled.filter(is_giant).select("id", "x", "y"), radius, min_points, order))
