@@ -347,13 +347,20 @@ def _need(a: str, b: str, percent: int):
     return F.ceil(percent * (F.col(a) + F.col(b)) / F.lit(100.0 + percent) - 1e-9)
 
 
-def near(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and bit maps allow to link."""
-    facts = ("n", "ord", "alone", "until")
-    sized = pairs.join(_side(node, "a", *facts), "a").join(_side(node, "b", *facts), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+FACTS = ("n", "ord", "alone", "until")
+
+
+def _plausible(percent: int):
+    """Whether sizes and lonely tokens of (n_a, ..) and (n_b, ..) allow a link."""
     need = _need("n_a", "n_b", percent)
     left = lambda x, y: F.col(f"n_{x}") - F.when(F.col(f"until_{x}") < F.col(f"ord_{y}"), F.col(f"alone_{x}")).otherwise(0)
-    sized = stored(pairs.sparkSession, sized.filter((left("a", "b") >= need) & (left("b", "a") >= need)).select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")), "sized")
+    return (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (left("a", "b") >= need) & (left("b", "a") >= need)
+
+
+def near(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and bit maps allow to link."""
+    sized = pairs.join(_side(node, "a", *FACTS), "a").join(_side(node, "b", *FACTS), "b").filter(_plausible(percent))
+    sized = stored(pairs.sparkSession, sized.select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")), "sized")
     mapped = sized.join(_side(node, "a", "bits"), "a").join(_side(node, "b", "bits"), "b")
     return stored(pairs.sparkSession, bounded(mapped, percent, True), "near")
 
@@ -472,9 +479,11 @@ def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int,
     met = asks.join(matrix, "token").filter(asking & (100 * F.col("n") >= percent * F.col("least")) & (percent * F.col("n") <= 100 * F.col("most")) & fits)
     met = stored(spark, met.select(F.col("sig").alias("a"), "b").distinct(), "met")
     opened = stored(spark, bounded(met.join(_side(node, "a", "n", "bits").withColumnRenamed("n_a", "na"), "a").join(_unions(node), "b"), percent, False), "opened")
-    members = node.select(F.col("comp").alias("g"), F.col("sig").alias("b"))
-    inside = opened.withColumnRenamed("b", "g").join(members, "g").select("a", "b").distinct()
-    second = linked(docs, width, percent, near(inside, node, percent), bits)
+    # the members of the opened groups, bounded as they are met
+    asked = opened.withColumnRenamed("b", "g").join(_side(node, "a", *FACTS, "bits"), "a")
+    members = node.select(F.col("comp").alias("g"), F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in (*FACTS, "bits")])
+    inside = asked.join(members, "g").filter(_plausible(percent)).select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), "bits_a", "bits_b")
+    second = linked(docs, width, percent, stored(spark, bounded(inside, percent, True), "inside"), bits)
     out = components(first.union(second))
     drop_scratch(shared, node, asks, matrix, met, opened)
     return out
