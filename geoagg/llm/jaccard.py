@@ -184,7 +184,7 @@ def union_bits(tokens: np.ndarray) -> bytes:
 def prefixes(docs: DataFrame, width: int, percent: int, counts) -> DataFrame:
     """Rows (sig, lead, ord, n, bits) for each set and (sig, lead, ord, token) for each token of its prefix. A task gives copies once.
 
-    ``ord``: the token's place in the order of all tokens (its first 55 bits of hash), for a set that of its prefix's last.
+    ``ord``: the token's place in the order of all tokens (rank and 24 bits of hash), for a set that of its prefix's last.
 
     ``lead``: mean rank of the prefix, then the first bits of the signature. What a set shares with many others ranks high,
     so the set that a group of near copies derives from, which has few tokens of its own, has the group's largest value.
@@ -211,7 +211,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, counts) -> DataFrame:
                 low = np.flatnonzero(rank < cutoff)
                 own = np.concatenate([low, np.flatnonzero(rank == cutoff)[: p - len(low)]])
                 tokens.append(s[own])
-                orders.append((rank[own].astype(np.int64) << 55) + (s[own] >> np.uint64(9)).astype(np.int64))
+                orders.append((rank[own].astype(np.int64) << 24) + (s[own] >> np.uint64(40)).astype(np.int64))
                 sigs.append(sig)
                 leads.append((int(rank[own].mean()) << 55) + ((sig & (1 << 64) - 1) >> 9))
                 sizes.append(n)
