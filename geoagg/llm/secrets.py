@@ -2,9 +2,9 @@
 
 A text is cut at every match of one candidate pattern: key blocks, cloud key ids, values assigned to a name, and long tokens
 that hold a digit. Each candidate gets features: length, shares of digits, capitals and other marks, changes of character
-class, different characters, digits of a hexadecimal number only, share covered by dictionary words, marks of a path in it,
-a test or example folder in the document's path, words of secrets, of checksums and of placeholders beside it. A random
-forest trained on labelled findings scores them; what scores ``cutoff`` or more is a secret.
+class, different characters (of 64 at most), digits of a hexadecimal number only, share covered by dictionary words, marks
+of a path in it, a test or example folder in the document's path, words of secrets, of checksums and of placeholders beside
+it. A random forest trained on labelled findings scores them; what scores ``cutoff`` or more is a secret.
 
 The forest is trained once by Spark's own learner and then written out as column expressions, so a scan is one pass without
 a shuffle and a document never leaves its row. Labelled findings are a parameter; the default ones are made by
@@ -29,10 +29,12 @@ MARK = "[SECRET]"
 #: Candidate pattern; the name and the sign before a value are part of the match.
 NAME = r"""[A-Za-z_]{2,30}["']?\s?[=:]\s?["']?"""
 SECRET_NAME = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api_?key|access_?key|auth(?:orization)?|credential)"
+#: Every part ends where the token or the key block ends. Its repeats are possessive, and a bare token starts only where a run
+#: of its characters starts, so a text is read a fixed number of times however long its tokens are.
 CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8000}?-----END [A-Z ]{0,20}PRIVATE KEY-----)?"
-    rf"|{SECRET_NAME}[\"']?\s?[=:]\s?[\"']?[^\s\"']{{6,200}}"
-    rf"|(?<![A-Za-z0-9_])(?:{NAME})?(?=[A-Za-z_+/.-]{{0,40}}[0-9])[A-Za-z0-9_+/.-]{{16,400}}={{0,2}}"
+    r"-----BEGIN [A-Z0-9 ]{0,20}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z0-9 ]{0,20}PRIVATE KEY-----)?"
+    rf"|{SECRET_NAME}[\"']?\s?[=:]\s?[\"']?[^\s\"']{{6,}}+"
+    rf"|(?:(?<![A-Za-z0-9_+/.-])|(?<=KEY-----))(?:{NAME})?(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{{16,}}+={{0,2}}+"
 )
 #: A text without any of these has no candidate.
 HINT = r"[0-9]|PRIVATE KEY|(?i:passw|pwd|secret|token|key|auth|credential)"
@@ -71,10 +73,10 @@ def _features(value: Column, before: Column, after: Column, path: Column) -> Col
         "capitals": share("A-Z"),
         "marks": share(r"_+/.=\-"),
         "changes": (F.length(runs) - 1) / n,
-        "different": F.size(F.array_distinct(F.split(value, ""))) / n,
+        "different": F.size(F.array_distinct(F.split(value, ""))) / F.least(n, F.lit(64.0)),
         "hex": flag(value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$") & value.rlike("[a-fA-F]")),
         "covered": 1 - F.length(F.regexp_replace(F.lower(value), "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
-        "path_like": flag(value.rlike(r"^[./]?[A-Za-z0-9_-]+(?:/[A-Za-z0-9_.-]+)+$|\.[a-z]{2,4}$")),
+        "path_like": flag(value.rlike(r"^[./]?[A-Za-z0-9_-]++(?:/[A-Za-z0-9_.-]++)++$|\.[a-z]{2,4}$")),
         "doc_path": flag(path.rlike(r"(?i)(^|[/_.-])(test|tests|example|examples|docs?|fixtures?)([/_.-]|$)")),
         "secret_word": flag(before.rlike(BESIDE["secret_word"])),
         "checksum_word": flag(before.rlike(BESIDE["checksum_word"])),
