@@ -1,8 +1,9 @@
 """URL filters with a token index (native).
 
 A rule is a regular expression over the whole url plus the literal tokens (``[0-9A-Za-z]+`` runs, lower case) that any url
-it matches must contain. Each rule is indexed by the one of its tokens that is rarest among the urls. The distinct
-tokens of a url fetch the rules indexed by them, and only those run their expression.
+it matches must contain as whole tokens. Each rule is indexed by the one of its tokens that is rarest among the urls. The
+distinct tokens of a url fetch the rules indexed by them, and only those run their expression. A rule whose literals can be
+parts of longer tokens has none and runs on every distinct url.
 
 Verdicts are functions of the url, so rules are matched once per distinct url and joined back on the url; both joins are
 shuffled unless the smaller side was counted to be small, and Spark may split a hot url.
@@ -35,11 +36,13 @@ def host_rule(verdict: str, host: str, path: str) -> Rule:
     """A rule on a host with its subdomains and the start of a path."""
     pattern = rf"^[^\n]*?://([^/?#]*\.)?{re.escape(host)}{re.escape(path)}"
     name = host + path
-    return Rule(name, verdict, pattern, tuple(re.findall("[0-9a-z]+", host.lower())), len(name))
+    # without a mark at the start of the path, the host's last token may go on
+    whole = host if path and not path[0].isalnum() else re.sub("[0-9A-Za-z]+$", "", host)
+    return Rule(name, verdict, pattern, tuple(re.findall("[0-9a-z]+", whole.lower())), len(name))
 
 
 def word_rule(name: str, pattern: str, *tokens: str) -> Rule:
-    """A blocking pattern; ``tokens`` are literals that it cannot match without, as whole tokens."""
+    """A blocking pattern; ``tokens`` are literals that it cannot match without, as whole tokens; without any it always runs."""
     return Rule(name, "block", pattern, tokens)
 
 
@@ -51,7 +54,7 @@ PATTERNS = [
     word_rule("spam-host", r"://([^/?#]*[.-])?spam([.-][^/?#]*)?([/?#]|$)", "spam"),
     word_rule("pills-host", r"://([^/?#]*[.-])?pills([.-][^/?#]*)?([/?#]|$)", "pills"),
     word_rule("casino-host", r"://([^/?#]*[.-])?casino([.-][^/?#]*)?([/?#]|$)", "casino"),
-    word_rule("free-download", r"free[-_]download", "free", "download"),
+    word_rule("free-download", r"free[-_]download"),
     word_rule("adult-host", r"://([^/?#]*[.-])?(xxx)([.-][^/?#]*)?([/?#]|$)", "xxx"),
     word_rule("login-page", r"/(login)([/?#.]|$)", "login"),
     word_rule("affiliate-query", r"[?&]affiliate=", "affiliate"),
@@ -85,14 +88,14 @@ def normal(url: Column) -> Column:
 
 
 def rule_table(urls: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rules with ``token``: the literal of each that the fewest distinct urls contain (ties: the smaller text)."""
+    """The rules with ``token``: the literal of each that the fewest distinct urls contain (ties: the smaller text), null without one."""
     spark = urls.sparkSession
     wanted = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in set(r.tokens)], "rid int, token string")
     seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(small(wanted.select("token").distinct()), "token", "left_semi")
     seen = seen.groupBy("token").agg(F.count("*").alias("n"))
     index = wanted.join(small(seen), "token", "left").groupBy("rid").agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
     facts = spark.createDataFrame([(i, r.name, r.verdict, r.pattern, r.weight) for i, r in enumerate(rules)], "rid int, name string, verdict string, pattern string, weight int")
-    return facts.join(index, "rid")
+    return facts.join(index, "rid", "left")
 
 
 def url_filter(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
@@ -100,8 +103,10 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     spark = pages.sparkSession
     rules = BASE + PATTERNS if rules is None else rules
     urls = stored(spark, pages.select("url").filter(F.col("url").contains("://")).distinct(), "urls")
-    index = small(stored(spark, rule_table(urls, rules), "rules"))
+    table = stored(spark, rule_table(urls, rules), "rules")
+    index, always = small(table.filter("token is not null")), small(table.filter("token is null"))
     candidates = urls.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
+    candidates = candidates.unionByName(urls.crossJoin(always).select(candidates.columns))
     fits = candidates.filter(F.call_function("rlike", normal(F.col("url")), F.col("pattern")))
     base = F.col("weight") > 0
     verdicts = fits.groupBy(F.col("url").alias("_url")).agg(

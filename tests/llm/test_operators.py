@@ -248,6 +248,26 @@ def test_rules_are_indexed_by_their_rarest_token(spark):
     assert table["www.example.com/en/"] in ("example", "www") and table["com/"] == "com" and table["net/es/"] in ("es", "net")
 
 
+def test_index_loses_no_match(spark):
+    hosts, rest = [], []
+    for w in ("spam", "pills", "casino", "xxx", "com", "net", "example.com", "www.example.com"):
+        hosts += [w, f"a{w}.org", f"{w}s.org", f"{w}9.org", f"{w}.org", f"a-{w}.org", f"{w}-b.org", f"a.{w}", f"a{w}", f"{w}s"]
+    for w in ("free-download", "free_download", "login", "affiliate=1"):
+        rest += [f"/{w}", f"/{w}s", f"/care{w}", f"/care{w}ed/x", f"/{w.upper()}", f"/x?{w}", f"/x?a&{w}", f"?{w}s", f"/a/{w}.html"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/x", "/es/", "/fr/y")] + [f"http://Foo.org{r}" for r in rest] + ["http://free.org/carefree-download", "http://download.org/free-downloads"]
+    own = [urlfilter.host_rule("block", "foo.org", ""), urlfilter.host_rule("block", "example.co", "m/")]
+    rules = urlfilter.BASE + urlfilter.PATTERNS + own
+    bare = [urlfilter.Rule(r.name, r.verdict, r.pattern, (), r.weight) for r in rules]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    key = lambda df: sorted((r.url, r["rule"] or "", r.verdict, r.patterns) for r in df.collect())
+    got = {u: p for u, _, _, p in key(urlfilter.url_filter(pages))}
+    assert all(got[f"http://Foo.org{p}"] == "free-download" for p in ("/free-downloads", "/carefree-download", "/carefree_download"))
+    assert len({r.name for r in urlfilter.PATTERNS} & set(",".join(got.values()).split(","))) == len(urlfilter.PATTERNS)
+    assert key(urlfilter.url_filter(pages, rules)) == key(urlfilter.url_filter(pages, bare))
+    # one url's verdict does not change with the other rows
+    assert [r.verdict for r in urlfilter.url_filter(pages.filter("url = 'http://Foo.org/free-downloads'")).collect()] == ["block"]
+
+
 # --- 7 near copies ---------------------------------------------------------------------------------------------------
 
 
