@@ -17,6 +17,7 @@ from geoagg.sources import ingest, points, store
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: CONUS holds all events (``points.event_points``).
 SMALL, SECOND, CONUS = Bounds(-110, 30, -106, 36), Bounds(-80, 30, -75, 36), Bounds(-125, 25, -65, 49)
 TWO = ClusterOptions(min_points=2)
 THREE = ClusterOptions()
@@ -43,6 +44,22 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Queries over all events whose SQL walks the seeds one by one: right on any table, in time only on small ones.
+SLOW_SQL: set[str] = set()
+
+
+def boxed(name: str, box: Bounds, sql: Callable[[Bounds], str]):
+    """Registers a query over a viewport twice: over ``box``, and as ``name_all`` over all events."""
+
+    def add(f):
+        for n, b in ((name, box), (f"{name}_all", CONUS)):
+            query(n, sql(b))(lambda spark, sf_dir, b=b: f(spark, sf_dir, b))
+        SLOW_SQL.add(f"{name}_all")
+        return f
+
+    return add
+
+
 def _view(b: Bounds, zoom: int, options: ClusterOptions = THREE) -> str:
     """CTE ``v``: the projected events of a viewport."""
     x, y = P.project_x_sql("lng", zoom, options), P.project_y_sql("lat", zoom, options)
@@ -253,11 +270,11 @@ def neighbor_counts(spark, sf_dir):
 # --- greedy groups ---------------------------------------------------------------------------------------------------
 
 
-def _members(spark, sf_dir, b=SMALL, zoom=5, options=TWO, order="x") -> DataFrame:
+def _members(spark, sf_dir, b, zoom=5, options=TWO, order="x") -> DataFrame:
     return rollup.members(points.event_points(spark, sf_dir), b, zoom, options, order)
 
 
-def _cluster_rows(spark, sf_dir, b=SMALL, zoom=5, options=TWO) -> DataFrame:
+def _cluster_rows(spark, sf_dir, b, zoom=5, options=TWO) -> DataFrame:
     return rollup.cluster_rows(_members(spark, sf_dir, b, zoom, options), zoom, ["value", "k"], options)
 
 
@@ -267,14 +284,14 @@ for _name, _b, _z, _o, _order in (
     ("greedy_input_order", SMALL, 6, TWO, "id"),
     ("greedy_z15_singletons", SMALL, 15, TWO, "x"),
 ):
-    query(_name, f"{_groups(_b, _z, _o, 'x, id' if _order == 'x' else 'id')} select id, cluster_id, size from m")(
-        lambda spark, sf_dir, b=_b, z=_z, o=_o, order=_order: _members(spark, sf_dir, b, z, o, order).select("id", "cluster_id", "size")
+    boxed(_name, _b, lambda b, z=_z, o=_o, order=_order: f"{_groups(b, z, o, 'x, id' if order == 'x' else 'id')} select id, cluster_id, size from m")(
+        lambda spark, sf_dir, b, z=_z, o=_o, order=_order: _members(spark, sf_dir, b, z, o, order).select("id", "cluster_id", "size")
     )
 
 
-@query("greedy_clusters_z2", f"{_clusters(SMALL, 2, TWO)} select id, count, value from c")
-def greedy_clusters_z2(spark, sf_dir):
-    return _cluster_rows(spark, sf_dir, zoom=2).select("id", "count", "value")
+@boxed("greedy_clusters_z2", SMALL, lambda b: f"{_clusters(b, 2, TWO)} select id, count, value from c")
+def greedy_clusters_z2(spark, sf_dir, b):
+    return _cluster_rows(spark, sf_dir, b, zoom=2).select("id", "count", "value")
 
 
 @query("greedy_full")
@@ -288,51 +305,51 @@ def greedy_orders_z8(spark, sf_dir):
     return rollup.cluster_rows(rollup.members(points.order_points(spark, sf_dir), CONUS, 8, o), 8, ["value"], o).select("id", "count", "lng", "lat", "value")
 
 
-@query("cluster_size_histogram", f"{_clusters(SECOND, 7, TWO)} select count, count(*) as clusters from c group by count")
-def cluster_size_histogram(spark, sf_dir):
-    return summary.size_histogram(_cluster_rows(spark, sf_dir, SECOND, 7))
+@boxed("cluster_size_histogram", SECOND, lambda b: f"{_clusters(b, 7, TWO)} select count, count(*) as clusters from c group by count")
+def cluster_size_histogram(spark, sf_dir, b):
+    return summary.size_histogram(_cluster_rows(spark, sf_dir, b, 7))
 
 
 # --- roll-ups --------------------------------------------------------------------------------------------------------
 
 
-@query("cluster_metrics_sum", f"{_clusters(SMALL, 5, TWO)} select id, count, value, k from c")
-def cluster_metrics_sum(spark, sf_dir):
-    return _cluster_rows(spark, sf_dir).select("id", "count", "value", "k")
+@boxed("cluster_metrics_sum", SMALL, lambda b: f"{_clusters(b, 5, TWO)} select id, count, value, k from c")
+def cluster_metrics_sum(spark, sf_dir, b):
+    return _cluster_rows(spark, sf_dir, b).select("id", "count", "value", "k")
 
 
-@query("cluster_centroid", f"{_clusters(SMALL, 5, TWO)} select id, round({P.unproject_lng_sql('x', 5)}::double, 3) as lng, round({P.unproject_lat_sql('y', 5)}::double, 3) as lat from c")
-def cluster_centroid(spark, sf_dir):
-    return _rounded(_cluster_rows(spark, sf_dir).select("id", "lng", "lat"), "lng", "lat", digits=3)
+@boxed("cluster_centroid", SMALL, lambda b: f"{_clusters(b, 5, TWO)} select id, round({P.unproject_lng_sql('x', 5)}::double, 3) as lng, round({P.unproject_lat_sql('y', 5)}::double, 3) as lat from c")
+def cluster_centroid(spark, sf_dir, b):
+    return _rounded(_cluster_rows(spark, sf_dir, b).select("id", "lng", "lat"), "lng", "lat", digits=3)
 
 
-@query("cluster_members", f"{_groups(SMALL, 5, TWO)} select cluster_id as id, string_agg(id::varchar, ',' order by id) as children from m group by cluster_id")
-def cluster_members(spark, sf_dir):
-    return _cluster_rows(spark, sf_dir).select("id", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+@boxed("cluster_members", SMALL, lambda b: f"{_groups(b, 5, TWO)} select cluster_id as id, string_agg(id::varchar, ',' order by id) as children from m group by cluster_id")
+def cluster_members(spark, sf_dir, b):
+    return _cluster_rows(spark, sf_dir, b).select("id", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
 
 
-def _meta(spark, sf_dir, b=SMALL, zoom=5, options=TWO) -> DataFrame:
+def _meta(spark, sf_dir, b, zoom=5, options=TWO) -> DataFrame:
     return rollup.metadata_rows(_members(spark, sf_dir, b, zoom, options), METADATA)
 
 
-@query("cluster_metadata_freq", f"{_metadata(SMALL, 5, TWO)} select cluster_id, key, value, round(freq, 6) as freq from f where kind = 'map'")
-def cluster_metadata_freq(spark, sf_dir):
-    return _rounded(_meta(spark, sf_dir).filter("kind = 'map'").select("cluster_id", "key", "value", "freq"), "freq", digits=6)
+@boxed("cluster_metadata_freq", SMALL, lambda b: f"{_metadata(b, 5, TWO)} select cluster_id, key, value, round(freq, 6) as freq from f where kind = 'map'")
+def cluster_metadata_freq(spark, sf_dir, b):
+    return _rounded(_meta(spark, sf_dir, b).filter("kind = 'map'").select("cluster_id", "key", "value", "freq"), "freq", digits=6)
 
 
-@query("singleton_raw_metadata", f"{_metadata(SECOND, 12, TWO)} select cluster_id, key, type, value from f where kind = 'single'")
-def singleton_raw_metadata(spark, sf_dir):
-    return _meta(spark, sf_dir, SECOND, 12).filter("kind = 'single'").select("cluster_id", "key", "type", "value")
+@boxed("singleton_raw_metadata", SECOND, lambda b: f"{_metadata(b, 12, TWO)} select cluster_id, key, type, value from f where kind = 'single'")
+def singleton_raw_metadata(spark, sf_dir, b):
+    return _meta(spark, sf_dir, b, 12).filter("kind = 'single'").select("cluster_id", "key", "type", "value")
 
 
-@query("minpoints1_metadata_freq", f"{_metadata(SECOND, 12, ClusterOptions(min_points=1))} select cluster_id, key, value, round(freq, 6) as freq from f where kind = 'map'")
-def minpoints1_metadata_freq(spark, sf_dir):
-    return _rounded(_meta(spark, sf_dir, SECOND, 12, ClusterOptions(min_points=1)).filter("kind = 'map'").select("cluster_id", "key", "value", "freq"), "freq", digits=6)
+@boxed("minpoints1_metadata_freq", SECOND, lambda b: f"{_metadata(b, 12, ClusterOptions(min_points=1))} select cluster_id, key, value, round(freq, 6) as freq from f where kind = 'map'")
+def minpoints1_metadata_freq(spark, sf_dir, b):
+    return _rounded(_meta(spark, sf_dir, b, 12, ClusterOptions(min_points=1)).filter("kind = 'map'").select("cluster_id", "key", "value", "freq"), "freq", digits=6)
 
 
-@query("nested_rollup", f"{_clusters(SMALL, 7, TWO)}, u as (select id, count, value, {P.unproject_lng_sql('x', 7)} as lng, {P.unproject_lat_sql('y', 7)} as lat from c) select id % 5 as group_id, sum(count)::bigint as count, round(sum(lng::double * count) / sum(count), 3) as lng, round(sum(lat::double * count) / sum(count), 3) as lat, sum(value::decimal(24,6))::double as value from u group by 1")
-def nested_rollup(spark, sf_dir):
-    rows = _cluster_rows(spark, sf_dir, zoom=7)
+@boxed("nested_rollup", SMALL, lambda b: f"{_clusters(b, 7, TWO)}, u as (select id, count, value, {P.unproject_lng_sql('x', 7)} as lng, {P.unproject_lat_sql('y', 7)} as lat from c) select id % 5 as group_id, sum(count)::bigint as count, round(sum(lng::double * count) / sum(count), 3) as lng, round(sum(lat::double * count) / sum(count), 3) as lat, sum(value::decimal(24,6))::double as value from u group by 1")
+def nested_rollup(spark, sf_dir, b):
+    rows = _cluster_rows(spark, sf_dir, b, zoom=7)
     return _rounded(rollup.nested_rollup(rows, F.col("id") % 5, ["value"]), "lng", "lat", digits=3)
 
 
@@ -345,35 +362,35 @@ def dedupe_ids(spark, sf_dir):
 # --- summaries -------------------------------------------------------------------------------------------------------
 
 
-@query("summary_counts", f"{_clusters(SMALL, 8, TWO)} select coalesce(sum(count), 0)::bigint as total_points, count(*) filter (count > 1) as num_clusters, count(*) filter (count <= 1) as num_single_points from c")
-def summary_counts(spark, sf_dir):
-    return summary.counts(_cluster_rows(spark, sf_dir, zoom=8))
+@boxed("summary_counts", SMALL, lambda b: f"{_clusters(b, 8, TWO)} select coalesce(sum(count), 0)::bigint as total_points, count(*) filter (count > 1) as num_clusters, count(*) filter (count <= 1) as num_single_points from c")
+def summary_counts(spark, sf_dir, b):
+    return summary.counts(_cluster_rows(spark, sf_dir, b, zoom=8))
 
 
-@query("metric_stats", f"{_clusters(SMALL, 8, TWO)}, u as (select 'value' as key, value as v from c union all select 'k', k from c) select key, min(v) as min, max(v) as max, round(sum(v::decimal(30,6))::double, 4) as sum, round(sum(v::decimal(30,6))::double / count(*), 4) as average from u where v is not null group by key")
-def metric_stats(spark, sf_dir):
-    return _rounded(summary.metric_stats(_cluster_rows(spark, sf_dir, zoom=8), ["value", "k"]), "sum", "average")
+@boxed("metric_stats", SMALL, lambda b: f"{_clusters(b, 8, TWO)}, u as (select 'value' as key, value as v from c union all select 'k', k from c) select key, min(v) as min, max(v) as max, round(sum(v::decimal(30,6))::double, 4) as sum, round(sum(v::decimal(30,6))::double / count(*), 4) as average from u where v is not null group by key")
+def metric_stats(spark, sf_dir, b):
+    return _rounded(summary.metric_stats(_cluster_rows(spark, sf_dir, b, zoom=8), ["value", "k"]), "sum", "average")
 
 
-@query("numeric_range", f"{_metadata(SMALL, 8, TWO)} select key, min(value::double) as min, max(value::double) as max, case when sum(weight) > 0 then round(sum(value::double * weight) / sum(weight), 4) end as average from cl where class = 'number' group by key")
-def numeric_range(spark, sf_dir):
-    return _rounded(summary.numeric_range(_meta(spark, sf_dir, zoom=8)), "average")
+@boxed("numeric_range", SMALL, lambda b: f"{_metadata(b, 8, TWO)} select key, min(value::double) as min, max(value::double) as max, case when sum(weight) > 0 then round(sum(value::double * weight) / sum(weight), 4) end as average from cl where class = 'number' group by key")
+def numeric_range(spark, sf_dir, b):
+    return _rounded(summary.numeric_range(_meta(spark, sf_dir, b, zoom=8)), "average")
 
 
-@query("categorical_distribution", f"{_metadata(SMALL, 8, TWO)}, n as (select key, value, sum(weight) as n from cl where class = 'text' and key not in (select key from cl where class in ('number', 'time')) group by key, value) select key, value, case when sum(n) over (partition by key) > 0 then round(n / sum(n) over (partition by key) * 100, 4) end as percent from n")
-def categorical_distribution(spark, sf_dir):
-    return _rounded(summary.distribution(_meta(spark, sf_dir, zoom=8)), "percent")
+@boxed("categorical_distribution", SMALL, lambda b: f"{_metadata(b, 8, TWO)}, n as (select key, value, sum(weight) as n from cl where class = 'text' and key not in (select key from cl where class in ('number', 'time')) group by key, value) select key, value, case when sum(n) over (partition by key) > 0 then round(n / sum(n) over (partition by key) * 100, 4) end as percent from n")
+def categorical_distribution(spark, sf_dir, b):
+    return _rounded(summary.distribution(_meta(spark, sf_dir, b, zoom=8)), "percent")
 
 
-@query("time_range", f"{_metadata(SMALL, 8, TWO)} select key, min(value) as earliest, max(value) as latest from cl where class = 'time' and key not in (select key from cl where class = 'number') group by key")
-def time_range(spark, sf_dir):
+@boxed("time_range", SMALL, lambda b: f"{_metadata(b, 8, TWO)} select key, min(value) as earliest, max(value) as latest from cl where class = 'time' and key not in (select key from cl where class = 'number') group by key")
+def time_range(spark, sf_dir, b):
     text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(c)
-    return summary.time_range(_meta(spark, sf_dir, zoom=8)).select("key", text("earliest"), text("latest"))
+    return summary.time_range(_meta(spark, sf_dir, b, zoom=8)).select("key", text("earliest"), text("latest"))
 
 
-@query("summary_precedence", f"{_metadata(SMALL, 8, TWO)} select key, case when bool_or(class = 'number') then 'range' when bool_or(class = 'time') then 'time_range' else 'distribution' end as summary from cl group by key")
-def summary_precedence(spark, sf_dir):
-    return summary.summary_kinds(_meta(spark, sf_dir, zoom=8))
+@boxed("summary_precedence", SMALL, lambda b: f"{_metadata(b, 8, TWO)} select key, case when bool_or(class = 'number') then 'range' when bool_or(class = 'time') then 'time_range' else 'distribution' end as summary from cl group by key")
+def summary_precedence(spark, sf_dir, b):
+    return summary.summary_kinds(_meta(spark, sf_dir, b, zoom=8))
 
 
 # --- ingest ----------------------------------------------------------------------------------------------------------
@@ -403,6 +420,11 @@ def point_lookup(spark, sf_dir):
     return index.point_lookup(points.event_points(spark, sf_dir), wanted).select("id", "value", "event_type")
 
 
+@query("point_lookup_all", f"with {EVENTS} select id, value, event_type from ev")
+def point_lookup_all(spark, sf_dir):
+    return index.point_lookup(points.event_points(spark, sf_dir), points.event_points(spark, sf_dir).select("id")).select("id", "value", "event_type")
+
+
 # --- output ----------------------------------------------------------------------------------------------------------
 
 
@@ -410,17 +432,17 @@ def _fields(features: DataFrame, **paths: str) -> DataFrame:
     return features.select("id", *[F.get_json_object("feature", p).alias(n) for n, p in paths.items()])
 
 
-@query("geojson_flat", f"{_clusters(SECOND, 9, TWO)} select id, 'Feature' as type, (count > 1)::varchar as cluster, case when count > 1 then id::varchar end as cluster_id, case when count > 1 then count::varchar end as point_count, case when count <= 1 then id::varchar end as own_id, round(value, 2) as value from c")
-def geojson_flat(spark, sf_dir):
-    grouped = _members(spark, sf_dir, SECOND, 9).persist()
+@boxed("geojson_flat", SECOND, lambda b: f"{_clusters(b, 9, TWO)} select id, 'Feature' as type, (count > 1)::varchar as cluster, case when count > 1 then id::varchar end as cluster_id, case when count > 1 then count::varchar end as point_count, case when count <= 1 then id::varchar end as own_id, round(value, 2) as value from c")
+def geojson_flat(spark, sf_dir, b):
+    grouped = _members(spark, sf_dir, b, 9).persist()
     features = geojson.flat_features(rollup.cluster_rows(grouped, 9, ["value", "k"], TWO), ["value", "k"], rollup.metadata_rows(grouped, METADATA))
     out = _fields(features, type="$.type", cluster="$.properties.cluster", cluster_id="$.properties.cluster_id", point_count="$.properties.point_count", own_id="$.properties.id", value="$.properties.value")
     return out.withColumn("value", F.round(F.col("value").cast("double"), 2))
 
 
-@query("feature_collection_api", f"{_clusters(SECOND, 9, TWO)} select id, (count > 1)::varchar as cluster, count::varchar as point_count, round(value, 2) as value, round(k, 2) as k from c")
-def feature_collection_api(spark, sf_dir):
-    features = geojson.service_features(_cluster_rows(spark, sf_dir, SECOND, 9), ["value", "k"])
+@boxed("feature_collection_api", SECOND, lambda b: f"{_clusters(b, 9, TWO)} select id, (count > 1)::varchar as cluster, count::varchar as point_count, round(value, 2) as value, round(k, 2) as k from c")
+def feature_collection_api(spark, sf_dir, b):
+    features = geojson.service_features(_cluster_rows(spark, sf_dir, b, 9), ["value", "k"])
     out = _fields(features, cluster="$.properties.cluster", point_count="$.properties.point_count", value="$.properties.metrics.value", k="$.properties.metrics.k")
     return out.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in ("value", "k")})
 

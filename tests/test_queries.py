@@ -17,3 +17,23 @@ def test_every_point_is_counted_once(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     table, key = ("events", "event_id") if name == "greedy_full" else ("orders", "o_orderkey")
     assert sum(r["count"] for r in rows) == spark.read.parquet(f"{SF}/{table}.parquet").select(key).distinct().count()
+
+
+GROUPED = "greedy_membership_z5 greedy_minpoints3 greedy_input_order greedy_z15_singletons greedy_clusters_z2 cluster_size_histogram cluster_metrics_sum cluster_centroid cluster_members cluster_metadata_freq singleton_raw_metadata minpoints1_metadata_freq nested_rollup summary_counts metric_stats numeric_range categorical_distribution time_range summary_precedence geojson_flat feature_collection_api".split()
+
+
+@pytest.mark.parametrize("name", [*GROUPED, "point_lookup"])
+def test_whole_table_is_registered(name):
+    assert {f"{name}_all", name} <= set(QUERIES) & set(ORACLE)
+
+
+@pytest.mark.parametrize("name", [f"{n}_all" for n in (*GROUPED[:4], "point_lookup")])
+def test_whole_table_has_every_event(spark, name):
+    ids = sorted(r["id"] for r in QUERIES[name](spark, SF).select("id").collect())
+    assert ids == sorted(r["event_id"] for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect())
+
+
+def test_whole_table_sums(spark):
+    n = spark.read.parquet(f"{SF}/events.parquet").count()
+    for name, column in (("greedy_clusters_z2_all", "count"), ("cluster_metrics_sum_all", "count"), ("nested_rollup_all", "count"), ("summary_counts_all", "total_points")):
+        assert sum(r[column] for r in QUERIES[name](spark, SF).collect()) == n
