@@ -1,4 +1,4 @@
-"""Language-model scores: an interpolated modified Kneser-Ney bigram model counted in Spark.
+"""Language-model scores: an interpolated modified Kneser-Ney model of any order from 2 on, counted in Spark.
 
 Training texts are cut to words; a text is ``begin w1 .. wn end`` and every token but ``begin`` is predicted from the one
 before. Counting is one pass: each task sums its word and bigram hashes up and hands them on in packed arrays, one row for
@@ -11,6 +11,10 @@ into memory; where the shared folder is not a mounted one, they fetch them once
 ``P(w | v) = (max(c(vw) - D(c(vw)), 0) + (D1 n1(v) + D2 n2(v) + D3 n3(v)) P1(w)) / c(v)``; P1 has the same form over the
 numbers of different words before w, with ``1 / (V + 1)`` beneath. D1, D2, D3 come from the counts of counts.
 
+With an order above 2 a text starts with ``order - 1`` begins, the first pass counts words and n-grams of the full order, and
+the second pass runs once for each level beneath, from the longest: a gram's sums over its occurrences are those of the level
+above (``count`` at the top, else the number of different words before it). P is then nested level by level down to P1.
+
 What is gathered grows with the corpus (all words and bigrams are counted, none is left out). In each task: the arrays of
 ``FLUSH`` tokens, and one range of a merged table.
 
@@ -24,6 +28,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import zlib
 from pathlib import Path
 
 import numpy as np
@@ -36,6 +41,11 @@ from .common import HashedWords, arrow_schema, column_chunks, extended, from_bat
 FLUSH = 4_000_000
 #: Text bytes scored at once.
 CHUNK = 8 << 20
+
+
+def _chunk(order: int) -> int:
+    """Less at higher orders, whose chunks have more columns."""
+    return CHUNK if order == 2 else CHUNK // 4
 #: Hashes of the two marks, taken at random.
 BEGIN, END = np.uint64(0x6B1F3C5D9E274A81), np.uint64(0xC3A5D7E912B4F608)
 
@@ -114,23 +124,29 @@ class Arrays:
 # --- counting --------------------------------------------------------------------------------------------------------
 
 
-def _tokens(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of ``begin w1 .. wn end`` of all texts of an Arrow column, and each text's number of tokens with ``begin``."""
+def _tokens(texts, order: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``order - 1`` begins and ``w1 .. wn end`` of all texts of an Arrow column, and each text's number of them."""
     words = HashedWords(texts, "space")
-    sizes = words.sizes + 2
+    sizes = words.sizes + order
     stops = np.cumsum(sizes)
     tokens = np.empty(int(stops[-1]) if len(stops) else 0, np.uint64)
     inner = np.ones(len(tokens), bool)
-    inner[stops - sizes] = inner[stops - 1] = False
+    for k in range(order - 1):
+        tokens[stops - sizes + k], inner[stops - sizes + k] = BEGIN, False
+    tokens[stops - 1], inner[stops - 1] = END, False
     tokens[inner] = words.hashes
-    tokens[stops - sizes], tokens[stops - 1] = BEGIN, END
     return tokens, sizes
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bigram hashes, and the index of each one's first token; none across texts."""
-    first = np.delete(np.arange(len(tokens)), np.cumsum(sizes) - 1)
-    return gram_hashes(tokens, 2)[first] if len(tokens) > 1 else np.empty(0, np.uint64), first
+def _ends(sizes: np.ndarray, order: int) -> np.ndarray:
+    """The indexes of all tokens but the begins: those that are predicted."""
+    starts = np.cumsum(sizes) - sizes
+    return np.delete(np.arange(int(sizes.sum())), (starts[:, None] + np.arange(order - 1)).ravel())
+
+
+def _hashes(tokens: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the k-grams by their first token's index; a word's is its own."""
+    return tokens if k == 1 else gram_hashes(tokens, k)
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
@@ -152,7 +168,7 @@ def _packed(kind: str, shards: int, keys: np.ndarray, columns: list[np.ndarray])
 ROWS = "kind string, shard int, keys binary, counts binary"
 
 
-def _counts(docs: DataFrame, shards: int) -> DataFrame:
+def _counts(docs: DataFrame, shards: int, order: int) -> DataFrame:
     schema, arrow = arrow_schema(ROWS)
 
     def count(batches):
@@ -162,21 +178,21 @@ def _counts(docs: DataFrame, shards: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
         def flush():
-            for kind, hashed in (("word", words), ("pair", pairs)):
+            for kind, hashed in (("word", words), ("gram", grams)):
                 k, n = np.unique(np.concatenate(hashed), return_counts=True)
                 rows = list(_packed(kind, shards, k, [n.astype(np.uint32)]))
                 for i in range(0, len(rows), 256):
                     yield batch_of(rows[i : i + 256])
 
-        words, pairs, held = [], [], 0
+        words, grams, held = [], [], 0
         for _, texts in column_chunks(batches):
-            t, sizes = _tokens(texts)
+            t, sizes = _tokens(texts, order)
             words.append(t)
-            pairs.append(_pairs(t, sizes)[0])
+            grams.append(_hashes(t, order)[_ends(sizes, order) - order + 1] if len(t) else t)
             held += len(t)
             if held >= FLUSH:
                 yield from flush()
-                words, pairs, held = [], [], 0
+                words, grams, held = [], [], 0
         if held:
             yield from flush()
 
@@ -190,6 +206,10 @@ def _classes(c: np.ndarray) -> list[int]:
     return [int((c == i).sum()) for i in (1, 2, 3, 4)]
 
 
+def _narrow(c: np.ndarray) -> np.ndarray:
+    return c.astype(np.uint32) if c.max(initial=0) >= 1 << 16 else c.astype(np.uint16) if c.max(initial=0) >= 256 else c.astype(np.uint8)
+
+
 def _merge_counts(rows: DataFrame, folder: str) -> DataFrame:
     """Writes the sorted arrays of each range; one row of sums a range."""
     def merge(key, pdf):
@@ -198,38 +218,56 @@ def _merge_counts(rows: DataFrame, folder: str) -> DataFrame:
         kind, shard = key
         k, c = _summed(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]]), np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["counts"]]))
         _write(folder, f"{kind}-{shard}-keys", k)
-        _write(folder, f"{kind}-{shard}-count", c.astype(np.uint32) if c.max(initial=0) >= 1 << 16 else c.astype(np.uint16) if c.max(initial=0) >= 256 else c.astype(np.uint8))
+        _write(folder, f"{kind}-{shard}-count", _narrow(c))
         own = c[k != BEGIN] if kind == "word" else c
         return pd.DataFrame([[kind, shard, len(own), float(own.sum()), *_classes(own)]], columns=[x.split()[0] for x in STATS.split(", ")])
 
     return rows.groupBy("kind", "shard").applyInPandas(merge, STATS)
 
 
-def _contexts(docs: DataFrame, folder: str, shards: int) -> DataFrame:
-    """Per word and task: different words before it, and of different words after it those seen once, twice, more often."""
-    schema, arrow = arrow_schema("shard int, keys binary, before binary, n1 binary, n2 binary, n3 binary")
+def _kind(k: int, order: int) -> str:
+    return "word" if k == 1 else "gram" if k == order else f"gram{k}"
+
+
+def _columns(k: int, order: int) -> tuple[str, ...]:
+    """What ``_contexts`` gives for a level; with order 2 a history's total is its word's count."""
+    return ("before", "n1", "n2", "n3", *(("total",) if order > 2 else ()), *(("count",) if k > 1 else ()))
+
+
+def _contexts(docs: DataFrame, folder: str, shards: int, order: int, k: int) -> DataFrame:
+    """Per k-gram and task: different words before it, and of different words after it those of class 1, 2, more.
+
+    Over order 2 also the sum over what follows it, and for more than words its own occurrences."""
+    names = _columns(k, order)
+    schema, arrow = arrow_schema(", ".join(["shard int, keys binary", *[f"{c} binary" for c in names]]))
 
     def look(batches):
         import pyarrow as pa
 
         def flush():
             merged = _summed(*[np.concatenate(x) for x in zip(*held, strict=True)])
-            rows = [r[1:] for r in _packed("word", shards, merged[0], merged[1:])]
+            # few different values in the columns of sums: much smaller when packed
+            rows = [(r[1], r[2], *[zlib.compress(c, 1) for c in r[3:]]) for r in _packed("", shards, merged[0], merged[1:])]
             for i in range(0, len(rows), 256):
                 own = rows[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*own, strict=True), arrow, strict=True)], schema=arrow)
 
         held, size = [], 0
-        counts = None
-        for _, texts in column_chunks(batches, budget=CHUNK):
-            counts = counts or Arrays(folder, "pair", shards, ("count",))
-            t, sizes = _tokens(texts)
-            pairs, first = _pairs(t, sizes)
-            different, at = np.unique(pairs, return_inverse=True)
-            c = counts(different)[0][at]
-            share = 1.0 / c
+        above = None
+        for _, texts in column_chunks(batches, budget=_chunk(order)):
+            above = above or Arrays(folder, _kind(k + 1, order), shards, ("count", *(("before",) if k + 1 < order else ())))
+            t, sizes = _tokens(texts, order)
+            if not len(t):
+                continue
+            first = _ends(sizes, order) - k
+            different, at = np.unique(_hashes(t, k + 1)[first], return_inverse=True)
+            found = above(different)
+            share, c = 1.0 / found[0][at], found[-1][at]
             nothing = np.zeros(len(c))
-            held.append(_summed(np.concatenate([t[first + 1], t[first]]), np.r_[share, nothing], *[np.r_[nothing, np.where(k, share, 0)] for k in (c == 1, c == 2, c >= 3)]))
+            own = _hashes(t, k)
+            given = {"before": np.r_[share, nothing], "total": np.r_[nothing, c * share], "count": np.r_[nothing + 1, nothing]}
+            given |= {f"n{i}": np.r_[nothing, np.where(x, share, 0)] for i, x in enumerate((c == 1, c == 2, c >= 3), 1)}
+            held.append(_summed(np.concatenate([own[first + 1], own[first]]), *[given[n] for n in names]))
             size += len(held[-1][0])
             if size >= FLUSH // 4:
                 yield from flush()
@@ -240,17 +278,21 @@ def _contexts(docs: DataFrame, folder: str, shards: int) -> DataFrame:
     return from_batches(docs.select("text"), look, schema)
 
 
-def _merge_contexts(rows: DataFrame, folder: str) -> DataFrame:
+def _merge_contexts(rows: DataFrame, folder: str, order: int, k: int) -> DataFrame:
+    kind, names = _kind(k, order), _columns(k, order)
+
     def merge(key, pdf):
         import pandas as pd
 
-        columns = [np.concatenate([np.frombuffer(x, t) for x in pdf[c]]) for c, t in (("keys", np.uint64), *[(c, np.float64) for c in ("before", "n1", "n2", "n3")])]
-        k, *sums = _summed(*columns)
+        hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
+        keys, *sums = _summed(hashed, *[np.concatenate([np.frombuffer(zlib.decompress(x), np.float64) for x in pdf[c]]) for c in names])
         sums = [np.rint(s).astype(np.uint32) for s in sums]
-        # the same keys as those of the word counts, whose tokens these are
-        for name, s in zip(("before", "n1", "n2", "n3"), sums, strict=True):
-            _write(folder, f"word-{key[0]}-{name}", s)
-        return pd.DataFrame([["word", key[0], len(k), float(sums[0].sum()), *_classes(sums[0])]], columns=[x.split()[0] for x in STATS.split(", ")])
+        # a word's keys are those of the word counts, whose tokens these are
+        if k > 1:
+            _write(folder, f"{kind}-{key[0]}-keys", keys)
+        for name, s in zip(names, sums, strict=True):
+            _write(folder, f"{kind}-{key[0]}-{name}", _narrow(s))
+        return pd.DataFrame([[kind, key[0], len(keys), float(sums[0].sum()), *_classes(sums[0])]], columns=[x.split()[0] for x in STATS.split(", ")])
 
     return rows.groupBy("shard").applyInPandas(merge, STATS)
 
@@ -265,56 +307,71 @@ def _discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
 class Model:
     """A trained model: the folder of its arrays and its few totals."""
 
-    def __init__(self, folder: str, shards: int, totals: dict):
-        self.folder, self.shards, self.totals = folder, shards, totals
+    def __init__(self, folder: str, shards: int, totals: dict, order: int = 2):
+        self.folder, self.shards, self.totals, self.order = folder, shards, totals, order
 
     def scorer(self):
         """A function: texts -> arrays of n_tokens, n_known, base_score, score."""
-        words = Arrays(self.folder, "word", self.shards, ("count", "before", "n1", "n2", "n3"))
-        pairs = Arrays(self.folder, "pair", self.shards, ("count",))
+        order = self.order
+        levels = [Arrays(self.folder, _kind(k, order), self.shards, (*(("count",) if k == 1 else ()), *_columns(k, order))) for k in range(1, order)]
+        grams = Arrays(self.folder, "gram", self.shards, ("count",))
         t = self.totals
-        d, e = np.array([0, *t["d"]]), np.array([0, *t["e"]])
+        d = [np.array([0, *x]) for x in t["d"]]  # by level from 1
         level = lambda c: np.minimum(c, 3).astype(np.int64)
 
         def score(texts):
-            tokens, sizes = _tokens(texts)
-            grams, first = _pairs(tokens, sizes)
-            own, at = np.unique(tokens, return_inverse=True)
-            count, before, n1, n2, n3 = words(own)
-            low = (np.maximum(before - e[level(before)], 0) + t["spare"] / (t["types"] + 1)) / t["before"] if t["before"] else np.full(len(own), 1.0 / (t["types"] + 1))
-            base = np.log10((count + 1) / (t["tokens"] + t["types"] + 1))
-            rest = d[1] * n1 + d[2] * n2 + d[3] * n3
-            different, which = np.unique(grams, return_inverse=True)
-            c = pairs(different)[0][which]
-            v, w = at[first], at[first + 1]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(count[v] > 0, (np.maximum(c - d[level(c)], 0) + rest[v] * low[w]) / count[v], low[w])
-            starts = np.cumsum(sizes - 1) - (sizes - 1)
+            tokens, sizes = _tokens(texts, order)
+            ends = _ends(sizes, order)
+            for k in range(1, order + 1):
+                own, at = np.unique(_hashes(tokens, k) if k < order else _hashes(tokens, k)[ends - k + 1], return_inverse=True)
+                if k < order:
+                    found = dict(zip((*(("count",) if k == 1 else ()), *_columns(k, order)), levels[k - 1](own), strict=True))
+                    this = at[ends - k + 1]
+                c = found["before"][this] if k < order else grams(own)[0][at]
+                if k == 1:
+                    low = (np.maximum(found["before"] - d[0][level(found["before"])], 0) + t["spare"] / (t["types"] + 1)) / t["before"] if t["before"] else np.full(len(own), 1.0 / (t["types"] + 1))
+                    p, base, known = low[this], np.log10((found["count"] + 1) / (t["tokens"] + t["types"] + 1))[this], found["count"][this] > 0
+                else:
+                    rest = d[k - 1][1] * n1 + d[k - 1][2] * n2 + d[k - 1][3] * n3
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        p = np.where(total > 0, (np.maximum(c - d[k - 1][level(c)], 0) + rest * p) / total, p)
+                if k < order:
+                    v = at[ends - k]
+                    n1, n2, n3, total = (found[x][v] for x in ("n1", "n2", "n3", "total" if order > 2 else "count"))
+            starts = np.cumsum(sizes - order + 1) - (sizes - order + 1)
             sums = lambda x: np.add.reduceat(x, starts)
-            return sizes - 1, sums((count[w] > 0).astype(np.int64)), sums(base[w]), sums(np.log10(p))
+            return sizes - order + 1, sums(known.astype(np.int64)), sums(base), sums(np.log10(p))
 
         return score
 
 
-def train(docs: DataFrame) -> Model:
-    """A model of all texts of ``docs``."""
+def train(docs: DataFrame, order: int = 2) -> Model:
+    """A model of all texts of ``docs``, with ``order - 1`` words of context."""
+    if order < 2:
+        raise ValueError(f"order {order} is below 2")
     spark = docs.sparkSession
     folder = scratch(spark, "model")
     shards = 1 << int(np.clip(int(2 * docs.rdd.getNumPartitions() - 1).bit_length(), 3, 12))
-    stats = _merge_counts(_counts(docs, shards), folder).collect()  # one row for each range
-    _fill(folder, shards, {(r["kind"], r["shard"]) for r in stats})
-    total = {k: [sum(r[x] for r in stats if r["kind"] == k) for x in ("keys", "total", "n1", "n2", "n3", "n4")] for k in ("word", "pair")}
-    low = [sum(x) for x in zip(*[(r["total"], r["n1"], r["n2"], r["n3"], r["n4"], r["keys"]) for r in _merge_contexts(_contexts(docs, folder, shards), folder).collect()], strict=True)] or [0] * 6
-    e = _discounts(*low[1:5])
-    types = total["word"][0]
+    stats = _merge_counts(_counts(docs, shards, order), folder).collect()  # one row for each range
+    _fill(folder, shards, {(r["kind"], r["shard"]) for r in stats}, order)
+    total = {k: [sum(r[x] for r in stats if r["kind"] == k) for x in ("keys", "total", "n1", "n2", "n3", "n4")] for k in ("word", "gram")}
+    d = [_discounts(*total["gram"][2:])]
+    for k in range(order - 1, 0, -1):
+        rows = _merge_contexts(_contexts(docs, folder, shards, order, k), folder, order, k).collect()
+        if k > 1:
+            _fill(folder, shards, {(r["kind"], r["shard"]) for r in rows}, order, (k,))
+        low = [sum(x) for x in zip(*[(r["total"], r["n1"], r["n2"], r["n3"], r["n4"], r["keys"]) for r in rows], strict=True)] or [0] * 6
+        d.insert(0, _discounts(*low[1:5]))
+    types, e = total["word"][0], d[0]
     many = types - low[1] - low[2]
-    return Model(folder, shards, {"tokens": total["word"][1], "types": types, "d": _discounts(*total["pair"][2:]), "e": e, "before": low[0], "spare": e[0] * low[1] + e[1] * low[2] + e[2] * many})
+    return Model(folder, shards, {"tokens": total["word"][1], "types": types, "d": d, "before": low[0], "spare": e[0] * low[1] + e[1] * low[2] + e[2] * many}, order)
 
 
-def _fill(folder: str, shards: int, there: set) -> None:
+def _fill(folder: str, shards: int, there: set, order: int, levels: tuple[int, ...] | None = None) -> None:
     """Empty arrays for ranges without a key."""
     for s in range(shards):
-        for kind, columns in (("word", ("count", "before", "n1", "n2", "n3")), ("pair", ("count",))):
+        for k in levels or (1, order):
+            kind, columns = _kind(k, order), ("count",) if k == order else ("count", *_columns(1, order)) if k == 1 else _columns(k, order)
             if (kind, s) not in there:
                 _write(folder, f"{kind}-{s}-keys", np.empty(0, np.uint64))
                 for c in columns:
@@ -328,14 +385,14 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
     """``docs`` with n_tokens, n_known, base_score (add-one unigram) and score (log10 probability of the text)."""
     docs = docs.drop(*[x.split()[0] for x in ADDED.split(", ")])
     schema, arrow = arrow_schema(ADDED, docs, drop)
-    folder, shards, totals = model.folder, model.shards, model.totals
+    folder, shards, totals, order = model.folder, model.shards, model.totals, model.order
 
     def run(batches):
         import pyarrow as pa
 
         scorer = None
-        for batch, texts in column_chunks(batches, budget=CHUNK):
-            scorer = scorer or Model(folder, shards, totals).scorer()
+        for batch, texts in column_chunks(batches, budget=_chunk(order)):
+            scorer = scorer or Model(folder, shards, totals, order).scorer()
             yield extended(batch, [pa.array(x) for x in scorer(texts)], arrow, drop)
 
     return from_batches(docs, run, schema)
@@ -345,13 +402,17 @@ def held_out(doc_id: Column, of: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % of == fold, F.lit(False))
 
 
-def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_kneser_ney(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    model = train(docs.filter(~held_out(F.col("doc_id"))))
+    model = train(docs.filter(~held_out(F.col("doc_id"))), order)
     out = score(docs.withColumn("held_out", held_out(F.col("doc_id"))), model, ("text",))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(model.totals["tokens"])).cast("long").alias("train_tokens"), F.round("base_score", 7).alias("base_score"), F.round("score", 7).alias("score"))
 
 
+def op5_kneser_ney_order3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_kneser_ney(spark, sf_dir, 3)
+
+
 OP5_SQL = """
 with d as (
   select row_number() over () rid, doc_id, list_concat(list_concat([' begin'], regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')), [' end']) t,
@@ -384,5 +445,5 @@ select doc_id, held_out, n_tokens, n_known, (select tokens from k) train_tokens,
 from e join g using (rid)
 """
 
-QUERIES = {"op5_kneser_ney": op5_kneser_ney}
+QUERIES = {"op5_kneser_ney": op5_kneser_ney, "op5_kneser_ney_order3": op5_kneser_ney_order3}
 ORACLE = {"op5_kneser_ney": OP5_SQL}

@@ -239,6 +239,35 @@ def test_no_training_texts_gives_uniform(spark):
     assert [r.score for r in kneser_ney.score(docs(spark, EDGES[:1]), model).collect()] == [0.0]
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_higher_orders_by_brute_force(spark, order):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 30), p=[0.3, 0.2, 0.15, 0.1, 0.1, 0.05, 0.05, 0.05])) for _ in range(120)]
+    train, probe = texts[:100], [*texts, "zz a b", "a zz b c zz"]
+    pad = lambda t: [*["<"] * (order - 1), *t.split(), ">"]
+    grams = lambda t, k: [tuple(pad(t)[i - k + 1 : i + 1]) for i in range(order - 1, len(pad(t)))]
+    counts = {order: collections.Counter(g for t in train for g in grams(t, order))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    cut = {k: [0, *kneser_ney._discounts(*[sum(x == i for x in c.values()) for i in (1, 2, 3, 4)])] for k, c in counts.items()}
+    after = {k: collections.defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, x in c.items():
+            after[k][g[:-1]].append(x)
+
+    def prob(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(counts[1]) + 1)
+        own = after[k].get(g[:-1])
+        return (max(counts[k][g] - cut[k][min(counts[k][g], 3)], 0) + sum(cut[k][min(x, 3)] for x in own) * prob(g[1:])) / sum(own) if own else prob(g[1:])
+
+    got = kneser_ney.score(texts_of(spark, probe), kneser_ney.train(texts_of(spark, train).repartition(3), order)).orderBy("doc_id").collect()
+    for t, r in zip(probe, got, strict=True):
+        assert math.isclose(r.score, sum(math.log10(prob(g)) for g in grams(t, order)), abs_tol=1e-6) and r.n_tokens == len(t.split()) + 1
+    assert "op5_kneser_ney_order3" in registry.QUERIES
+
+
 # --- 6 urls ----------------------------------------------------------------------------------------------------------
 
 
