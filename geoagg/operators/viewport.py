@@ -59,6 +59,17 @@ def batch_viewports(points: DataFrame, views: DataFrame, cell: float = 10.0) ->
     return met.filter(F.col("lng").between(F.col("min_x"), F.col("max_x")) & F.col("lat").between(F.col("min_y"), F.col("max_y"))).drop("cx", "cy", "min_x", "min_y", "max_x", "max_y")
 
 
+def batch_projected(points: DataFrame, views: DataFrame, zooms: tuple[int, ...], options: ClusterOptions = ClusterOptions()) -> DataFrame:
+    """``batch_viewports`` for views with a ``zoom`` (one of ``zooms``): points with x and y at their view's zoom, inside its pixels."""
+    at = lambda project, c: F.coalesce(*[F.when(F.col("zoom") == z, project(F.col(c), z, options)) for z in zooms])
+    views = views.withColumns({"_x0": at(P.project_x, "min_x"), "_y0": at(P.project_y, "max_y"), "_x1": at(P.project_x, "max_x"), "_y1": at(P.project_y, "min_y")})
+    # the filter in degrees is wider than the one in pixels, as in raw_filter
+    south, north = F.when(F.col("min_y") <= -85.05, -90.0).otherwise(F.col("min_y") - PAD), F.when(F.col("max_y") >= 85.05, 90.0).otherwise(F.col("max_y") + PAD)
+    views = views.withColumns({"min_x": F.col("min_x") - PAD, "max_x": F.col("max_x") + PAD, "min_y": south, "max_y": north})
+    met = batch_viewports(points, views).withColumns({"x": at(P.project_x, "lng"), "y": at(P.project_y, "lat")})
+    return met.filter(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1"))).drop("_x0", "_y0", "_x1", "_y1")
+
+
 def overlapping(a: DataFrame, b: DataFrame) -> Column:
     """Whether two rectangles (min_x .. max_y of either side) meet, edges included."""
     return (a["max_x"] >= b["min_x"]) & (a["min_x"] <= b["max_x"]) & (a["max_y"] >= b["min_y"]) & (a["min_y"] <= b["max_y"])

@@ -200,6 +200,28 @@ def batch_viewports(spark, sf_dir):
     return met.groupBy("view_id").agg(F.count("*").alias("n"), F.min("id").alias("min_id"), F.max("id").alias("max_id"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
 
 
+_ZOOMS = (2, 5, 9)
+
+
+def _views_sql() -> str:
+    edge = lambda v, f, z: f(f"{v!r}::float", z)
+    one = lambda i, a, b, c, d, z: (
+        f"select {i} as view_id, {z} as zoom, count(*) as n, round(avg(x::double), 4) as mean_x, round(avg(y::double), 4) as mean_y, sum(value::decimal(18,2))::double as total "
+        f"from (select *, {P.project_x_sql('lng', z)} as x, {P.project_y_sql('lat', z)} as y from ev) "
+        f"where x between {edge(a, P.project_x_sql, z)} and {edge(c, P.project_x_sql, z)} and y between {edge(d, P.project_y_sql, z)} and {edge(b, P.project_y_sql, z)} having count(*) > 0"
+    )
+    return f"with {EVENTS} " + " union all ".join(one(*v, z) for v in _VIEWS for z in _ZOOMS)
+
+
+@query("batch_viewports_zooms", _views_sql())
+def batch_viewports_zooms(spark, sf_dir):
+    views = spark.createDataFrame([(*v, z) for v in _VIEWS for z in _ZOOMS], "view_id int, min_x double, min_y double, max_x double, max_y double, zoom int")
+    met = viewport.batch_projected(points.event_points(spark, sf_dir), views, _ZOOMS)
+    means = {f"mean_{c}": F.avg(F.col(c).cast("double")) for c in "xy"}
+    rows = met.groupBy("view_id", "zoom").agg(F.count("*").alias("n"), *[m.alias(n) for n, m in means.items()], F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
+    return _rounded(rows, *means)
+
+
 _CASES = [(z, n, r) for z in (2, 5, 9, 14, 16) for n in (1000, 20000, 60000, 200000) for r in (0.005, 0.1, 0.5)]
 
 

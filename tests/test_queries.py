@@ -37,3 +37,11 @@ def test_whole_table_sums(spark):
     n = spark.read.parquet(f"{SF}/events.parquet").count()
     for name, column in (("greedy_clusters_z2_all", "count"), ("cluster_metrics_sum_all", "count"), ("nested_rollup_all", "count"), ("summary_counts_all", "total_points")):
         assert sum(r[column] for r in QUERIES[name](spark, SF).collect()) == n
+
+
+def test_batches_have_views_and_zooms(spark):
+    rows = {(r.view_id, r.zoom): r for r in QUERIES["batch_viewports_zooms"](spark, SF).collect()}
+    assert len({z for _, z in rows}) == 3 and {v for v, _ in rows} == {1, 2, 3, 4, 5} and len(rows) == 15
+    plain = {r.view_id: r.n for r in QUERIES["batch_viewports"](spark, SF).collect()}
+    assert all(r.n == plain[v] for (v, _), r in rows.items())
+    assert all(abs(rows[v, 9].mean_x / rows[v, 2].mean_x - 128) < 0.01 for v in plain)
