@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -13,8 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Largest table, in rows, that an operator broadcasts after counting it; larger ones are joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Largest table that an operator broadcasts after counting its rows and measuring their bytes; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,11 +45,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def drop_scratch(*tables: DataFrame) -> None:
-    """Deletes tables of ``stored`` that nothing will read any more, and lets Spark drop the shuffle files behind them."""
+    """Deletes tables of ``stored`` that nothing will read any more."""
     for df in tables:
         _remove(df.sparkSession, df._scratch)
-    gc.collect()
-    tables[0].sparkSession._jvm.System.gc()
+
+
+#: Lets Spark remove the shuffle files of a query when the query ends, not when the driver next collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -57,16 +59,47 @@ def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = No
 
     ``files``: for tables whose size does not follow the number of documents, the number of files at most.
     """
-    path = scratch(spark, name)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df.coalesce(files) if files else df).write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path.rpartition("/")[0]
     return out
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; else unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a stored or short table, with a broadcast hint if it has at most ``rows`` rows of ``size`` bytes (as JSON texts) together.
+
+    Else unchanged, for a shuffled join. Rows and bytes are counted where they lie; one row of sums reaches the driver.
+    """
+    if df.count() > rows:
+        return df
+    measured = df.agg(F.sum(F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()[0] or 0
+    return F.broadcast(df) if measured <= size else df
+
+
+# --- rows that are carried along ---------------------------------------------------------------------------------------
+
+
+def carried(docs: DataFrame, *without: str) -> Column:
+    """All columns of ``docs`` but ``without`` as one struct ``row``: no name in it can clash with an operator's own."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {w.lower() for w in without}]
+    return F.struct(*(kept or [F.lit(None).cast("boolean").alias("_none")])).alias("row")
+
+
+def restored(df: DataFrame, *added: str | Column, without: tuple[str, ...] = ()) -> DataFrame:
+    """The fields of ``row`` and then ``added``; fields named like an added one, or in ``without``, are left out."""
+    made = df.select(*added) if added else None
+    gone = {n.lower() for n in (*(made.columns if made is not None else ()), *without, "_none")}
+    return df.select(*[F.col(f"row.`{f.name}`") for f in df.schema["row"].dataType.fields if f.name.lower() not in gone], *added)
+
+
+def text_key() -> Column:
+    """``key``: the MD5 of ``text`` (null: empty), by which results that are functions of the text are joined back."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("key")
 
 
 # --- column expressions ----------------------------------------------------------------------------------------------
@@ -114,23 +147,6 @@ def alnum_words(text: bytes | None) -> list[bytes]:
     return text.translate(_WORDS).split() if text else []
 
 
-class WordHash(dict):
-    """word -> 64-bit hash; remembers up to ``limit`` words so that frequent ones are hashed once."""
-
-    limit = 1 << 19
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
-
-
 def mix(a: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     with np.errstate(over="ignore"):
@@ -139,14 +155,15 @@ def mix(a: np.ndarray) -> np.ndarray:
         return a ^ (a >> np.uint64(32))
 
 
-def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
-    """64-bit hashes of all runs of ``n`` consecutive word hashes; none if there are fewer words."""
+def gram_hashes(words: np.ndarray, n: int, starts: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of all runs of ``n`` consecutive word hashes, or of those at ``starts``; none if there are fewer words."""
     if len(words) < n:
         return np.empty(0, np.uint64)
+    part = (lambda k: words[k : len(words) - n + 1 + k]) if starts is None else (lambda k: words[starts + k])
     with np.errstate(over="ignore"):
-        out = mix(words[: len(words) - n + 1] + np.uint64(n))
+        out = mix(part(0) + np.uint64(n))
         for k in range(1, n):
-            out = mix(out * np.uint64(0xA24BAED4963EE407) + words[k : len(words) - n + 1 + k])
+            out = mix(out * np.uint64(0xA24BAED4963EE407) + part(k))
     return out
 
 
@@ -157,20 +174,6 @@ def byte_texts(column: Iterable) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def text_chunks(batches: Iterable, column: str = "text", budget: int = 4 << 20) -> Iterable:
-    """(slice of the record batch, its texts as bytes) of about ``budget`` bytes, so that word lists stay small."""
-    for batch in batches:
-        texts = byte_texts(batch.column(batch.schema.get_field_index(column)))
-        at = size = 0
-        for i, t in enumerate(texts):
-            size += len(t or b"") + 64
-            if size >= budget:
-                yield batch.slice(at, i + 1 - at), texts[at : i + 1]
-                at, size = i + 1, 0
-        if at < len(texts):
-            yield batch.slice(at), texts[at:]
-
-
 def extended(batch, arrays: list, schema, drop: tuple[str, ...] = ()):
     """``batch`` without the columns ``drop``, with ``arrays`` appended, as a record batch of the Arrow ``schema``."""
     import pyarrow as pa
@@ -192,8 +195,25 @@ def arrow_schema(fields: str | list, like: DataFrame | None = None, drop: tuple[
 
 
 def from_batches(df: DataFrame, f: Callable, schema) -> DataFrame:
-    """``df.mapInArrow(f, schema)``."""
-    return df.mapInArrow(f, schema)
+    """``df.mapInArrow(f, schema)`` whose workers, which Spark uses again, give freed memory back at the end of a task."""
+
+    def run(batches):
+        yield from f(batches)
+        given_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def given_back() -> None:
+    """Returns what this process has freed to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 _LOW_BYTES = np.array([0, *[(1 << 8 * k) - 1 for k in range(1, 9)]], np.uint64)

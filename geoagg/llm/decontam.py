@@ -1,20 +1,23 @@
 """Benchmark decontamination by a prefix-filtered join.
 
 An item is cut into windows of ``window`` consecutive words (a shorter item is one window). A document is contaminated
-by a window when the window's words stand consecutively in it. A window is a sequence of ``shingle``-word shingles; for
-containment of the whole window its prefix is one shingle, and the rarest one over all documents is taken:
-
-1. one pass counts, over all documents, every shingle that occurs in the benchmark;
-2. each window is indexed by its rarest shingle (ties: the smaller hash) and that shingle's offset;
-3. a second pass joins the documents' rolling shingles with the index. A match fixes the window's start; the length and
-   positional bounds ask that the window lies inside the document; then the words themselves are compared.
-
-The index is sent to the workers in blocks of at most ``BLOCK_WORDS`` benchmark words, so its size is bounded however large
-the benchmark is; each further block is one more pass. Documents never leave their rows: nothing of them is shuffled.
-
-Defined results: null texts have no words; items without words have no windows; items with a null item_id are looked for
-but not listed; repeated items and documents are treated alike; an empty benchmark contaminates nothing; extra columns
-pass through and columns of the input named like an added one are replaced.
+by a window when the window's words stand consecutively in it. A window is a sequence of ``shingle``-word shingles (a shorter
+window is one shingle); for containment of the whole window its prefix is one shingle, the rarest over all documents:
+
+1. one pass counts, over all documents, every shingle that occurs in the benchmark; tasks hand on sums;
+2. each window is indexed by its rarest shingle (ties: the smaller hash, then the smaller offset) and that shingle's offset;
+3. a second pass looks for the prefix shingles. A place fixes the window's start for each offset; the length and positional
+   bounds ask that the window lies inside the document. What is left is joined with the index on the prefix shingle, its
+   offset, the length and a 128-bit hash of all words of the window, which is the check of the whole window.
+
+Index, counts and places are tables, joined by Spark; nothing of the benchmark or the documents is held by the driver. Both
+passes use a bit table of ``FILTER_BITS`` bits at most, without false negatives, to leave out most of what the joins would
+discard; a benchmark of any size takes two passes. Results are functions of the text and are joined back by its MD5, so
+copies are one key and texts do not move.
+
+Defined results: null and empty texts have no words and are clean; items without words have no windows; items with a null
+item_id are looked for but not listed; repeated items and documents are treated alike; a text of any length is read whole; an
+empty benchmark contaminates nothing; extra columns pass through and columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -22,180 +25,243 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, alnum_words, arrow_schema, extended, from_batches, gram_hashes, stored, text_chunks
+from .common import HashedWords, arrow_schema, carried, column_chunks, from_batches, gram_hashes, mix, restored, small, stored, text_key
 
 WINDOW = 10
 SHINGLE = 5
-#: Benchmark words in one broadcast index: about 100 MB in a worker.
-BLOCK_WORDS = 1_000_000
-
-
-def item_blocks(items: DataFrame, limit: int = BLOCK_WORDS) -> list[list[tuple[int | None, bytes]]]:
-    """The items in blocks of ``limit`` words about; one block is held by the driver at a time when the caller iterates."""
-    sizes = items.select(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-sizes // (6 * limit)))
-    keyed = items.select(F.col("item_id").cast("string").alias("item_id"), "text").withColumn("_block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
-    keyed = stored(items.sparkSession, keyed, "items") if blocks > 1 else keyed
-    for b in range(blocks):
-        yield [(r["item_id"], (r["text"] or "").encode()) for r in keyed.filter(F.col("_block") == b).collect()]
-
-
-class Windows:
-    """The distinct windows of some items, with their shingles."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int, shingle: int):
-        self.words: list[tuple[bytes, ...]] = []
-        self.items: list[set] = []
-        hashes, seen = WordHash(), {}
-        keys: dict[int, set[int]] = {}
-        self.grams: list[np.ndarray] = []
-        for item, text in items:
-            w = tuple(alnum_words(text))
-            if not w:
-                continue
-            size = min(window, len(w))
-            for i in range(len(w) - size + 1):
-                part = w[i : i + size]
-                k = seen.get(part)
-                if k is None:
-                    k = seen[part] = len(self.words)
-                    self.words.append(part)
-                    self.items.append(set())
-                    n = min(shingle, size)
-                    self.grams.append(gram_hashes(hashes(list(part)), n))
-                    keys.setdefault(n, set()).update(self.grams[-1].tolist())
-                if item is not None:
-                    self.items[k].add(item)
-        self.shingle = shingle
-        #: shingle length -> its sorted distinct hashes; only short items need lengths under ``shingle``
-        self.tables = {n: np.array(sorted(s), np.uint64) for n, s in sorted(keys.items())}
-
-    def index(self, counts: dict[tuple[int, int], int]) -> dict:
-        """Per shingle length: sorted prefix hashes, and for each its (window, offset) pairs."""
-        out: dict[int, dict[int, list]] = {n: {} for n in self.tables}
-        for k, g in enumerate(self.grams):
-            n = min(self.shingle, len(self.words[k]))
-            best = min(range(len(g)), key=lambda i: (counts.get((n, int(g[i])), 0), int(g[i]), i))
-            out[n].setdefault(int(g[best]), []).append((k, best))
-        return {n: (np.array(sorted(d), np.uint64), [d[h] for h in sorted(d)]) for n, d in out.items()}
-
-
-def _matches(hashes: np.ndarray, n: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions whose ``n``-gram is in the sorted ``table``, and its place there."""
-    g = gram_hashes(hashes, n)
-    if not len(g) or not len(table):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.searchsorted(table, g)
-    at[at == len(table)] = 0
-    pos = np.flatnonzero(table[at] == g)
-    return pos, at[pos]
-
-
-def _inside(pos: np.ndarray, n: int, ends: np.ndarray) -> np.ndarray:
-    """Which n-grams of a chunk's joined texts lie in one text."""
-    return pos + n <= ends[np.searchsorted(ends, pos, side="right")]
-
-
-def shingle_counts(docs: DataFrame, tables) -> dict[tuple[int, int], int]:
-    """How often each shingle of the broadcast ``tables`` occurs in all documents; as many rows as the block has shingles."""
-    schema, arrow = arrow_schema("n int, k int, c long")
+#: Bits of a filter, at most and for each entry: 32 MB.
+FILTER_BITS = 1 << 28
+BITS_EACH = 64
+#: Hits that a counting task holds before it hands its sums on.
+FLUSH = 1 << 20
+
+_OTHER = np.uint64(0x8F1BBCDC5A827999)
+
+
+def _windows(words: np.ndarray, n: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of all runs of ``n`` words, or of those at ``starts``."""
+    return gram_hashes(words, n, starts), gram_hashes(mix(words ^ _OTHER), n, starts)
+
+
+def _longs(a: np.ndarray):
+    import pyarrow as pa
+
+    return pa.array(a.view(np.int64))
+
+
+# --- bit tables --------------------------------------------------------------------------------------------------------
+
+
+def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h, mask = mix(hashes), np.uint64(bits - 1)
+    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
+
+
+def passes(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which ``hashes`` may be in the set that the bit table was made of."""
+    a, b = _places(hashes, 8 * len(table))
+    return ((table[a >> 3] >> (a & 7).astype(np.uint8)) & (table[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A bit table over the one column of ``hashes``: built in blocks by Spark, at most ``FILTER_BITS`` bits."""
+    n = hashes.count()
+    bits = min(FILTER_BITS, 1 << max(15, (BITS_EACH * max(n, 1) - 1).bit_length()))
+    schema, _ = arrow_schema("place long")
+
+    def places(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
+
+    at = from_batches(hashes, places, schema)
+    blocks = at.groupBy(F.expr("place div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in blocks.toLocalIterator():
+        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+# --- the benchmark -----------------------------------------------------------------------------------------------------
+
+
+def item_windows(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item, w1, w2, size, k, grams): each window of each item, with the hashes of its ``k``-word shingles in order."""
+    schema, arrow = arrow_schema("item string, w1 long, w2 long, size int, k int, grams array<long>")
+
+    def cut(batches):
+        import pyarrow as pa
+
+        for batch, texts in column_chunks(batches):
+            words, at = HashedWords(texts, "alnum"), 0
+            names = batch.column(batch.schema.get_field_index("item")).to_pylist()
+            for name, n in zip(names, words.sizes.tolist(), strict=True):
+                own = words.hashes[at : at + n]
+                at += n
+                if not n:
+                    continue
+                size = min(window, n)
+                k = min(shingle, size)
+                w1, w2 = _windows(own, size)
+                _, first = np.unique(np.stack([w1, w2]), axis=1, return_index=True)
+                grams = np.lib.stride_tricks.sliding_window_view(gram_hashes(own, k), size - k + 1)[first]
+                each = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (size - k + 1)), _longs(np.ascontiguousarray(grams).ravel()))
+                same = lambda v, t, m=len(first): pa.array([v] * m, t)
+                yield pa.RecordBatch.from_arrays([same(name, pa.string()), _longs(w1[first]), _longs(w2[first]), same(size, pa.int32()), same(k, pa.int32()), each], schema=arrow)
+
+    return from_batches(items.select(F.col("item_id").cast("string").alias("item"), "text"), cut, schema)
+
+
+def shingle_counts(docs: DataFrame, tables) -> DataFrame:
+    """(k, gram, n): how often the ``k``-word shingles that pass the broadcast bit tables occur in all documents."""
+    schema, arrow = arrow_schema("k int, gram long, n long")
 
     def count(batches):
         import pyarrow as pa
 
-        hashes, found = WordHash(), {n: np.zeros(len(t), np.int64) for n, t in tables.value.items()}
-        for _, texts in text_chunks(batches):
-            words = [alnum_words(t) for t in texts]
-            ends = np.cumsum([len(w) for w in words])
-            h = hashes([x for w in words for x in w])
-            for n, t in tables.value.items():
-                pos, at = _matches(h, n, t)
-                found[n] += np.bincount(at[_inside(pos, n, ends)], minlength=len(t))
-        for n, c in found.items():
-            k = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), n, np.int32)), pa.array(k.astype(np.int32)), pa.array(c[k])], schema=arrow)
+        held, size = {k: [] for k in tables.value}, 0
 
-    rows = from_batches(docs.select("text"), count, schema).groupBy("n", "k").agg(F.sum("c").alias("c")).collect()
-    return {(r["n"], int(tables.value[r["n"]][r["k"]])): r["c"] for r in rows}
+        def flush():
+            for k, h in held.items():
+                if h:
+                    g, n = np.unique(np.concatenate(h), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), _longs(g), pa.array(n)], schema=arrow)
 
+        for _, texts in column_chunks(batches):
+            words = HashedWords(texts, "alnum")
+            for k, table in tables.value.items():
+                g, at = gram_hashes(words.hashes, k), _inside(words.sizes, k)
+                g = g[at]
+                held[k].append(g[passes(g, table)])
+                size += len(held[k][-1])
+            if size >= FLUSH:
+                yield from flush()
+                held, size = {k: [] for k in tables.value}, 0
+        yield from flush()
 
-ADDED = ("n_words", "n_hit", "items", "contaminated")
+    return from_batches(docs.select("text"), count, schema).groupBy("k", "gram").agg(F.sum("n").alias("n"))
+
+
+def _inside(sizes: np.ndarray, k: int) -> np.ndarray:
+    """The starts of the runs of ``k`` words that lie in one of the texts, whose words follow each other."""
+    ends = np.cumsum(sizes)
+    left = np.repeat(ends, sizes) - np.arange(int(ends[-1]) if len(ends) else 0)
+    return np.flatnonzero(left >= k)
+
+
+def indexed(docs: DataFrame, items: DataFrame, window: int, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Stored tables: the items' windows, and one row (w1, w2, size, k, gram, shift) a distinct window: its rarest shingle."""
+    spark = docs.sparkSession
+    windows = stored(spark, item_windows(items, window, shingle), "windows")
+    each = windows.select("w1", "w2", "size", "k", F.posexplode("grams").alias("shift", "gram")).distinct()
+    wanted = stored(spark, each.select("k", "gram").distinct(), "shingles")
+    tables = {r["k"]: bit_table(wanted.filter(F.col("k") == r["k"]).select("gram")) for r in wanted.select("k").distinct().collect()}  # ``shingle`` rows at most
+    counts = stored(spark, shingle_counts(docs, spark.sparkContext.broadcast(tables)).join(small(wanted), ["k", "gram"], "left_semi"), "counts")
+    ranked = each.join(small(counts), ["k", "gram"], "left").groupBy("w1", "w2", "size", "k")
+    best = ranked.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "shift")).alias("b"))
+    return windows, stored(spark, best.select("w1", "w2", "size", "k", "b.gram", "b.shift"), "index")
 
 
-def _scan(docs: DataFrame, windows, index, drop: tuple[str, ...]) -> DataFrame:
-    """Adds to ``_cover`` (start, stop pairs) and ``_items`` what the windows of one block hit."""
-    again = "_cover" in docs.columns
-    drop = (*drop, "_n", "_cover", "_items") if again else drop
-    schema, arrow = arrow_schema("_n long, _cover array<int>, _items array<string>", docs, drop)
+# --- the documents -----------------------------------------------------------------------------------------------------
+
+
+HITS = "array<struct<start:int,size:int,shift:int,gram:bigint,w1:bigint,w2:bigint>>"
+
+
+def scanned(docs: DataFrame, index: DataFrame, row: Column | None) -> DataFrame:
+    """(row if given, key, n_words, hits) of each document: places that may be windows, in the order of the text."""
+    spark = docs.sparkSession
+    shapes = sorted((r["size"], r["k"]) for r in index.select("size", "k").distinct().collect())  # ``window`` rows at most
+    prefix = {k: bit_table(index.filter(F.col("k") == k).select("gram").distinct()) for k in {k for _, k in shapes}}
+    shared = spark.sparkContext.broadcast((prefix, bit_table(index.select("w1"))))
+    rows = docs.select(*([row] if row is not None else []), text_key(), F.col("text"))
+    schema, arrow = arrow_schema(f"n_words long, hits {HITS}", rows, ("text",))
 
     def scan(batches):
         import pyarrow as pa
 
-        words_of, items_of = windows.value
-        hashes = WordHash()
-        for batch, texts in text_chunks(batches):
-            words = [alnum_words(t) for t in texts]
-            sizes = np.array([len(w) for w in words], np.int64)
+        prefixes, table = shared.value
+        for batch, texts in column_chunks(batches):
+            words = HashedWords(texts, "alnum")
+            sizes = words.sizes
             ends = np.cumsum(sizes)
-            flat = [x for w in words for x in w]
-            h = hashes(flat)
-            cover, items = [[] for _ in texts], [set() for _ in texts]
-            for n, (table, entries) in index.value.items():
-                pos, at = _matches(h, n, table)
-                for p, a in zip(pos.tolist(), at.tolist(), strict=True):
-                    for k, offset in entries[a]:
-                        start, want = p - offset, words_of[k]
-                        d = int(np.searchsorted(ends, p, side="right"))
-                        if start < ends[d] - sizes[d] or start + len(want) > ends[d]:
-                            continue  # the window would leave the document
-                        if tuple(flat[start : start + len(want)]) == want:
-                            first = int(start - ends[d] + sizes[d])
-                            cover[d] += [first, first + len(want)]
-                            items[d] |= items_of[k]
-            if again:
-                for d, (c, i) in enumerate(zip(batch.column(batch.schema.get_field_index("_cover")).to_pylist(), batch.column(batch.schema.get_field_index("_items")).to_pylist(), strict=True)):
-                    cover[d] += c
-                    items[d] |= set(i)
-            yield extended(batch, [pa.array(sizes), pa.array(cover, pa.list_(pa.int32())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], arrow, drop)
-
-    return from_batches(docs, scan, schema)
-
-
-def _union(cover) -> int:
-    n = last = 0
-    for a, b in sorted(zip(cover[::2], cover[1::2], strict=True)):
-        n += max(0, b - max(a, last))
-        last = max(last, b)
-    return n
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, keep_text: bool = True) -> DataFrame:
-    """``docs`` with n_words, n_hit (words inside occurrences), items (sorted ids as strings) and contaminated."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    out, blocks = docs.drop(*ADDED), item_blocks(items)
-    block = next(blocks)
-    while block is not None:
-        following = next(blocks, None)
-        w = Windows(block, window, shingle)
-        counts = shingle_counts(docs, sc.broadcast(w.tables))
-        if "_cover" in out.columns:
-            out = stored(spark, out, "scanned")
-        out = _scan(out, sc.broadcast((w.words, w.items)), sc.broadcast(w.index(counts)), () if keep_text or following is not None else ("text",))
-        block = following
-    schema, arrow = arrow_schema("n_words long, n_hit long, items array<string>, contaminated boolean", out, ("_n", "_cover", "_items"))
-
-    def finish(batches):
-        import pyarrow as pa
+            found = []
+            for size, k in shapes:
+                grams = gram_hashes(words.hashes, k)
+                at = _inside(sizes, k)
+                at = at[passes(grams[at], prefixes[k])]
+                if not len(at):
+                    continue
+                text = np.searchsorted(ends, at, side="right")
+                for shift in range(size - k + 1):
+                    start = at - shift
+                    fits = (start >= ends[text] - sizes[text]) & (start + size <= ends[text])
+                    p, s, t = at[fits], start[fits], text[fits]
+                    w1, w2 = _windows(words.hashes, size, s)
+                    ok = passes(w1, table)
+                    p, s, t, w1, w2 = p[ok], s[ok], t[ok], w1[ok], w2[ok]
+                    n = np.full(len(s), size, np.int32)
+                    found.append((t, s - (ends[t] - sizes[t]), n, n * 0 + shift, grams[p].view(np.int64), w1.view(np.int64), w2.view(np.int64)))
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 7
+            order = np.lexsort((columns[1], columns[0]))
+            text, *columns = [c[order] for c in columns]
+            kinds = [f.type for f in arrow[-1].type.value_type]
+            hits = pa.StructArray.from_arrays([pa.array(c.astype(t.to_pandas_dtype())) for c, t in zip(columns, kinds, strict=True)], fields=list(arrow[-1].type.value_type))
+            bounds = np.searchsorted(text, np.arange(len(sizes) + 1)).astype(np.int32)
+            kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
+            made = [pa.array(sizes.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), hits)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip([*kept, *made], arrow, strict=True)], schema=arrow)
+
+    return from_batches(rows, scan, schema)
+
+
+def occurrences(rows: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, start, size, w1, w2) of the windows that stand in the texts: the places of ``scanned`` joined with the index."""
+    places = rows.filter(F.size("hits") > 0).select("key", F.inline("hits"))
+    on = ["gram", "shift", "size", "w1", "w2"]
+    return places.join(small(index.select(*on)), on, "left_semi").select("key", "start", "size", "w1", "w2").distinct()
+
+
+def _covered(places: Column) -> Column:
+    """Words in the union of (start, size) places."""
+    first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("last"))
+    step = lambda a, p: F.struct(
+        (a["n"] + F.greatest(F.lit(0), p["start"] + p["size"] - F.greatest(p["start"], a["last"]))).alias("n"),
+        F.greatest(a["last"], p["start"] + p["size"]).alias("last"),
+    )
+    return F.aggregate(F.array_sort(places), first, step, lambda a: a["n"])
+
+
+ADDED = ("n_words", "n_hit", "items", "contaminated")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The columns of ``docs`` but text, with n_words, n_hit (words inside occurrences), items (sorted ids as strings), contaminated."""
+    spark = docs.sparkSession
+    windows, index = indexed(docs, items, window, shingle)
+    rows = stored(spark, scanned(docs, index, carried(docs, "text", *ADDED)), "scanned")
+    met = stored(spark, occurrences(rows, index), "occurrences")
+    covers = met.groupBy("key").agg(_covered(F.collect_set(F.struct("start", "size"))).cast("long").alias("n_hit"))
+    named = met.select("key", "w1", "w2", "size").distinct().join(small(windows.select("w1", "w2", "size", "item").distinct()), ["w1", "w2", "size"])
+    named = named.select("key", "item").distinct().groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    found = small(stored(spark, covers.join(named, "key"), "found"))
+    out = rows.select("row", "key", "n_words").join(found, "key", "left")
+    hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return restored(out, "n_words", hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (hit > 0).alias("contaminated"))
 
-        for batch in batches:
-            get = lambda n, b=batch: b.column(b.schema.get_field_index(n))
-            hit = [_union(c) for c in get("_cover").to_pylist()]
-            yield extended(batch, [get("_n"), pa.array(hit, pa.int64()), get("_items"), pa.array([x > 0 for x in hit], pa.bool_())], arrow, ("_n", "_cover", "_items"))
 
-    return from_batches(out, finish, schema)
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs``, whole, whose text holds no window of an item."""
+    spark = docs.sparkSession
+    _, index = indexed(docs, items, window, shingle)
+    rows = stored(spark, scanned(docs, index, None).filter(F.size("hits") > 0), "scanned")
+    found = small(stored(spark, occurrences(rows, index).select("key").distinct(), "found"))
+    return restored(docs.select(carried(docs), text_key()).join(found, "key", "left_anti"))
 
 
 def items_digest(items: list[str]) -> str:
@@ -204,8 +270,8 @@ def items_digest(items: list[str]) -> str:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=False)
-    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated")
+    out = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 OP10_SQL = """

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashedWords, arrow_schema, column_chunks, drop_scratch, extended, from_batches, gram_hashes, mix, small, stored
+from .common import HashedWords, arrow_schema, carried, column_chunks, drop_scratch, extended, from_batches, gram_hashes, mix, restored, small, stored, text_key
 
 #: Bits of a set's or a group's token union.
 UNION_BITS = 2048
@@ -397,15 +397,17 @@ def components(links: DataFrame) -> DataFrame:
     """(sig, comp): the smallest signature that each linked one reaches."""
     spark = links.sparkSession
     both = stored(spark, links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "both")
-    labels = stored(spark, both.groupBy(F.col("u").alias("sig")).agg(F.min(F.least("u", "v")).alias("comp")), "labels")
+    labels = held = stored(spark, both.groupBy(F.col("u").alias("sig")).agg(F.min(F.least("u", "v")).alias("comp")), "labels")
     while True:
         seen = both.join(labels.select(F.col("sig").alias("v"), "comp"), "v").groupBy(F.col("u").alias("sig")).agg(F.min("comp").alias("near"))
         moved = labels.join(seen, "sig").select("sig", "comp", F.least("comp", "near").alias("low"))
         jump = labels.select(F.col("sig").alias("low"), F.col("comp").alias("far"))
         step = stored(spark, moved.join(jump, "low", "left").select("sig", "comp", F.least("low", F.coalesce("far", "low")).alias("next")), "step")
         changed = step.filter(F.col("comp") != F.col("next")).limit(1).count()
-        labels = step.select("sig", F.col("next").alias("comp"))
+        drop_scratch(held)
+        labels, held = step.select("sig", F.col("next").alias("comp")), step
         if not changed:
+            drop_scratch(both)
             return labels
 
 
@@ -490,11 +492,14 @@ def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int,
 
 
 def named_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Stored tables: the documents' (doc_id, _n, _sig), and (_sig, component_id, comp) of all sets that are not empty."""
+    """Stored tables: the documents' (doc_id, key, _n, _sig), and (_sig, component_id, comp) of all sets that are not empty.
+
+    ``key``: MD5 of the text.
+    """
     spark = docs.sparkSession
     bits = COUNT_BITS
-    both = stored(spark, signed(docs.select("doc_id", "text"), width, ("doc_id",), bits), "signs")
-    signs = both.filter(F.col("_block").isNull()).select("doc_id", "_n", "_sig")
+    both = stored(spark, signed(docs.select("doc_id", text_key(), "text"), width, ("doc_id", "key"), bits), "signs")
+    signs = both.filter(F.col("_block").isNull()).select("doc_id", "key", "_n", "_sig")
     found = set_components(docs, both.filter(F.col("_block").isNotNull()).select("_part", "_block", "_counts"), width, percent, bits)
     least = signs.filter(F.col("_sig").isNotNull()).groupBy(F.col("_sig").alias("sig")).agg(F.min("doc_id").alias("least"))
     comp = stored(spark, least.join(found, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "comp")
@@ -512,25 +517,27 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id (null last; ties: smallest signature).
+    """``docs`` with one document of each component: the smallest doc_id, of any type (null last; ties: smallest MD5 of the text).
 
-    Documents without words stay. Only the keys of dropped documents are joined with the documents.
+    Documents without words stay. Of rows that agree in doc_id and text the one with the smallest text form of all columns stays.
+    The keys of dropped documents are joined with the documents; texts move only where these keys are too many to broadcast.
     """
     spark = docs.sparkSession
     signs, names = named_components(docs, width, percent)
-    rows = stored(spark, signs.join(names, "_sig").groupBy("comp", "doc_id", "_sig").agg(F.count("*").alias("rows")), "rows")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("_sig").alias("sig"))
+    rows = stored(spark, signs.join(names, "_sig").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")), "rows")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key"))
     stays = rows.groupBy("comp").agg(F.min(order).alias("stays"))
-    marked = rows.join(stays, "comp").withColumn("first", (order == F.col("stays")))
-    gone = stored(spark, marked.filter("not first").select(F.col("doc_id").alias("_id"), F.col("_sig").alias("_s")), "gone")
-    twice = stored(spark, marked.filter("first and rows > 1").select(F.col("doc_id").alias("_id"), F.col("_sig").alias("_s")), "twice")
+    marked = rows.join(stays, "comp").withColumn("first", order.eqNullSafe(F.col("stays")))
+    named = lambda keep: marked.filter(keep).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+    gone, twice = stored(spark, named("not first"), "gone"), stored(spark, named("first and rows > 1"), "twice")
     drop_scratch(rows, names)
-    again = signed(docs, width)
-    left = again.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_s")), "left_anti")
-    if twice.limit(1).count():  # rows that agree in doc_id and set
-        same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sig") == F.col("_s"))
-        left = left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_sig"]))
-    return left.select(*docs.columns)
+    own = docs.select(carried(docs), F.col("doc_id").alias("_own"), text_key())
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
+    left = own.join(small(gone), same, "left_anti")
+    if twice.limit(1).count():
+        once = left.join(small(twice), same, "left_semi").groupBy("_own", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        left = left.join(small(twice), same, "left_anti").select("row").unionByName(once.select("row"))
+    return restored(left)
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
