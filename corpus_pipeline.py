@@ -15,7 +15,6 @@ Null texts are rejected by the quality stage (under ten words); empty tables giv
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from geoagg.llm import common, decontam, jaccard, mixing, quality, secrets
 
@@ -29,8 +28,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    names = docs.columns
-    return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark")).filter(~F.col("contaminated")).select(*names)
+    return decontam.clean(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
