@@ -1,14 +1,21 @@
 """Quality rules with adaptive thresholds (native).
 
 Every document gets base counts (words, characters, symbols, repeated lines, words in repeated 5-word windows) and three
-metrics. Per (language, source) a mergeable quantile sketch of each metric is kept: counts per logarithmic bucket of
-relative width ``GAMMA``. Merging is addition, so the sketches of a language and of the corpus are sums of the finer ones;
-a group with fewer than ``min_group`` documents uses its language's sketch, a small language the corpus's. A metric fails
-above ``q90 + max(spread * (q90 - q50), least)`` of the group's sketch.
-
-Defined results: a null text has no words and no lines; a null language or source is a group of its own; empty tables
-give empty results; documents with equal texts get equal counts; extra columns pass through untouched and columns of
-the input named like an added one are replaced.
+metrics, all above zero: symbols a word, repeated lines for each different one (half an event is added to the counts) and
+characters a word. Per (language, source) a mergeable quantile sketch of each metric is kept over the documents that the base
+rules pass: counts per logarithmic bucket of relative width ``GAMMA``. Merging is addition, so the sketches of a language and of
+the corpus are sums of the finer ones.
+
+No limit is fixed: from a sketch come its median and the ratio of the median to the tenth percentile, both from the half that
+junk does not reach unless it is the majority. Both are drawn, as logarithms, towards those of the language, and these towards
+those of the corpus, as ``PRIOR`` documents would, at every size of a group alike. A metric fails above ``median * ratio **
+spread``, characters a word also below ``median / ratio ** spread``, with the ``SPREAD`` of the metric. Of a count only what is
+more than chance is held against the limit (x - sqrt(x); for mean word lengths a share of 0.5 / sqrt(words)), so that short
+documents are not judged by one symbol.
+
+Defined results: a null text has no words and no lines; a null language or source is a group of its own; in a group without
+documents that pass the base rules nothing else is judged; empty tables give empty results; documents with equal texts get equal
+counts; very long texts are counted whole; extra columns pass through, and the report has its own columns only.
 """
 
 from __future__ import annotations
@@ -17,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, let, pieces, small, stored
+from .common import SPACE, carried, let, pieces, restored, small, stored
 
 GAMMA = 1.02
-#: metric -> least distance of its threshold from q90
-METRICS = {"symbols_per_word": 0.1, "dup_line_share": 0.3, "chars_per_word": 4.0}
+#: metric -> power of its ratio
+SPREAD = {"symbol_rate": 3.0, "dup_line_odds": 2.5, "chars_per_word": 6.0}
+#: Documents that the next wider group weighs in a narrower one.
+PRIOR = 100.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = r"#*$%&|<>"
 
@@ -58,7 +67,7 @@ def repeated_words(words: Column, width: int = 5) -> Column:
 
 
 def with_counts(df: DataFrame) -> DataFrame:
-    """``df`` with the five base counts, ``n_lines`` and the metrics of ``METRICS``."""
+    """``df`` with ``m``: the five base counts, ``n_lines`` and ``base_failed``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = pieces(text, SPACE)
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -68,86 +77,104 @@ def with_counts(df: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, f"[^{SYMBOLS}]++", "")).cast("long").alias("s"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
     )
-    out = df.withColumn("_made", made)
-    m = F.col("_made")
-    return out.withColumns(
-        {
-            "n_words": m["w"]["n"], "word_chars": m["c"], "n_symbols": m["s"], "n_dup_lines": m["l"]["d"], "n_repeat_words": m["w"]["r"], "n_lines": m["l"]["n"],
-            "symbols_per_word": m["s"] / F.greatest(m["w"]["n"], F.lit(1)), "dup_line_share": m["l"]["d"] / F.greatest(m["l"]["n"], F.lit(1)), "chars_per_word": m["c"] / F.greatest(m["w"]["n"], F.lit(1)),
-        }
-    ).drop("_made")
+    named = lambda x: F.struct(
+        x["w"]["n"].alias("n_words"), x["c"].alias("word_chars"), x["s"].alias("n_symbols"), x["l"]["d"].alias("n_dup_lines"), x["w"]["r"].alias("n_repeat_words"), x["l"]["n"].alias("n_lines"),
+        ((x["w"]["n"] < 10) | (100 * x["w"]["r"] > 20 * x["w"]["n"])).alias("base_failed"),
+    )
+    return df.withColumn("m", let(made, named))
+
+
+def _rate(events, of) -> Column:
+    return (events + F.lit(0.5)) / (of + F.lit(1.0))
+
+
+def metrics(m: Column) -> dict[str, Column]:
+    """The metrics of a document with the counts ``m``, for the sketch."""
+    return {"symbol_rate": _rate(m["n_symbols"], m["n_words"]), "dup_line_odds": _rate(m["n_dup_lines"], m["n_lines"] - m["n_dup_lines"]), "chars_per_word": _rate(m["word_chars"], m["n_words"])}
+
+
+def judged_values(m: Column) -> dict[str, Column]:
+    """What of the metrics is more than chance: compared with the upper limits, ``least_chars`` with the lower one."""
+    sure = lambda x: x - F.sqrt(x)
+    chars, doubt = metrics(m)["chars_per_word"], F.lit(0.5) / F.sqrt(F.greatest(m["n_words"], F.lit(1)))
+    odd = sure(m["n_dup_lines"])
+    return {"symbol_rate": _rate(sure(m["n_symbols"]), m["n_words"]), "dup_line_odds": _rate(odd, m["n_lines"] - odd), "chars_per_word": chars * (F.lit(1.0) - doubt), "least_chars": chars * (F.lit(1.0) + doubt)}
 
 
 def sketch(counted: DataFrame) -> DataFrame:
-    """Mergeable sketches: (lang, source, metric, bucket, n). Bucket b > 0 holds values up to GAMMA ** (b - 5000); 0 holds zero."""
-    rows = counted.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("x")) for k in METRICS])).alias("m"))
-    bucket = F.when(F.col("m.x") <= 0, 0).otherwise((F.ceil(F.log(F.col("m.x")) / F.lit(_LOG_GAMMA)) + 5000).cast("int"))
-    return rows.groupBy("lang", "source", F.col("m.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    """Mergeable sketches: (lang, source, metric, bucket, n). Bucket b holds values up to GAMMA ** b."""
+    rows = counted.filter(~F.col("m.base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), x.alias("x")) for k, x in metrics(F.col("m")).items()])).alias("v"))
+    bucket = F.ceil(F.log(F.col("v.x")) / F.lit(_LOG_GAMMA)).cast("int")
+    return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 _LOG_GAMMA = 0.01980262729617973  # ln(1.02)
 
 
-def thresholds(sketches: DataFrame, spread: float = 3.0, min_group: int = 100) -> DataFrame:
-    """Upper bounds per (lang, source): one row a group, one column ``upper_<metric>`` a metric."""
+def thresholds(sketches: DataFrame) -> DataFrame:
+    """One row (lang, source, upper_<metric> .., lower_chars_per_word) a group."""
 
-    def quantiles(s: DataFrame, keys: list[str]) -> DataFrame:
+    def facts(s: DataFrame, keys: list[str]) -> DataFrame:
+        """(keys, metric, total, mid, ratio): the logarithms of the median and of its ratio to the tenth percentile."""
         w = Window.partitionBy(*keys, "metric")
         s = s.withColumns({"upto": F.sum("n").over(w.orderBy("bucket")), "total": F.sum("n").over(w)})
-        value = F.when(F.col("bucket") == 0, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("bucket") - 5000))
-        q = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), value))
-        least = F.create_map(*[F.lit(x) for kv in METRICS.items() for x in kv])
-        s = s.groupBy(*keys, "metric").agg(q(0.5).alias("q50"), q(0.9).alias("q90"), F.max("total").alias("total"))
-        upper = F.col("q90") + F.greatest(F.lit(spread) * (F.col("q90") - F.col("q50")), least[F.col("metric")])
-        return s.select(*keys, "metric", upper.alias("upper"), "total")
-
-    by_group = quantiles(sketches, ["lang", "source"])
-    by_lang = quantiles(sketches.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["lang"])
-    overall = quantiles(sketches.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [])
-    g, a, o = by_group.alias("g"), by_lang.alias("a"), overall.alias("o")
+        q = lambda p: F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * F.lit(p)), F.col("bucket")))
+        s = s.groupBy(*keys, "metric").agg(q(0.5).alias("q50"), q(0.1).alias("q10"), F.max("total").cast("double").alias("total"))
+        return s.select(*keys, "metric", "total", (F.col("q50") * F.lit(_LOG_GAMMA)).alias("mid"), ((F.col("q50") - F.col("q10")) * F.lit(_LOG_GAMMA)).alias("ratio"))
+
+    def drawn(narrow: str, wide: Column, of: str) -> Column:
+        n = F.col(f"{narrow}.total")
+        return (n * F.col(f"{narrow}.{of}") + F.lit(PRIOR) * wide) / (n + F.lit(PRIOR))
+
+    g = facts(sketches, ["lang", "source"]).alias("g")
+    a = small(facts(sketches.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["lang"])).alias("a")
+    o = small(facts(sketches.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [])).alias("o")
     merged = g.join(a, F.col("g.lang").eqNullSafe(F.col("a.lang")) & (F.col("g.metric") == F.col("a.metric"))).join(o, F.col("g.metric") == F.col("o.metric"))
-    upper = F.when(F.col("g.total") >= min_group, F.col("g.upper")).when(F.col("a.total") >= min_group, F.col("a.upper")).otherwise(F.col("o.upper"))
-    return merged.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source")).agg(*[F.max(F.when(F.col("g.metric") == k, upper)).alias(f"upper_{k}") for k in METRICS])
+    own = {of: drawn("g", drawn("a", F.col(f"o.{of}"), of), of) for of in ("mid", "ratio")}
+    merged = merged.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.metric").alias("metric"), own["mid"].alias("mid"), own["ratio"].alias("ratio"))
+    limit = lambda k, sign: F.max(F.when(F.col("metric") == k, F.exp(F.col("mid") + F.lit(sign * SPREAD[k]) * F.col("ratio"))))
+    return merged.groupBy("lang", "source").agg(*[limit(k, 1).alias(f"upper_{k}") for k in SPREAD], limit("chars_per_word", -1).alias("lower_chars_per_word"))
+
+
+LIMITS = [*[f"upper_{k}" for k in SPREAD], "lower_chars_per_word"]
 
 
 def judged(counted: DataFrame, limits: DataFrame) -> DataFrame:
-    """``counted`` with ``base_failed`` and ``kept``: the thresholds of ``limits`` are joined on language and source."""
+    """``counted`` (lang, source, m, ..) with the limits of its group and ``kept``."""
     t = small(limits).withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    fits = F.lit(True)
-    for k in METRICS:
-        fits = fits & (F.col(k) <= F.col(f"upper_{k}"))
-    return (
-        counted.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-        .withColumn("base_failed", base)
-        .withColumn("kept", F.when(base, False).otherwise(F.coalesce(fits, F.lit(True))))  # one piece: a pushed-down part would count twice
-        .drop("_lang", "_source")
-    )
+    value = judged_values(F.col("m"))
+    fits = value["least_chars"] >= F.col("lower_chars_per_word")
+    for k in SPREAD:
+        fits = fits & (value[k] <= F.col(f"upper_{k}"))
+    out = counted.join(t, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left").drop("_lang", "_source")
+    # one piece: a pushed-down part would count twice
+    return out.withColumn("kept", F.when(F.col("m.base_failed"), False).otherwise(F.coalesce(fits, F.lit(True))))
 
 
-def quality_filter(docs: DataFrame, spread: float = 3.0, min_group: int = 100) -> DataFrame:
-    """The documents of ``docs`` that pass, with the columns of ``docs``. Two passes over the texts, none is stored."""
+def fitted(docs: DataFrame) -> DataFrame:
+    """The stored limits of all groups of ``docs``."""
     spark = docs.sparkSession
-    limits = stored(spark, thresholds(stored(spark, sketch(with_counts(docs.select("text", "lang", "source"))), "sketches", 4), spread, min_group), "limits", 1)
-    names = docs.columns
-    kept = judged(with_counts(docs.select(F.struct(*names).alias("_doc"), "text", "lang", "source")), limits).filter("kept")
-    return kept.select("_doc.*")
+    return stored(spark, thresholds(stored(spark, sketch(with_counts(docs.select("text", "lang", "source"))), "sketches", 4)), "limits", 1)
 
 
-def quality_report(docs: DataFrame, spread: float = 3.0, min_group: int = 100) -> DataFrame:
-    """One row a document: doc_id, the five counts, the metrics with their upper bounds, base_failed, kept."""
+def quality_filter(docs: DataFrame) -> DataFrame:
+    """The documents of ``docs`` that pass, with the columns of ``docs``. Two passes over the texts, none is stored or moved."""
+    limits = fitted(docs)
+    return restored(judged(with_counts(docs.select(carried(docs), "text", "lang", "source")), limits).filter("kept"))
+
+
+def quality_report(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, the five counts, the limits of its group, base_failed, kept."""
     spark = docs.sparkSession
     counted = stored(spark, with_counts(docs.select("doc_id", "text", "lang", "source")).drop("text"), "counted")
-    limits = stored(spark, thresholds(stored(spark, sketch(counted), "sketches", 4), spread, min_group), "limits", 1)
-    return judged(counted, limits).select("doc_id", *COUNTS, *METRICS, *[f"upper_{k}" for k in METRICS], "base_failed", "kept")
+    limits = stored(spark, thresholds(stored(spark, sketch(counted), "sketches", 4)), "limits", 1)
+    return judged(counted, limits).select("doc_id", *[f"m.{c}" for c in COUNTS], *LIMITS, "m.base_failed", "kept")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
     return quality_report(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
-_METRIC_VALUES = ", ".join(f"('{k}', {v}::double)" for k, v in METRICS.items())
-
 OP4_SQL = f"""
 with d as (
   select row_number() over () rid, doc_id, lang, source, coalesce(text, '') t,
@@ -164,38 +191,42 @@ c as (
     len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint n_symbols, (len(l) - len(list_distinct(l)))::bigint n_dup_lines,
     coalesce(rep.n, 0)::bigint n_repeat_words, len(l) n_lines
   from d left join rep on d.rid = rep.rid),
+f as (select *, (n_words < 10 or 100 * n_repeat_words > 20 * n_words) base_failed from c),
 m as (
   select rid, lang, source, unnest([
-    {{'metric': 'symbols_per_word', 'x': n_symbols / greatest(n_words, 1)}},
-    {{'metric': 'dup_line_share', 'x': n_dup_lines / greatest(n_lines, 1)}},
-    {{'metric': 'chars_per_word', 'x': word_chars / greatest(n_words, 1)}}], recursive := true) from c),
-s as (
-  select lang, source, metric, case when x <= 0 then 0 else ceil(ln(x) / {_LOG_GAMMA})::int + 5000 end bucket, count(*) n
-  from m group by all),
-least_of(metric, least) as (values {_METRIC_VALUES}),
+    {{'metric': 'symbol_rate', 'x': (n_symbols + 0.5e0) / (n_words + 1e0)}},
+    {{'metric': 'dup_line_odds', 'x': (n_dup_lines + 0.5e0) / (n_lines - n_dup_lines + 1e0)}},
+    {{'metric': 'chars_per_word', 'x': (word_chars + 0.5e0) / (n_words + 1e0)}}], recursive := true) from f where not base_failed),
+s as (select lang, source, metric, ceil(ln(x) / {_LOG_GAMMA})::int bucket, count(*) n from m group by all),
 q as (
   select grouping(lang) gl, grouping(source) gs, lang, source, metric, bucket, sum(n) n
   from s group by grouping sets ((lang, source, metric, bucket), (lang, metric, bucket), (metric, bucket))),
 q2 as (
   select *, sum(n) over (partition by gl, gs, lang, source, metric order by bucket) upto,
-    sum(n) over (partition by gl, gs, lang, source, metric) total,
-    case when bucket = 0 then 0 else pow({GAMMA}::double, bucket - 5000) end v from q),
+    sum(n) over (partition by gl, gs, lang, source, metric) total from q),
 q3 as (
-  select gl, gs, lang, source, metric, max(total) total, min(v) filter (upto >= ceil(total * 0.5::double)) q50,
-    min(v) filter (upto >= ceil(total * 0.9::double)) q90 from q2 group by all),
-u as (select q3.*, q90 + greatest(3.0::double * (q90 - q50), least) upper from q3 join least_of using (metric)),
+  select gl, gs, lang, source, metric, max(total)::double total, min(bucket) filter (upto >= ceil(total * 0.5::double)) q50,
+    min(bucket) filter (upto >= ceil(total * 0.1::double)) q10 from q2 group by all),
+u as (select *, q50 * {_LOG_GAMMA}::double mid, (q50 - q10) * {_LOG_GAMMA}::double ratio from q3),
 lim as (
   select g.lang, g.source, g.metric,
-    case when g.total >= 100 then g.upper when a.total >= 100 then a.upper else o.upper end upper
+    (g.total * g.mid + {PRIOR}::double * ((a.total * a.mid + {PRIOR}::double * o.mid) / (a.total + {PRIOR}::double))) / (g.total + {PRIOR}::double) mid,
+    (g.total * g.ratio + {PRIOR}::double * ((a.total * a.ratio + {PRIOR}::double * o.ratio) / (a.total + {PRIOR}::double))) / (g.total + {PRIOR}::double) ratio
   from u g join u a on g.lang is not distinct from a.lang and g.metric = a.metric and a.gl = 0 and a.gs = 1
   join u o on o.metric = g.metric and o.gl = 1 where g.gl = 0 and g.gs = 0),
-bad as (
-  select distinct m.rid from m join lim on m.lang is not distinct from lim.lang and m.source is not distinct from lim.source
-    and m.metric = lim.metric where x > upper)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  (n_words < 10 or 100 * n_repeat_words > 20 * n_words) base_failed,
-  not (n_words < 10 or 100 * n_repeat_words > 20 * n_words) and bad.rid is null kept
-from c left join bad on c.rid = bad.rid
+lim2 as (
+  select lang, source, max(exp(mid + {SPREAD["symbol_rate"]}::double * ratio)) filter (metric = 'symbol_rate') symbols,
+    max(exp(mid + {SPREAD["dup_line_odds"]}::double * ratio)) filter (metric = 'dup_line_odds') lines,
+    max(exp(mid + {SPREAD["chars_per_word"]}::double * ratio)) filter (metric = 'chars_per_word') chars,
+    max(exp(mid - {SPREAD["chars_per_word"]}::double * ratio)) filter (metric = 'chars_per_word') least_chars
+  from lim group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(
+    (n_symbols - sqrt(n_symbols) + 0.5e0) / (n_words + 1e0) <= symbols
+    and (n_dup_lines - sqrt(n_dup_lines) + 0.5e0) / (n_lines - n_dup_lines + sqrt(n_dup_lines) + 1e0) <= lines
+    and (word_chars + 0.5e0) / (n_words + 1e0) * (1e0 - 0.5e0 / sqrt(greatest(n_words, 1))) <= chars
+    and (word_chars + 0.5e0) / (n_words + 1e0) * (1e0 + 0.5e0 / sqrt(greatest(n_words, 1))) >= least_chars, true) kept
+from f left join lim2 on f.lang is not distinct from lim2.lang and f.source is not distinct from lim2.source
 """
 
 QUERIES = {"op4_quality": op4_quality}
