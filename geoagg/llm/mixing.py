@@ -2,19 +2,22 @@
 
 1. Targets: sources share the sum of all sizes by weight; a target stops at ``max_repeats`` times its source's size and
    the excess is shared again by weight until none is above (water filling, closed form over the per-source table).
-2. Order: the documents of a source follow each other by MD5 of (doc_id, text size); the source's stream is that order
-   repeated. The first ``target`` words of the stream are taken, so each document is taken whole ``floor(target / size of
+2. Order: the documents of a source follow each other by MD5 of (doc_id, size, MD5 of the text); the source's stream is that
+   order repeated. The first ``target`` words of the stream are taken, so each document is taken whole ``floor(target / size of
    the source)`` times and the documents at the front once more, the last of them in part.
 3. Positions: a source's weight over training time t in [0, 1] is a line from ``start`` to ``stop``; its integral is the
    cumulative demand. The words before a copy are set equal to the demand and the quadratic is inverted: that t is the
-   copy's position. Rows are range-partitioned and sorted by position.
+   copy's position. Rows are range-partitioned and sorted by position, ties by the order of step 2, so that documents of one
+   position (all those of which nothing is taken have the last) do not meet in one task. ``training_rows`` gives the sequence
+   itself, one row for each time that a document is taken.
 
-Running sums over a source are taken in two steps, over ``(source, hash bucket)`` sums and within a bucket, so that a hot
-source never meets in one task; the number of buckets follows the number of documents.
+Running sums over a source are taken in three steps, over ranges of buckets, buckets of the order and within a bucket, so that
+a hot source never meets in one task; the number of buckets follows the number of documents.
 
 Defined results: a null text has size 0; null sources are one source, the last; documents of size 0 take nothing and
-have the position of the next document; equal rows get the same results as a multiset; empty tables give empty results;
-extra columns pass through.
+have the position of the next document; rows equal in doc_id and text are interchangeable, all others have a fixed order, so
+reruns agree; empty tables give empty results; extra columns pass through, whatever their names, and columns of the input named
+like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -23,20 +26,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, small, stored
+from .common import SPACE, carried, restored, small, stored
 
 #: Weights of the sources in code point order, repeating, and their lines over training time.
 WEIGHTS = (5.0, 2.0, 1.0)
 SCHEDULE = ((1.5, 0.5), (1.0, 1.0), (0.5, 1.5))
 MAX_REPEATS = 3
-#: Documents in one bucket of the running sums, on average.
+#: Documents in one bucket of the running sums, and buckets in one range, on average.
 BUCKET_ROWS = 2000
+RANGE_BUCKETS = 2000
+ADDED = ("size", "source_size", "target", "taken", "copies", "position")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``size``, its number of words, and the order key ``_ord``."""
-    size = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(f"[^{SPACE[1:-1]}]++")).cast("long")
-    return docs.withColumn("size", size).withColumn("_ord", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"))))
+    """(row, source, size, ord) of each document: its columns, its number of words and its place in the order of its source."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.regexp_count(text, F.lit(f"[^{SPACE[1:-1]}]++")).cast("long")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), size.cast("string"), F.md5(text)))
+    return docs.select(carried(docs, *ADDED), F.col("source"), size.alias("size"), key.alias("ord"))
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, schedule=SCHEDULE, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -77,53 +84,65 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedule=SCHEDULE, max_repeats: int =
     return mix_sized(sized(docs), weights, schedule, max_repeats, partitions)
 
 
+def training_rows(mixed: DataFrame, partitions: int | None = None) -> DataFrame:
+    """One row for each copy of ``mix``'s result: the document's columns, ``words`` and ``at`` (the copy's position), sorted by it."""
+    rows = mixed.select(carried(mixed, "copies", "words", "at"), F.inline("copies").alias("words", "at"))
+    return _ranged(restored(rows, "words", "at"), partitions, "at", "doc_id", "size")
+
+
 def mix_sized(docs: DataFrame, weights=WEIGHTS, schedule=SCHEDULE, max_repeats: int = MAX_REPEATS, partitions: int | None = None) -> DataFrame:
-    """``mix`` for documents that have ``size`` and ``_ord`` already."""
+    """``mix`` for the rows of ``sized``."""
     spark = docs.sparkSession
-    buckets = max(1, docs.select("doc_id").count() // BUCKET_ROWS)
-    bucket = F.floor(F.conv(F.substring("_ord", 1, 8), 16, 10).cast("double") * F.lit(float(buckets)) / F.lit(4294967296.0)).cast("long")
-    docs = docs.withColumn("_bucket", bucket)
-    sums = stored(spark, docs.groupBy("source", "_bucket").agg(F.sum("size").alias("s")), "sums")
+    buckets = max(1, docs.select("source").count() // BUCKET_ROWS)
+    place = F.conv(F.substring("ord", 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+    docs = docs.withColumn("bucket", F.floor(place * buckets).cast("long"))
+    sums = stored(spark, docs.groupBy("source", "bucket").agg(F.sum("size").alias("s")).withColumn("range", F.expr(f"bucket div {RANGE_BUCKETS}")), "sums")
     plan = stored(spark, targets(sums.groupBy("source").agg(F.sum("s").alias("source_size")), weights, schedule, max_repeats), "targets")
-    offsets = stored(spark, sums.withColumn("_before", F.sum("s").over(Window.partitionBy("source").orderBy("_bucket")) - F.col("s")).drop("s"), "offsets")
-    offsets = small(offsets).withColumnsRenamed({"source": "_source", "_bucket": "_bucket_"})
+    upto = lambda keys, by: F.sum("s").over(Window.partitionBy(*keys).orderBy(by)) - F.col("s")
+    ranges = sums.groupBy("source", "range").agg(F.sum("s").alias("s"))
+    ranges = ranges.select(F.col("source").alias("_source"), F.col("range").alias("_range"), upto(["source"], "range").alias("ahead"))
+    offsets = sums.withColumn("within", upto(["source", "range"], "bucket")).join(small(ranges), F.col("source").eqNullSafe(F.col("_source")) & (F.col("range") == F.col("_range")))
+    offsets = stored(spark, offsets.select(F.col("source").alias("_source"), F.col("bucket").alias("_bucket"), (F.col("ahead") + F.col("within")).alias("before")), "offsets")
     plan = small(plan).withColumnRenamed("source", "_source")
-    w = Window.partitionBy("source", "_bucket").orderBy("_ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = docs.withColumn("_at", F.sum("size").over(w) - F.col("size"))
-    out = out.join(offsets, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_bucket") == F.col("_bucket_")), "left").drop("_source", "_bucket_")
+    w = Window.partitionBy("source", "bucket").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = docs.withColumn("at", F.sum("size").over(w) - F.col("size"))
+    out = out.join(small(offsets), F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket")), "left").drop("_source", "_bucket")
     out = out.join(plan, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    return _taken(out.withColumn("_at", F.col("_before") + F.col("_at")), partitions)
+    return _taken(out.withColumn("at", F.col("before") + F.col("at")), partitions)
 
 
 def _taken(out: DataFrame, partitions: int | None) -> DataFrame:
     whole = F.floor(F.col("target"))
     passes = F.when(F.col("source_size") > 0, F.floor(whole / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = (whole - F.col("_passes") * F.col("source_size")).cast("long")
-    last = F.least(F.greatest(F.col("_rest") - F.col("_at"), F.lit(0)), F.col("size"))
-    share = lambda p: F.when(whole > 0, F.least((p * F.col("source_size") + F.col("_at")) / whole, F.lit(1.0))).otherwise(F.lit(0.0))
+    rest = (whole - F.col("passes") * F.col("source_size")).cast("long")
+    last = F.least(F.greatest(F.col("rest") - F.col("at"), F.lit(0)), F.col("size"))
+    share = lambda p: F.when(whole > 0, F.least((p * F.col("source_size") + F.col("at")) / whole, F.lit(1.0))).otherwise(F.lit(0.0))
     copy = lambda p, words: F.struct(words.cast("long").alias("words"), position(share(p), F.col("start"), F.col("stop")).alias("position"))
-    out = out.withColumn("_passes", passes).withColumn("_rest", rest).withColumn("_last", last.cast("long"))
-    out = out.withColumn("taken", F.col("_passes") * F.col("size") + F.col("_last"))
-    full = F.transform(F.when(F.col("_passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("_passes") - 1)).otherwise(F.array().cast("array<bigint>")), lambda p: copy(p, F.col("size")))
-    copies = F.filter(F.concat(full, F.array(copy(F.col("_passes"), F.col("_last")))), lambda c: c["words"] > 0)
+    out = out.withColumn("passes", passes).withColumn("rest", rest).withColumn("last", last.cast("long"))
+    out = out.withColumn("taken", F.col("passes") * F.col("size") + F.col("last"))
+    full = F.transform(F.when(F.col("passes") > 0, F.sequence(F.lit(0).cast("long"), F.col("passes") - 1)).otherwise(F.array().cast("array<bigint>")), lambda p: copy(p, F.col("size")))
+    copies = F.filter(F.concat(full, F.array(copy(F.col("passes"), F.col("last")))), lambda c: c["words"] > 0)
     out = out.withColumn("copies", copies).withColumn("position", position(share(F.lit(0)), F.col("start"), F.col("stop")))
-    out = out.drop("_ord", "_bucket", "_before", "_at", "_passes", "_rest", "_last", "start", "stop")
-    ranged = out.repartitionByRange(partitions, "position") if partitions else out.repartitionByRange("position")
-    return ranged.sortWithinPartitions("position")
+    return restored(_ranged(out.select("row", "ord", *ADDED), partitions, "position", "ord"), *ADDED)
+
+
+def _ranged(rows: DataFrame, partitions: int | None, *by: str) -> DataFrame:
+    ranged = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sized(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     # the report needs no texts: they are read once, for their sizes
-    slim = stored(spark, docs.select("doc_id", "source", "size", "_ord"), "slim")
+    slim = stored(spark, docs.select(F.struct("row.doc_id").alias("row"), "source", "size", "ord"), "slim")
     return mix_sized(slim).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP1_SQL = """
 with d as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint size, md5(coalesce(text, '')) hash from documents),
 o as (
-  select *, sum(size) over (partition by source order by md5(coalesce(doc_id::varchar, 'null') || ':' || size::varchar) rows unbounded preceding) - size at_ from d),
+  select *, sum(size) over (partition by source order by md5(coalesce(doc_id::varchar, 'null') || ':' || size::varchar || ':' || hash) rows unbounded preceding) - size at_ from d),
 s as (select source, sum(size)::bigint source_size from d group by source),
 s1 as (select *, [5e0, 2e0, 1e0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] weight,
     [1.5e0, 1e0, 0.5e0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] a,
