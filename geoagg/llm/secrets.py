@@ -11,7 +11,8 @@ a shuffle and a document never leaves its row. Labelled findings are a parameter
 ``labelled_findings``, ``TRAIN_ROWS`` rows at most are used.
 
 Defined results: a null text stays null without findings; texts without candidates are unchanged; equal (text, path) have
-equal results; empty tables give empty results; extra columns pass through unless named like an added one.
+equal results; empty tables give empty results; extra columns pass through, whatever their names, and columns of the input
+named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import carried, let, restored
 
 #: Labelled findings that the forest is fitted on, at most.
 TRAIN_ROWS = 4000
@@ -46,6 +47,8 @@ BESIDE = {
     "checksum_word": r"(?i)\b(commit|sha1|sha256|md5|checksum|digest|etag|uuid|guid|revision|isbn|doi|build|version)\b",
     "example_word": r"(?i)(example|sample|dummy|changeme|placeholder|your[_-]|xxxx|0{8}|1234567|<.*>|\$\{|test|redacted)",
 }
+#: Columns that may say where a document is from, the first that there is counts.
+PATHS = ("path", "source")
 FEATURES = ["length", "digits", "capitals", "marks", "changes", "different", "hex", "covered", "path_like", "doc_path", *BESIDE, "assigned", "key_id"]
 
 
@@ -105,32 +108,39 @@ def labelled_findings(spark: SparkSession, rows: int = TRAIN_ROWS, seed: int = 7
     name = pick("token", "password", "secret", "api_key", "access_key", "auth", "passwd", "Password", "API_KEY")
     sign = pick(' = "', "=", ": ", ' = "', "='")
     said, other = F.concat(word, F.lit(" "), name, sign), F.concat(word, F.lit(" "), F.substring(low, 30, 5), F.lit(" "))
-    forms = [
-        (F.concat(F.lit("AKIA"), F.substring(up, 1, 16)), other, 1),
-        (F.concat(F.lit("AKIA"), F.substring(up, 1, 16)), said, 1),
-        (cut(hexes, 40), said, 1),
-        (cut(hexes, 16, 64), said, 1),
-        (cut(mixed, 16, 48), said, 1),
-        (cut(mixed, 8, 16), said, 1),
-        (cut(hexes, 16, 24), said, 1),
-        (F.concat(pick("ghp_", "sk_", "xoxb-"), cut(mixed, 24, 40)), other, 1),
-        (F.lit("-----BEGIN RSA PRIVATE KEY-----"), other, 1),
-        (cut(hexes, 40), F.concat(other, pick("commit ", "sha1 ", "revision ", "checksum: ")), 0),
-        (cut(hexes, 32), F.concat(other, pick("md5 ", "etag=", "digest ", "uuid ")), 0),
-        (F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), other, 0),
-        (cut(number, 16, 19), other, 0),
-        (F.concat(pick("mail", "www", "blog", "cdn"), F.substring(number, 1, 1), F.lit("."), pick("example", word), pick(".com", ".org", ".net")), other, 0),
-        (F.concat(F.lit("/"), pick("usr", "home", "static", "blog"), F.lit("/"), word, F.lit("/"), F.substring(number, 1, 4), pick("/index.html", "/main.css", ".png")), other, 0),
-        (F.concat(cut(low, 14, 24), F.substring(number, 1, 2)), other, 0),
-        (F.concat(word, F.lit("."), word, F.lit("-"), F.substring(number, 1, 3), F.lit("."), F.substring(low, 3, 6)), other, 0),
-        (pick("changeme", "xxxxxxxxxxxx", "your_password_1", "your-token-here", "example1234567", "placeholder", "dummy-secret-00", "test1234567890"), said, 0),
-        (pick("required", "optional", "forgotten", "expired.", "invalid,", "reset-link", "protected"), said, 0),
-        (F.concat(F.lit("2024-"), F.substring(number, 1, 2), F.lit("-"), F.substring(number, 3, 2), F.lit("_"), F.substring(low, 1, 8)), other, 0),
+    plain = F.concat(pick("", '"', "'", '"'), F.lit(" "), F.substring(low, 36, 5))
+    source = pick("src0", "src1", "lib/a.py", "app/config", "src7")
+    trial = pick("tests/unit.py", "pkg/test/data", "docs/intro", "examples/run.sh", "spec/fixtures/keys")
+    joke = F.concat(plain, pick(" (example)", " # placeholder", " <sample>", " is a dummy"))
+    forms = [  # value, before, after, path, label
+        (F.concat(F.lit("AKIA"), F.substring(up, 1, 16)), other, plain, source, 1),
+        (F.concat(F.lit("AKIA"), F.substring(up, 1, 16)), said, plain, source, 1),
+        (cut(hexes, 40), said, plain, source, 1),
+        (cut(hexes, 16, 64), said, plain, source, 1),
+        (cut(mixed, 16, 48), said, plain, source, 1),
+        (cut(mixed, 8, 16), said, plain, source, 1),
+        (cut(hexes, 16, 24), said, plain, source, 1),
+        (F.concat(pick("ghp_", "sk_", "xoxb-"), cut(mixed, 24, 40)), other, plain, source, 1),
+        (F.lit("-----BEGIN RSA PRIVATE KEY-----"), other, plain, source, 1),
+        # the same shapes where they are no finding: in tests and examples, or named an example
+        (cut(mixed, 8, 32), said, plain, trial, 0),
+        (cut(hexes, 16, 40), said, plain, trial, 0),
+        (cut(mixed, 8, 32), said, joke, source, 0),
+        (cut(hexes, 40), F.concat(other, pick("commit ", "sha1 ", "revision ", "checksum: ")), plain, source, 0),
+        (cut(hexes, 32), F.concat(other, pick("md5 ", "etag=", "digest ", "uuid ")), plain, source, 0),
+        (F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), other, plain, source, 0),
+        (cut(number, 16, 19), other, plain, source, 0),
+        (F.concat(pick("mail", "www", "blog", "cdn"), F.substring(number, 1, 1), F.lit("."), pick("example", word), pick(".com", ".org", ".net")), other, plain, source, 0),
+        (F.concat(F.lit("/"), pick("usr", "home", "static", "blog"), F.lit("/"), word, F.lit("/"), F.substring(number, 1, 4), pick("/index.html", "/main.css", ".png")), other, plain, source, 0),
+        (F.concat(cut(low, 14, 24), F.substring(number, 1, 2)), other, plain, source, 0),
+        (F.concat(word, F.lit("."), word, F.lit("-"), F.substring(number, 1, 3), F.lit("."), F.substring(low, 3, 6)), other, plain, source, 0),
+        (pick("changeme", "xxxxxxxxxxxx", "your_password_1", "your-token-here", "example1234567", "placeholder", "dummy-secret-00", "test1234567890"), said, plain, source, 0),
+        (pick("required", "optional", "forgotten", "expired.", "invalid,", "reset-link", "protected"), said, plain, source, 0),
+        (F.concat(F.lit("2024-"), F.substring(number, 1, 2), F.lit("-"), F.substring(number, 3, 2), F.lit("_"), F.substring(low, 1, 8)), other, plain, source, 0),
     ]
-    made = F.array(*[F.struct(v.alias("value"), b.alias("before"), F.lit(y).alias("label")) for v, b, y in forms])
+    made = F.array(*[F.struct(v.alias("value"), b.alias("before"), a.alias("after"), p.alias("path"), F.lit(float(y)).alias("label")) for v, b, a, p, y in forms])
     picked = F.element_at(made, (F.col("id") % len(forms) + 1).cast("int"))
-    df = spark.range(0, rows, 1, 1).withColumn("_x", picked)
-    return df.select("_x.value", "_x.before", F.lit(" ").alias("after"), pick("src0", "src1", "lib/a", "src7").alias("path"), F.col("_x.label").cast("double").alias("label"))
+    return spark.range(0, rows, 1, 1).select(picked.alias("x")).select("x.*")
 
 
 # --- the forest ------------------------------------------------------------------------------------------------------
@@ -150,6 +160,8 @@ class Forest:
 
     def __init__(self, model):
         self.roots = [t._java_obj.rootNode() for t in model.trees]
+        #: the features that splits use
+        self.used = {f for f, share in zip(FEATURES, model.featureImportances.toArray(), strict=True) if share > 0}
 
     def score(self, at: Column) -> Column:
         total = F.lit(0.0)
@@ -169,41 +181,52 @@ def fit_forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int =
     return Forest(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, minInstancesPerNode=2).fit(own))
 
 
-def secret_scan(docs: DataFrame, forest: Forest | None = None, path: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """``docs`` with ``text`` redacted, ``n_candidates`` and ``findings``: array of (value, score), secrets only."""
+ADDED = ("text", "n_candidates", "findings")
+
+
+def secret_scan(docs: DataFrame, forest: Forest | None = None, path: str | None = None, cutoff: float = CUTOFF) -> DataFrame:
+    """``docs`` with ``text`` redacted, ``n_candidates`` and ``findings``: array of (value, score), secrets only.
+
+    ``path``: the column that says where a document is from; by default the first of ``PATHS`` that there is.
+    """
     forest = forest or fit_forest(labelled_findings(docs.sparkSession))
-    place = F.col(path) if path in docs.columns else F.lit("")
+    path = path or next((p for p in PATHS if p in docs.columns), None)
+    place = F.col(path).cast("string") if path else F.lit("")
+    rows = docs.select(carried(docs, *ADDED), F.col("text"), place.alias("place"))
     text = F.col("text")
-    hinted = text.rlike(HINT)
-    matches = F.when(hinted, F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    out = docs.withColumn("_m", matches)
-    out = out.withColumn("_p", F.when(F.size("_m") > 0, F.split(text, CANDIDATE, -1)))
+    matches = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    out = rows.withColumn("m", matches)
+    out = out.withColumn("p", F.when(F.size("m") > 0, F.split(text, CANDIDATE, -1)))
 
     def described(m: Column, i: Column) -> Column:
         def with_value(value: Column) -> Column:
-            before = F.concat(F.substring(F.get(F.col("_p"), i), -40, 40), F.substring(m, F.lit(1), F.length(m) - F.length(value)))
-            after = F.substring(F.coalesce(F.get(F.col("_p"), i + 1), F.lit("")), 1, 24)
-            return F.struct(m.alias("match"), value.alias("value"), features(value, before, after, place.cast("string")).alias("f"))
+            before = F.concat(F.substring(F.get(F.col("p"), i), -40, 40), F.substring(m, F.lit(1), F.length(m) - F.length(value)))
+            after = F.substring(F.coalesce(F.get(F.col("p"), i + 1), F.lit("")), 1, 24)
+            return F.struct(m.alias("match"), value.alias("value"), features(value, before, after, F.col("place")).alias("f"))
 
         return let(value_of(m), with_value)
 
-    out = out.withColumn("_d", F.transform("_m", described))
-    out = out.withColumn("_s", F.transform("_d", lambda d: F.struct(d["match"].alias("match"), d["value"].alias("value"), let(d["f"], forest.score).alias("score"))))
+    out = out.withColumn("d", F.transform("m", described))
+    out = out.withColumn("s", F.transform("d", lambda d: F.struct(d["match"].alias("match"), d["value"].alias("value"), let(d["f"], forest.score).alias("score"))))
     kept = lambda s: F.when(s["score"] >= cutoff, F.concat(F.substring(s["match"], F.lit(1), F.length(s["match"]) - F.length(s["value"])), F.lit(MARK))).otherwise(s["match"])
-    joined = F.array_join(F.flatten(F.zip_with("_p", "_s", lambda p, s: F.array(p, F.coalesce(kept(s), F.lit(""))))), "")
-    out = out.withColumn("text", F.when(F.size("_m") > 0, joined).otherwise(text))
-    out = out.withColumn("n_candidates", F.coalesce(F.size("_m"), F.lit(0)).cast("long"))
-    found = F.filter("_s", lambda s: s["score"] >= cutoff)
-    return out.withColumn("findings", F.coalesce(F.transform(found, lambda s: F.struct(s["value"].alias("value"), s["score"].alias("score"))), F.array().cast("array<struct<value:string,score:double>>"))).drop("_m", "_p", "_d", "_s")
+    joined = F.array_join(F.flatten(F.zip_with("p", "s", lambda p, s: F.array(p, F.coalesce(kept(s), F.lit(""))))), "")
+    found = F.transform(F.filter("s", lambda s: s["score"] >= cutoff), lambda s: F.struct(s["value"].alias("value"), s["score"].alias("score")))
+    return restored(
+        out,
+        F.when(F.size("m") > 0, joined).otherwise(text).alias("text"),
+        F.coalesce(F.size("m"), F.lit(0)).cast("long").alias("n_candidates"),
+        F.coalesce(found, F.array().cast("array<struct<value:string,score:double>>")).alias("findings"),
+    )
 
 
 def redacted(docs: DataFrame, forest: Forest | None = None) -> DataFrame:
     """``docs`` with secrets in ``text`` replaced and ``n_chars``, if there, brought up to date."""
-    names = docs.columns
-    out = secret_scan(docs, forest)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    out = secret_scan(docs.select(carried(docs).alias("_doc"), *[c for c in ("text", *PATHS) if c in docs.columns]), forest)
+    out = out.withColumn("_row", F.col("_doc").withField("text", F.col("text")))
+    if "n_chars" in docs.columns:
+        n = F.when(F.size("findings") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_doc.n_chars"))
+        out = out.withColumn("_row", F.col("_row").withField("n_chars", n))
+    return out.select("_row.*")
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
