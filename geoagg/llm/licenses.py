@@ -1,28 +1,30 @@
 """License scans by diagonal voting (native).
 
 Templates are short word sequences with a label. Every position of a document's word sequence gives a rolling k-gram
-(k = 4 words, or the whole template where it is shorter); its hash is joined to the positions of the templates. A hit
+(k = 4 words, or the whole template where it is shorter); its 64-bit hash is joined to the positions of the templates. A hit
 votes for the diagonal ``document position - template position``. Votes are summed per (text, template, diagonal),
 diagonals at most ``slack`` apart whose stretches of the document overlap or adjoin are merged to a span, and a span is
-verified: the hits carry their words, which the join compares with the template's, and the template positions they
-cover must make up ``min_cover`` of the template (all of it, on one diagonal, for an exact phrase).
+verified: the template positions that its hits cover must make up ``min_cover`` of the template (all of it, on one diagonal,
+for an exact phrase).
 
-All results are functions of the text alone, so hits are keyed by the text's SHA-256: copies are counted once and rows
-need no identifier. Only (key, span) rows are shuffled, never texts.
+All results are functions of the text alone, so hits are keyed by the text's MD5: copies are counted once and rows
+need no identifier. Only hits, spans and rows without their texts are shuffled.
 
 Defined results: a null text is an empty one; empty texts and tables have no hits; equal texts have equal results; null
-or repeated doc_ids stay as they are; extra columns pass through.
+or repeated doc_ids stay as they are; a text of any length is read whole; of overlapping places of a phrase all count; extra
+columns pass through, whatever their names, and columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NON_WORD, ascii_lower, pieces, small, stored
+from .common import NON_WORD, ascii_lower, carried, let, pieces, restored, small, stored, text_key
 
 K = 4
 
@@ -51,30 +53,37 @@ NOTICES = [
 ]
 
 
+def _grams(words: Column, k: int) -> Column:
+    """The rolling hashes of all runs of ``k`` words, in order: of the words' hashes and of k."""
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return let(
+        hashes,
+        lambda h: F.transform(
+            F.slice(h, F.lit(1), F.greatest(F.size(h) - k + 1, F.lit(0))),
+            lambda x, i: F.xxhash64(F.lit(k), x, *[F.get(h, i + j) for j in range(1, k)]),
+        ),
+    )
+
+
 def template_grams(spark: SparkSession, templates: list[Template]) -> DataFrame:
-    """One row for each k-gram position of each template: tid, tpos, k, the words (null beyond k), h2 of the first two."""
-    rows = []
-    for tid, t in enumerate(templates):
-        w = t.text.split()
-        if len(w) < 2:
-            raise ValueError("a template has two words at least")
-        k = min(K, len(w))
-        rows += [(tid, p, k, *(w[p : p + k] + [None] * (K - k))) for p in range(len(w) - k + 1)]
-    df = spark.createDataFrame(rows, "tid int, tpos int, k int, " + ", ".join(f"t{i} string" for i in range(K)))
-    return df.withColumn("h", F.xxhash64("t0", "t1"))
+    """One row for each k-gram position of each template: tid, tpos, k, gram."""
+    words = [t.text.split() for t in templates]
+    if any(len(w) < 2 for w in words):
+        raise ValueError("a template has two words at least")
+    df = spark.createDataFrame([(i, min(K, len(w)), w) for i, w in enumerate(words)], "tid int, k int, w array<string>")
+    made = [df.filter(F.col("k") == k).select("tid", "k", F.posexplode(_grams(F.col("w"), k)).alias("tpos", "gram")) for k in sorted({min(K, len(w)) for w in words})]
+    return reduce(DataFrame.unionByName, made)
 
 
 def gram_hits(texts: DataFrame, templates: list[Template]) -> DataFrame:
-    """(key, tid, pos, tpos): k-grams of ``texts.text`` that equal a template's, word for word."""
+    """(key, tid, pos, tpos): k-grams of ``texts.text`` whose hash is that of a template's k-gram; k is the template's."""
+    table = template_grams(texts.sparkSession, templates)
     words = pieces(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), NON_WORD)
-    grams = texts.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), words.alias("w")).filter(F.size("w") >= 2)
-    grams = grams.select("key", F.posexplode(F.arrays_zip(F.col("w").alias("w0"), *[F.slice("w", F.lit(i + 1), F.size("w")).alias(f"w{i}") for i in range(1, K)])).alias("pos", "g"))
-    grams = grams.select("key", "pos", "g.*").withColumn("h", F.xxhash64("w0", "w1"))
-    table = small(template_grams(texts.sparkSession, templates))
-    on = grams["h"] == table["h"]
-    for i in range(K):
-        on = on & (F.coalesce(F.col(f"w{i}"), F.lit("")) == F.coalesce(F.col(f"t{i}"), F.lit(""))) if i < 2 else on & ((F.col("k") <= i) | (F.col(f"w{i}") == F.col(f"t{i}")))
-    return grams.join(table, on).select("key", "tid", "pos", "tpos").distinct()
+    lengths = sorted({min(K, len(t.text.split())) for t in templates})
+    every = let(words, lambda w: F.array(*[_grams(w, k) for k in lengths]))
+    rows = texts.select(text_key(), F.explode(every).alias("grams"))
+    hits = rows.select("key", F.posexplode("grams").alias("pos", "gram")).join(small(table), "gram")
+    return hits.select("key", "tid", "pos", "tpos").distinct()
 
 
 def spans(texts: DataFrame, templates: list[Template], slack: int = 2, min_cover: float = 0.8) -> DataFrame:
@@ -97,7 +106,7 @@ def spans(texts: DataFrame, templates: list[Template], slack: int = 2, min_cover
 
 
 def license_scan(docs: DataFrame, templates: list[Template] | None = None, slack: int = 2, min_cover: float = 0.8) -> DataFrame:
-    """``docs`` with n_words and ``found``: an array of (label, exact, start, stop, cover), null where nothing was found."""
+    """The columns of ``docs`` but text, with n_words and ``found``: an array of (label, exact, start, stop, cover), null without one."""
     spark = docs.sparkSession
     templates = BASE + NOTICES if templates is None else templates
     labels = small(spark.createDataFrame([(i, t.label, t.exact) for i, t in enumerate(templates)], "tid int, label string, exact boolean"))
@@ -107,15 +116,15 @@ def license_scan(docs: DataFrame, templates: list[Template] | None = None, slack
         .groupBy(F.col("key").alias("_key"))
         .agg(F.array_sort(F.collect_list(F.struct("label", "exact", "start", "stop", "cover"))).alias("found"))
     )
-    found = stored(spark, found, "found")
+    found = small(stored(spark, found, "found"))
     words = pieces(F.coalesce(F.col("text"), F.lit("")), NON_WORD.replace("\\x3A-\\x60", "\\x3A-\\x40\\x5B-\\x60"))
-    keyed = docs.withColumns({"n_words": F.size(words).cast("long"), "_key": F.sha2(F.coalesce("text", F.lit("")), 256)})
-    return keyed.join(found, "_key", "left").drop("_key")
+    rows = docs.select(carried(docs, "text", "n_words", "found"), text_key(), F.size(words).cast("long").alias("n_words"))
+    return restored(rows.join(found, F.col("key") == F.col("_key"), "left"), "n_words", "found")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scanned = license_scan(docs).drop("text")
+    scanned = license_scan(docs)
     base = F.coalesce(F.filter("found", lambda x: x["exact"]), F.array())
     names = lambda a: F.array_join(F.array_sort(F.array_distinct(F.transform(a, lambda x: x["label"]))), ",")
     starts = F.transform(base, lambda x: x["start"].cast("long"))
