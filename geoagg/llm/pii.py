@@ -5,17 +5,21 @@ as it is. A value is permuted with a keyed, ten-round Feistel network over its o
 equal pseudonyms in all documents and different values different ones, and the format stays:
 
 * card: 13-19 digits with a valid Luhn sum; all digits but the last are permuted, the last is the Luhn digit again;
-* ssn: ddd-dd-dddd; the nine digits are permuted;
-* phone: ``+1 (ddd) ddd-dddd`` and the like; the last seven digits are permuted, the rest is kept;
+* ssn: ddd-dd-dddd that can be one (area not 000 or 666, group not 00, serial not 0000); the nine digits are permuted within
+  these, by walking the cycle until it is inside;
+* phone: ``+1 (ddd) ddd-dddd`` and the like; the last seven digits are permuted, the rest is kept. There is no check digit, and
+  a numbering plan is not asked for: it would leave real numbers of other plans in clear;
 * ip: four numbers up to 255; the address is permuted within 0 .. 2**32 - 1;
 * date: yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy that is a day of the calendar in 1900-2099; the day's number is permuted in that
   range, by walking the cycle until it is inside;
-* email: every run of letters and of digits of the part before ``@`` is permuted within its alphabet.
+* email: every run of letters and of digits of the part before ``@`` is permuted within its alphabet; capitals stay capitals,
+  and names that differ in case only have pseudonyms that do.
 
-The round function is SHA-256 over (key, kind, round, length, half). The key is a parameter; who has it can undo the permutation.
+The round function is SHA-256 over (key, kind, round, length, half). The key is the caller's; who has it can undo the permutation.
 
 Defined results: a null text stays null with no counts; a text without matches is unchanged; the cost of a text is linear
-in its length; equal texts have equal results; empty tables give empty results; extra columns pass through.
+in its length; equal texts have equal results; empty tables give empty results; extra columns pass through, whatever their
+names, and columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -23,11 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import carried, let, restored
 
 ROUNDS = 10
 DAYS = 73049  # 1900-01-01 .. 2099-12-31
-KEY = "demo-key"
+#: The key of the registered query, which shows the operator on made data.
+QUERY_KEY = "demo-key"
 KINDS = ("card", "ssn", "phone", "ip", "date", "email")
 
 #: The format of each kind, in the order in which they are tried at a place of the text.
@@ -118,8 +123,15 @@ def _card(match: Column, key: str) -> Column:
     return _formatted(match, let(_digits(match), renumbered))
 
 
+def _can_be_ssn(digits: Column) -> Column:
+    return ~digits.rlike("^(?:000|666|...00|.....0000)")
+
+
 def _ssn(match: Column, key: str) -> Column:
-    return _formatted(match, feistel(_digits(match), F.lit("ssn"), key))
+    # one of 80 numbers is outside: 32 steps miss with a chance of 1e-60
+    once = lambda v: feistel(v, F.lit("ssn"), key)
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(32)), once(_digits(match)), lambda v, i: F.when(_can_be_ssn(v), v).otherwise(once(v)))
+    return _formatted(match, walk)
 
 
 def _phone(match: Column, key: str) -> Column:
@@ -160,7 +172,8 @@ def _email(match: Column, key: str) -> Column:
     local = F.lower(F.substring_index(match, "@", 1))
     runs = F.regexp_extract_all(local, F.lit("([a-z]{1,20}|[0-9]{1,20}|[^a-z0-9]+)"), F.lit(1))
     one = lambda r: F.when(r.rlike("^[a-z]"), feistel(r, F.lit("email"), key, 26)).when(r.rlike("^[0-9]"), feistel(r, F.lit("email"), key)).otherwise(r)
-    return F.concat(F.array_join(F.transform(runs, one), ""), F.lit("@"), F.substring_index(match, "@", -1))
+    cased = lambda made: F.array_join(F.transform(F.split(F.substring_index(match, "@", 1), ""), lambda c, i: F.when(c.rlike("^[A-Z]$"), F.upper(F.substring(made, i + 1, F.lit(1)))).otherwise(F.substring(made, i + 1, F.lit(1)))), "")
+    return F.concat(let(F.array_join(F.transform(runs, one), ""), cased), F.lit("@"), F.substring_index(match, "@", -1))
 
 
 def kind_of(match: Column) -> Column:
@@ -172,7 +185,7 @@ def kind_of(match: Column) -> Column:
         F.when(match.contains("@"), "email")
         .when(match.rlike(full["date"]) & _day(match).isNotNull(), "date")
         .when(match.rlike(full["ip"]) & F.forall(octets, lambda x: x < 256), "ip")
-        .when(match.rlike(full["ssn"]), "ssn")
+        .when(match.rlike(full["ssn"]) & _can_be_ssn(digits), "ssn")
         .when(match.rlike(full["card"]) & (F.length(digits) >= 13) & (F.length(digits) <= 19) & (luhn_sum(digits) % 10 == 0), "card")
         .when(match.rlike(full["phone"]), "phone")
     )
@@ -186,27 +199,27 @@ def replaced(match: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with ``text`` rewritten and ``findings``: array of (kind, value, pseudonym) in the order of the text.
 
     ``value`` is the personal datum itself: drop it where the result leaves the trusted side.
     """
     text = F.col("text")
     matches = F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))
-    kinds = F.transform(F.col("_m"), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
-    found = F.transform(F.col("_k"), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), replaced(x["value"], x["kind"], key).alias("pseudonym")))
+    kinds = F.transform(F.col("m"), lambda m: F.struct(kind_of(m).alias("kind"), m.alias("value")))
+    found = F.transform(F.col("k"), lambda x: F.struct(x["kind"].alias("kind"), x["value"].alias("value"), replaced(x["value"], x["kind"], key).alias("pseudonym")))
     # between the matches lie one part more than matches
     parts = F.split(text, ANY, -1)
-    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("_f"), lambda p, f: F.array(p, F.coalesce(f["pseudonym"], F.lit(""))))), "")
-    out = docs.withColumn("_m", F.when(text.rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
-    out = out.withColumn("_k", kinds).withColumn("_f", found)
-    out = out.withColumn("text", F.when(F.size("_m") > 0, joined).otherwise(text))
-    return out.withColumn("findings", F.filter(F.col("_f"), lambda f: f["kind"].isNotNull())).drop("_m", "_k", "_f")
+    joined = F.array_join(F.flatten(F.zip_with(parts, F.col("f"), lambda p, f: F.array(p, F.coalesce(f["pseudonym"], F.lit(""))))), "")
+    out = docs.select(carried(docs, "text", "findings"), text)
+    out = out.withColumn("m", F.when(text.rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
+    out = out.withColumn("k", kinds).withColumn("f", found)
+    return restored(out, F.when(F.size("m") > 0, joined).otherwise(text).alias("text"), F.filter(F.col("f"), lambda f: f["kind"].isNotNull()).alias("findings"))
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = pseudonymize(docs)
+    out = pseudonymize(docs, QUERY_KEY)
     n = lambda k: F.size(F.filter("findings", lambda f: f["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("doc_id", "text", F.coalesce(F.size("findings"), F.lit(0)).cast("long").alias("n_found"), *[n(k) for k in KINDS])
 
