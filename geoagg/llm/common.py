@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -54,17 +55,30 @@ def drop_scratch(*tables: DataFrame) -> None:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextlib.contextmanager
+def _cleanup(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def gathered(df: DataFrame) -> list:
+    """The few rows of ``df`` at the driver; the shuffle files behind them go."""
+    with _cleanup(df.sparkSession):
+        return df.collect()
+
+
 def stored(spark: SparkSession, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: cuts lineage, survives lost executors.
 
     ``files``: for tables whose size does not follow the number of documents, the number of files at most.
     """
-    path, before = scratch(spark, name), spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = scratch(spark, name)
+    with _cleanup(spark):
         (df.coalesce(files) if files else df).write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path.rpartition("/")[0]
     return out

@@ -26,16 +26,15 @@ equal scores; extra columns pass through unless named like an added one.
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import zlib
-from pathlib import Path
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashedWords, arrow_schema, column_chunks, extended, from_batches, gram_hashes, scratch
+from .common import HashedWords, arrow_schema, carried, column_chunks, extended, from_batches, gathered, gram_hashes, restored, scratch
 
 #: Tokens that a counting task holds before it hands its sums on.
 FLUSH = 4_000_000
@@ -53,46 +52,28 @@ BEGIN, END = np.uint64(0x6B1F3C5D9E274A81), np.uint64(0xC3A5D7E912B4F608)
 # --- shared files ----------------------------------------------------------------------------------------------------
 
 
-def _mounted(folder: str) -> str | None:
-    """The local path of a folder URI, if it is a mounted one."""
+def _mounted(folder: str) -> str:
+    """The local path of a folder URI. Only a mounted folder can be mapped; another one is refused, not copied."""
     if folder.startswith("file:"):
         return "/" + folder[5:].lstrip("/")
-    return folder if "://" not in folder else None
+    if "://" in folder:
+        raise ValueError(f"the model's arrays are mapped into memory, for which {folder} has to be a mounted folder (set spark.checkpoint.dir to one)")
+    return folder
 
 
 def _write(folder: str, name: str, array: np.ndarray) -> None:
     """All or nothing, so that a task that runs twice leaves one whole file."""
-    if path := _mounted(folder):
-        os.makedirs(path, exist_ok=True)
-        with tempfile.NamedTemporaryFile(dir=path, delete=False) as f:
-            np.save(f, array)
-        os.replace(f.name, f"{path}/{name}.npy")
-        return
-    from pyarrow import fs
-
-    store, path = fs.FileSystem.from_uri(folder)
-    store.create_dir(path)
-    with tempfile.TemporaryFile() as f:
+    path = _mounted(folder)
+    os.makedirs(path, exist_ok=True)
+    with tempfile.NamedTemporaryFile(dir=path, delete=False) as f:
         np.save(f, array)
-        f.seek(0)
-        with store.open_output_stream(f"{path}/{name}.npy") as out:
-            shutil.copyfileobj(f, out)
+    os.replace(f.name, f"{path}/{name}.npy")
 
 
+@lru_cache(maxsize=1 << 14)
 def _map(folder: str, name: str) -> np.ndarray:
-    path = _mounted(folder)
-    if path is None:
-        from pyarrow import fs
-
-        store, there = fs.FileSystem.from_uri(folder)
-        own = Path(tempfile.gettempdir()) / folder.rstrip("/").rpartition("/")[2]
-        own.mkdir(exist_ok=True)
-        path = str(own)
-        if not (own / f"{name}.npy").exists():
-            with store.open_input_stream(f"{there}/{name}.npy") as f, tempfile.NamedTemporaryFile(dir=own, delete=False) as to:
-                shutil.copyfileobj(f, to)
-            os.replace(to.name, own / f"{name}.npy")
-    return np.load(f"{path}/{name}.npy", mmap_mode="r")
+    """An array of the model; a worker keeps so many maps at once as the system allows it."""
+    return np.load(f"{_mounted(folder)}/{name}.npy", mmap_mode="r")
 
 
 class Arrays:
@@ -101,7 +82,7 @@ class Arrays:
     def __init__(self, folder: str, kind: str, shards: int, columns: tuple[str, ...]):
         self.shift = np.uint64(64 - shards.bit_length() + 1)
         self.shards = shards
-        self.parts = [tuple(_map(folder, f"{kind}-{s}-{c}") for c in ("keys", *columns)) for s in range(shards)]
+        self.part = lambda s: tuple(_map(folder, f"{kind}-{s}-{c}") for c in ("keys", *columns))
         self.columns = len(columns)
 
     def __call__(self, queries: np.ndarray) -> list[np.ndarray]:
@@ -109,8 +90,10 @@ class Arrays:
         bounds = np.searchsorted(queries, np.arange(1, self.shards, dtype=np.uint64) << self.shift) if self.shards > 1 else []
         out = [np.zeros(len(queries)) for _ in range(self.columns)]
         for s, (a, b) in enumerate(zip([0, *bounds], [*bounds, len(queries)], strict=True)):
-            keys, *values = self.parts[s]
-            if a == b or not len(keys):
+            if a == b:
+                continue
+            keys, *values = self.part(s)
+            if not len(keys):
                 continue
             q = queries[a:b]
             at = np.searchsorted(keys, q)
@@ -207,7 +190,8 @@ def _classes(c: np.ndarray) -> list[int]:
 
 
 def _narrow(c: np.ndarray) -> np.ndarray:
-    return c.astype(np.uint32) if c.max(initial=0) >= 1 << 16 else c.astype(np.uint16) if c.max(initial=0) >= 256 else c.astype(np.uint8)
+    """Counts in as few bytes as the largest of them needs, up to eight."""
+    return c.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if c.max(initial=0) <= np.iinfo(t).max))
 
 
 def _merge_counts(rows: DataFrame, folder: str) -> DataFrame:
@@ -286,7 +270,7 @@ def _merge_contexts(rows: DataFrame, folder: str, order: int, k: int) -> DataFra
 
         hashed = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["keys"]])
         keys, *sums = _summed(hashed, *[np.concatenate([np.frombuffer(zlib.decompress(x), np.float64) for x in pdf[c]]) for c in names])
-        sums = [np.rint(s).astype(np.uint32) for s in sums]
+        sums = [np.rint(s).astype(np.uint64) for s in sums]
         # a word's keys are those of the word counts, whose tokens these are
         if k > 1:
             _write(folder, f"{kind}-{key[0]}-keys", keys)
@@ -351,13 +335,14 @@ def train(docs: DataFrame, order: int = 2) -> Model:
         raise ValueError(f"order {order} is below 2")
     spark = docs.sparkSession
     folder = scratch(spark, "model")
-    shards = 1 << int(np.clip(int(2 * docs.rdd.getNumPartitions() - 1).bit_length(), 3, 12))
-    stats = _merge_counts(_counts(docs, shards, order), folder).collect()  # one row for each range
+    # two ranges a partition of the input, whose size Spark bounds, so that a range does not grow with the corpus
+    shards = 1 << max(3, int(2 * docs.rdd.getNumPartitions() - 1).bit_length())
+    stats = gathered(_merge_counts(_counts(docs, shards, order), folder))  # one row for each range
     _fill(folder, shards, {(r["kind"], r["shard"]) for r in stats}, order)
     total = {k: [sum(r[x] for r in stats if r["kind"] == k) for x in ("keys", "total", "n1", "n2", "n3", "n4")] for k in ("word", "gram")}
     d = [_discounts(*total["gram"][2:])]
     for k in range(order - 1, 0, -1):
-        rows = _merge_contexts(_contexts(docs, folder, shards, order, k), folder, order, k).collect()
+        rows = gathered(_merge_contexts(_contexts(docs, folder, shards, order, k), folder, order, k))
         if k > 1:
             _fill(folder, shards, {(r["kind"], r["shard"]) for r in rows}, order, (k,))
         low = [sum(x) for x in zip(*[(r["total"], r["n1"], r["n2"], r["n3"], r["n4"], r["keys"]) for r in rows], strict=True)] or [0] * 6
@@ -383,8 +368,10 @@ ADDED = "n_tokens long, n_known long, base_score double, score double"
 
 def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFrame:
     """``docs`` with n_tokens, n_known, base_score (add-one unigram) and score (log10 probability of the text)."""
-    docs = docs.drop(*[x.split()[0] for x in ADDED.split(", ")])
-    schema, arrow = arrow_schema(ADDED, docs, drop)
+    names = [x.split()[0] for x in ADDED.split(", ")]
+    gone = ("text",) if "text" in drop else ()
+    rows = docs.select(carried(docs, *names, *drop, "text"), F.col("text"))
+    schema, arrow = arrow_schema(ADDED, rows, gone)
     folder, shards, totals, order = model.folder, model.shards, model.totals, model.order
 
     def run(batches):
@@ -393,9 +380,9 @@ def score(docs: DataFrame, model: Model, drop: tuple[str, ...] = ()) -> DataFram
         scorer = None
         for batch, texts in column_chunks(batches, budget=_chunk(order)):
             scorer = scorer or Model(folder, shards, totals, order).scorer()
-            yield extended(batch, [pa.array(x) for x in scorer(texts)], arrow, drop)
+            yield extended(batch, [pa.array(x) for x in scorer(texts)], arrow, gone)
 
-    return from_batches(docs, run, schema)
+    return restored(from_batches(rows, run, schema), *(() if gone else ("text",)), *names)
 
 
 def held_out(doc_id: Column, of: int = 7, fold: int = 2) -> Column:
