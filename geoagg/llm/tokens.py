@@ -8,9 +8,9 @@ last byte, "share" splits it by bytes. Separators are a section of their own, so
 
 The vocabulary file is a parameter; each worker reads it once. Whole texts are encoded, however long.
 
-
-Defined results: a null field is an empty one and has no tokens; repeated rows have equal counts; empty tables give empty
-results; extra columns pass through unless named like an added one.
+Defined results: a null field is an empty one and has no tokens; fields that are no texts count as their text form; repeated
+rows have equal counts; a token that ends at a boundary does not cross it; empty tables give empty results; extra columns pass
+through, whatever their names, and columns of the input named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, byte_texts, column_chunks, extended, from_batches
+from .common import arrow_schema, byte_texts, carried, column_chunks, extended, from_batches, restored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SEPARATOR = b"\n\n"
@@ -72,17 +72,19 @@ def count_tokens(docs: DataFrame, fields: list[str], lines: bool = False, rule:
     ``lines``: also line_tokens (array<double>): the sections are the lines of the last field, each with its line break.
     """
     added = "n_tokens long, field_tokens array<double>, separator_tokens double, n_crossing long, line_tokens array<double>"
-    docs = docs.drop("n_tokens", "field_tokens", "separator_tokens", "n_crossing", "line_tokens")
-    schema, arrow = arrow_schema(added, docs, drop)
-    last = fields[-1]
+    names = [x.split()[0] for x in added.split(", ")]
+    own = [f"f{i}" for i in range(len(fields))]
+    gone = tuple(o for o, f in zip(own, fields, strict=True) if f in drop or f in names)
+    rows = docs.select(carried(docs, *names, *drop, *fields), *[F.col(f"`{f}`").cast("string").alias(o) for o, f in zip(own, fields, strict=True)])
+    schema, arrow = arrow_schema(added, rows, gone)
 
     def count(batches):
         import pyarrow as pa
 
         encoding, lengths = encoder(vocabulary)
-        for batch, _ in column_chunks(batches, last):
-            columns = [byte_texts(batch.column(batch.schema.get_field_index(f))) for f in fields]
-            totals, own, between, crossed, by_line = [], [], [], [], []
+        for batch, _ in column_chunks(batches, own[-1]):
+            columns = [byte_texts(batch.column(batch.schema.get_field_index(f))) for f in own]
+            totals, by_field, between, crossed, by_line = [], [], [], [], []
             for row in zip(*columns, strict=True):
                 row = [x or b"" for x in row]
                 parts = [x for f in row for x in (f, SEPARATOR)][:-1]
@@ -96,14 +98,14 @@ def count_tokens(docs: DataFrame, fields: list[str], lines: bool = False, rule:
                 n = attribute(ends, bounds, rule)
                 head = len(parts) - 1
                 totals.append(len(ids))
-                own.append([*n[:head:2].tolist(), float(n[head:].sum())])
+                by_field.append([*n[:head:2].tolist(), float(n[head:].sum())])
                 between.append(float(n[1:head:2].sum()))
                 crossed.append(crossing(ends, bounds))
                 by_line.append(n[head:].tolist() if lines else None)
-            made = [pa.array(totals, pa.int64()), pa.array(own, pa.list_(pa.float64())), pa.array(between, pa.float64()), pa.array(crossed, pa.int64()), pa.array(by_line, pa.list_(pa.float64()))]
-            yield extended(batch, made, arrow, drop)
+            made = [pa.array(totals, pa.int64()), pa.array(by_field, pa.list_(pa.float64())), pa.array(between, pa.float64()), pa.array(crossed, pa.int64()), pa.array(by_line, pa.list_(pa.float64()))]
+            yield extended(batch, made, arrow, gone)
 
-    return from_batches(docs, count, schema)
+    return restored(from_batches(rows, count, schema), *[F.col(o).alias(f) for o, f in zip(own, fields, strict=True) if o not in gone], *names)
 
 
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
