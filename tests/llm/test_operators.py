@@ -43,7 +43,7 @@ def edge_dir(spark, tmp_path_factory):
     base = tmp_path_factory.mktemp("edges")
     docs(spark).coalesce(2).write.parquet(f"{base}/documents.parquet")
     spark.createDataFrame([(1, "c d e f g h i j k l"), (2, "one two three"), (2, "one two three"), (None, "word word"), (5, None), (6, "")], "item_id long, text string").coalesce(1).write.parquet(f"{base}/benchmark.parquet")
-    urls = ["http://www.Example.com/en/x?y#z", None, "", "no host", "https://net/es/", "https://a.net/fr", "http://spam-farm.org/en/1", "http://example.com", "a://b://c", "http://www.example.com/en/x"]
+    urls = ["http://www.Example.com/en/x?y#z", "http://foo.org/r?u=http://example.com/en/x", "https://foo.org/a/http://b.net/es/", "http://foo.org/#://x.com/", "http://x.org/carefree-downloads", None, "", "no host", "https://net/es/", "https://a.net/fr", "http://spam-farm.org/en/1", "http://example.com", "a://b://c", "http://www.example.com/en/x"]
     spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(f"{base}/pages.parquet")
     return str(base)
 
@@ -81,14 +81,42 @@ def test_edge_rows_keep_every_row(spark, edge_dir, name):
     assert registry.QUERIES[name](spark, edge_dir).count() == spark.read.parquet(f"{edge_dir}/{table}.parquet").count()
 
 
-def test_extra_and_clashing_columns(spark):
-    d = docs(spark).withColumns({"extra": F.lit("kept"), "n_words": F.lit("mine"), "size": F.lit("mine"), "findings": F.lit("mine"), "kept": F.lit("mine"), "score": F.lit("mine"), "n_tokens": F.lit("mine")})
-    n = len(EDGES)
-    assert set(quality.quality_filter(d).columns) == set(d.columns)
+#: Names that operators use or add, and some that they might.
+CLASHES = "extra row key link m s d p k f place size source_size target taken copies position start stop ord bucket before at passes rest last n_words n_hit hits items contaminated found label findings n_candidates kept base_failed upper_symbol_rate score base_score n_tokens n_known field_tokens f0 host path rule verdict patterns token rules best names _n _sig _s _id _key _own _block _cover _url _verdict _source _lang comp component_id rows first word gram pos".split()
+
+
+def clashing(df):
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+def operators(spark):
     item = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
-    for out in (decontam.decontaminate(d, item), mixing.mix(d), secrets.secret_scan(d), pii.pseudonymize(d), licenses.license_scan(d), tokens.count_tokens(d, ["source", "text"]), kneser_ney.score(d, kneser_ney.train(d))):
-        rows = out.collect()
-        assert len(rows) == n and all(r["extra"] == "kept" for r in rows)
+    model = kneser_ney.train(docs(spark))
+    return {
+        "mix": (mixing.mix, mixing.ADDED), "licenses": (licenses.license_scan, ("n_words", "found")), "pseudonyms": (lambda d: pii.pseudonymize(d, "k"), ("findings",)),
+        "quality": (quality.quality_filter, ()), "score": (lambda d: kneser_ney.score(d, model), ("n_tokens", "n_known", "base_score", "score")),
+        "urls": (lambda d: urlfilter.url_filter(d.withColumn("url", F.concat(F.lit("http://"), F.col("source"), F.lit(".com/")))), urlfilter.ADDED), "copies": (jaccard.drop_near_copies, ()),
+        "secrets": (secrets.secret_scan, ("n_candidates", "findings")), "redacted": (secrets.redacted, ()), "tokens": (lambda d: tokens.count_tokens(d, ["source", "text"]), ("n_tokens", "field_tokens", "separator_tokens", "n_crossing", "line_tokens")),
+        "decontaminate": (lambda d: decontam.decontaminate(d, item), decontam.ADDED), "clean": (lambda d: decontam.clean(d, item), ()),
+    }
+
+
+@pytest.mark.parametrize("name", ["mix", "licenses", "pseudonyms", "quality", "score", "urls", "copies", "secrets", "redacted", "tokens", "decontaminate", "clean"])
+def test_extra_and_clashing_columns(spark, name):
+    """Extra columns pass through whatever their names; those named like an added one are replaced; rows are as without them."""
+    run, added = operators(spark)[name]
+    plain, got = run(docs(spark)), run(clashing(docs(spark)))
+    assert len(got.columns) == len(set(got.columns)) and set(got.columns) == set(plain.columns) | set(CLASHES) | set(added)
+    rows = got.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHES if c not in added)
+    key = lambda r: repr([r[c] for c in sorted(plain.columns) if c != "text"])
+    assert sorted(map(key, rows)) == sorted(map(key, plain.collect()))
+
+
+def test_ids_may_be_texts(spark):
+    d = docs(spark).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    assert {r.doc_id for r in jaccard.drop_near_copies(d).collect()} == {"d1", "d2", "d3", "d4", "d5", "d6", "d7", "d8"}
+    assert mixing.mix(d).count() == len(EDGES)
 
 
 # --- words -----------------------------------------------------------------------------------------------------------
@@ -181,7 +209,7 @@ def luhn(d):
 def test_pseudonyms_keep_format_and_links(spark):
     cards = ["4041894974608795", "4111 1111 1111 1111", "5500-0000-0000-0004"]
     text = f"{cards[0]} {cards[1]} {cards[2]} 4041894974608796 2024-02-29 2023-02-29 31.12.1999 12/31/1999 42.144.35.254 300.1.1.1 123-45-6789 +1 (716) 555-8176 a.b42@mail8.example.com"
-    rows = pii.pseudonymize(texts_of(spark, [text, "again " + text, "nothing here 12", None, ""])).collect()
+    rows = pii.pseudonymize(texts_of(spark, [text, "again " + text, "nothing here 12", None, ""]), "k").collect()
     a, b = rows[0], rows[1]
     assert "again " + a.text == b.text and rows[2].text == "nothing here 12" and rows[3].text is None and rows[4].text == ""
     assert [f.kind for f in a.findings] == ["card"] * 3 + ["date"] * 3 + ["ip", "ssn", "phone", "email"]
@@ -194,6 +222,40 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert all(0 <= int(x) < 256 for x in a.findings[6].pseudonym.split("."))
 
 
+def test_pseudonyms_are_valid_and_keep_case(spark):
+    ssns = [f"{a:03}-{b:02}-{c:04}" for a, b, c in [(1, 1, 1), (665, 99, 9999), (900, 12, 3456), (123, 45, 6789)]]
+    wrong = ["000-12-3456", "666-12-3456", "123-00-4567", "123-45-0000"]
+    rows = [*ssns, *wrong, "John.Smith7@x.org", "john.smith7@x.org", "JOHN.smith7@x.org"]
+    out = {r.doc_id: r for r in pii.pseudonymize(texts_of(spark, rows), "k").collect()}
+    assert all(len(out[i].findings) == 1 and out[i].text[:3] not in ("000", "666") and out[i].text[4:6] != "00" and out[i].text[7:] != "0000" for i in range(4))
+    assert len({out[i].text for i in range(4)}) == 4 and all(out[i].text == rows[i] and not out[i].findings for i in range(4, 8))
+    a, b, c = (out[i].text for i in (8, 9, 10))
+    assert a.lower() == b.lower() == c.lower() and a != rows[8] and [x.isupper() for x in a] == [x.isupper() for x in rows[8]] and [x.isupper() for x in c] == [x.isupper() for x in rows[10]]
+
+
+def undone(value, kind, key):
+    """The Feistel network of ``pii`` in plain Python, backwards."""
+    n = len(value)
+    left = n // 2
+    sizes = [(left, n - left) if r % 2 == 0 else (n - left, left) for r in range(pii.ROUNDS + 1)]
+    a, b = value[: sizes[-1][0]], value[sizes[-1][0] :]
+    for r in range(pii.ROUNDS, 0, -1):
+        h = int(hashlib.sha256(f"k:{kind}:{r}:{n}:{a}".encode()).hexdigest()[:15], 16)
+        a, b = str((int(b) - h) % 10 ** len(b)).zfill(len(b)), a
+    return a + b
+
+
+def test_pseudonyms_by_brute_force(spark):
+    rng = np.random.default_rng(9)
+    phones = [f"({rng.integers(100, 999)}) 555-{rng.integers(1000, 9999)}" for _ in range(30)]
+    text = "call " + " or ".join(phones) + " now"
+    r = pii.pseudonymize(texts_of(spark, [text]), "k").first()
+    assert [f.value for f in r.findings] == phones and [f.kind for f in r.findings] == ["phone"] * 30
+    assert r.text == "call " + " or ".join(f.pseudonym for f in r.findings) + " now"
+    digits = lambda s: "".join(c for c in s if c.isdigit())
+    assert [undone(digits(f.pseudonym)[-7:], "phone", "k") for f in r.findings] == [digits(p)[-7:] for p in phones]
+
+
 @pytest.mark.parametrize("radix,length", [(10, 1), (10, 3), (26, 2)])
 def test_feistel_is_a_permutation(spark, radix, length):
     letters = "0123456789" if radix == 10 else "abcdefghijklmnopqrstuvwxyz"
@@ -204,7 +266,7 @@ def test_feistel_is_a_permutation(spark, radix, length):
 
 def test_dates_are_permuted(spark):
     days = spark.sql("select date_format(date_add(date'1990-01-01', cast(id as int)), 'yyyy-MM-dd') text, id doc_id from range(2000)")
-    got = [r.text for r in pii.pseudonymize(days).collect()]
+    got = [r.text for r in pii.pseudonymize(days, "k").collect()]
     assert len(set(got)) == 2000 and all("1900-01-01" <= d <= "2099-12-31" for d in got)
 
 
@@ -320,29 +382,50 @@ def test_higher_orders_by_brute_force(spark, order):
 
 
 def test_rules_are_indexed_by_their_rarest_token(spark):
-    urls = spark.createDataFrame([(f"http://{h}/en/{i}",) for i, h in enumerate(["www.example.com"] * 5 + ["other.com"] * 9)], "url string")
-    table = {r["name"]: r["token"] for r in urlfilter.rule_table(urls, urlfilter.BASE).collect()}
+    urls = spark.createDataFrame([(f"http://{h}/en/{i}",) for i, h in enumerate(["www.example.com"] * 5 + ["other.com"] * 9)], "link string")
+    table = {r["name"]: r["token"] for r in urlfilter.indexed(urls, urlfilter.rule_rows(spark, urlfilter.BASE)).collect()}
     assert table["www.example.com/en/"] in ("example", "www") and table["com/"] == "com" and table["net/es/"] in ("es", "net")
 
 
+@pytest.mark.parametrize("pattern,tokens", [
+    ("free[-_]download", ()), ("/login(?:[/?#.]|\\z)", ("login",)), ("^(?:[^/]*\\.)?example\\.com/en/", ("example", "com", "en")), ("^com$", ("com",)), ("com", ()), (r"\bcom\b", ("com",)),
+    ("/a(?:b)c/", ("abc",)), ("/ab?/", ()), ("/(?:x|y)/z1/", ("z1",)), ("[.-]ads(?:[.-]|x)", ()), ("(?:-|_)q(?:-|_)", ("q",)), ("/a+/", ()), ("/a{2}b/", ()), ("/(?=x)ab/", ()), ("(", ()), ("/ab(?:/c)*/", ("ab",)), ("x*/ab/", ("ab",)),
+])
+def test_tokens_of_an_expression(pattern, tokens):
+    assert urlfilter.literal_tokens(pattern) == tokens
+
+
 def test_index_loses_no_match(spark):
-    hosts, rest = [], []
-    for w in ("spam", "pills", "casino", "xxx", "com", "net", "example.com", "www.example.com"):
-        hosts += [w, f"a{w}.org", f"{w}s.org", f"{w}9.org", f"{w}.org", f"a-{w}.org", f"{w}-b.org", f"a.{w}", f"a{w}", f"{w}s"]
-    for w in ("free-download", "free_download", "login", "affiliate=1"):
-        rest += [f"/{w}", f"/{w}s", f"/care{w}", f"/care{w}ed/x", f"/{w.upper()}", f"/x?{w}", f"/x?a&{w}", f"?{w}s", f"/a/{w}.html"]
-    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/x", "/es/", "/fr/y")] + [f"http://Foo.org{r}" for r in rest] + ["http://free.org/carefree-download", "http://download.org/free-downloads"]
-    own = [urlfilter.host_rule("block", "foo.org", ""), urlfilter.host_rule("block", "example.co", "m/")]
-    rules = urlfilter.BASE + urlfilter.PATTERNS + own
-    bare = [urlfilter.Rule(r.name, r.verdict, r.pattern, (), r.weight) for r in rules]
+    rng = np.random.default_rng(4)
+    words = ["spam", "pills", "casino", "xxx", "com", "net", "example", "www", "free", "download", "login", "en", "es", "fr", "s", "1", "affiliate", "sid", "calendar", "2024", "wp-admin"]
+    made = lambda n, marks: "".join(str(x) for _ in range(int(rng.integers(1, n))) for x in (rng.choice(words), rng.choice(marks)))
+    urls = [f"http://{made(4, ['.', '-', '', '.'])}{rng.choice(['com', 'net', 'org'])}{rng.choice(['/', '?', '#', ''])}{made(6, ['/', '-', '_', '', '=', '&', '?', '://'])}" for _ in range(1500)]
+    urls += [u.upper() for u in urls[:100]] + ["http://free.org/carefree-download", "http://download.org/free-downloads", "http://10.0.0.1:80/x"]
+    extra = [urlfilter.Rule(f"r{i}", "block", p) for i, p in enumerate([r"(?:^|[./-])spam(?:[./-]|\z)", r"example\.(?:com|net)/", r"/en/.*login", r"[?&](?:sid)=1", r"s1(?:/|$)"])]
+    rules = urlfilter.rule_rows(spark, urlfilter.BASE + urlfilter.PATTERNS + extra + [urlfilter.host_rule("block", "example.net", "")])
+    assert rules.filter("size(tokens) > 0").count() > 10
+    bare = rules.withColumn("tokens", F.array().cast("array<string>"))
     pages = spark.createDataFrame([(u,) for u in urls], "url string")
     key = lambda df: sorted((r.url, r["rule"] or "", r.verdict, r.patterns) for r in df.collect())
-    got = {u: p for u, _, _, p in key(urlfilter.url_filter(pages))}
-    assert all(got[f"http://Foo.org{p}"] == "free-download" for p in ("/free-downloads", "/carefree-download", "/carefree_download"))
-    assert len({r.name for r in urlfilter.PATTERNS} & set(",".join(got.values()).split(","))) == len(urlfilter.PATTERNS)
-    assert key(urlfilter.url_filter(pages, rules)) == key(urlfilter.url_filter(pages, bare))
+    got = key(urlfilter.url_filter(pages, rules))
+    assert got == key(urlfilter.url_filter(pages, bare)) and len({n for _, _, _, p in got for n in p.split(",")}) > 12
     # one url's verdict does not change with the other rows
-    assert [r.verdict for r in urlfilter.url_filter(pages.filter("url = 'http://Foo.org/free-downloads'")).collect()] == ["block"]
+    assert [r.verdict for r in urlfilter.url_filter(spark.createDataFrame([("http://Foo.org/free-downloads",)], "url string")).collect()] == ["block"]
+
+
+def test_base_rules_by_brute_force(spark):
+    def verdict(url):
+        if not url or "://" not in url:
+            return "", "", None
+        rest = url.partition("://")[2]
+        cut = min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))
+        host, path = "".join(c.lower() if c.isascii() else c for c in rest[:cut]), rest[cut:].partition("?")[0].partition("#")[0]
+        fits = [(len(h + p), h + p) for _, h, p in urlfilter.SITES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return host, path, max(fits)[1] if fits else None
+
+    urls = ["http://foo.org/r?u=http://example.com/en/x", "https://foo.org/a/http://b.net/es/", "http://foo.org/#://x.com/", "http://example.com/en/", "http://www.Example.COM/en/x", "http://a.www.example.com/en/x", "http://wwwexample.com/en/x", "http://example.com/EN/x", "http://example.com:80/en/", "http://u@example.com/en/", "http://u@a.example.com/en/", "http://net/es/", "http://b.net/fr/?x#y", "http://b.net?/fr/", "http://b.net#/fr/", "http://com/", "http://com", "com/", "a://b://com/", "://x.com/", None, "", "http://", "http:///en/", "http://x.com//"]
+    got = {r.url: (r.host, r.path, r.rule) for r in urlfilter.url_filter(spark.createDataFrame([(u,) for u in urls], "url string")).collect()}
+    assert got == {u: verdict(u) for u in urls}
 
 
 # --- 7 near copies ---------------------------------------------------------------------------------------------------
