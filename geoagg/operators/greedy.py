@@ -2,7 +2,7 @@
 
 Points are visited in order; a point that is still free takes all free points within the radius if they are ``min_points`` or
 more with itself, else stays alone and leaves them free. Points whose cells are not connected never meet, so connected sets of
-occupied cells are dealt to tasks whole, many small ones to one task. The cell graph is labelled by repeated minimum over (cell, label) tables.
+occupied cells are dealt to tasks whole, many small ones to one task. Cells are labelled in blocks, and the blocks' edges joined.
 
 A set of cells with more than ``MAX_GROUP`` points is not handed to one task: it is solved in rounds instead. In a round every
 free point that is the first among the free ones within two radii is decided, which is what the sequential visit would do with
@@ -11,27 +11,21 @@ it, whatever happens further away. Both ways give equal results.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geoagg.sources.scratch import dropped, stored
+
 from .neighbors import SLACK, celled, within
 
 #: Points of one connected set that one task sweeps: 16 bytes a point and a few index arrays.
 MAX_GROUP = 5_000_000
 #: Points of the many small sets that one task sweeps together; sets do not meet, so sweeping them at once changes nothing.
 TASK_POINTS = 100_000
-
-
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Written to the folder that executors share, and read again."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    path = f"{base.rstrip('/')}/geo-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Occupied cells that one task labels at once, and the side of a block of cells where there are more.
+TASK_CELLS = 1_000_000
+BLOCK_SIDE = 512
 
 
 def sweep(ids: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_points: int) -> np.ndarray:
@@ -63,26 +57,90 @@ def sweep(ids: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray, radi
     return seed
 
 
-def connected_cells(points: DataFrame) -> DataFrame:
-    """(cx, cy, part): the smallest cell label of each connected set of occupied cells (eight neighbours)."""
-    cells = _stored(points.select("cx", "cy").distinct().withColumn("part", F.struct("cx", "cy")), "cells")
+def label(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
+    """For each of some distinct cells the index of a cell that stands for its connected set (eight neighbours)."""
+    order = np.lexsort((cy, cx))
+    x, y = cx[order], cy[order]
+    width = np.int64(y.max() - y.min() + 3) if len(y) else np.int64(1)
+    key = (x - x.min(initial=0)) * width + (y - y.min(initial=0)) if len(y) else x  # ascending; a neighbour's key differs by a fixed step
+    pairs = []
+    for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1)):
+        want = key + dx * width + dy
+        at = np.minimum(np.searchsorted(key, want), max(len(key) - 1, 0))
+        found = np.flatnonzero(key[at] == want)
+        pairs.append((found, at[found]))
+    a, b = (np.concatenate(side) for side in zip(*pairs, strict=True))
+    part = np.arange(len(key))
+    while True:
+        low = np.minimum(part[a], part[b])
+        new = part.copy()
+        np.minimum.at(new, part[a], low)  # the sets' heads take the smaller one,
+        np.minimum.at(new, part[b], low)
+        new = new[new]
+        while True:  # and all cells the head of their head
+            again = new[new]
+            if (again == new).all():
+                break
+            new = again
+        if (new == part).all():
+            break
+        part = new
+    out = np.empty(len(key), np.int64)
+    out[order] = order[part]
+    return out
+
+
+def connected_cells(points: DataFrame, task_cells: int = TASK_CELLS, side: int = BLOCK_SIDE) -> DataFrame:
+    """(cx, cy, part): a cell that stands for each connected set of occupied cells (eight neighbours).
+
+    Blocks of cells are labelled in one task each, then the sets that meet at the blocks' edges are joined in rounds.
+    """
+    cells = stored(points.select("cx", "cy").distinct(), "cells")
+    whole = cells.count() <= task_cells
+    block = lambda c: F.lit(0).cast("long") if whole else F.floor(F.col(c) / side)
+
+    def labelled(pdf):
+        import pandas as pd
+
+        cx, cy = pdf["cx"].to_numpy(), pdf["cy"].to_numpy()
+        head = label(cx, cy)
+        return pd.DataFrame({"cx": cx, "cy": cy, "px": cx[head], "py": cy[head]})
+
+    parts = cells.groupBy(block("cx").alias("bx"), block("cy").alias("by")).applyInPandas(labelled, "cx long, cy long, px long, py long")
+    parts = stored(parts.select("cx", "cy", F.struct(F.col("px").alias("cx"), F.col("py").alias("cy")).alias("part")), "parts")
+    dropped(cells)
+    if whole:
+        return parts
+    at_edge = lambda c: F.pmod(F.col(c), F.lit(side)).isin(0, side - 1)
+    edge = parts.filter(at_edge("cx") | at_edge("cy"))
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    around = edge.withColumn("s", F.explode(steps)).select((F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("part").alias("u"))
+    links = stored(around.join(edge.withColumnRenamed("part", "v"), ["cx", "cy"]).filter(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
+    joined = _joined(links)
+    return parts.join(joined.select(F.col("part").alias("from"), "to"), F.col("part") == F.col("from"), "left").select("cx", "cy", F.coalesce("to", "part").alias("part"))
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(part, to): the smallest label that the links (u, v), given both ways, reach: repeated minimum with a jump a round."""
+    step = stored(links.groupBy(F.col("u").alias("part")).agg(F.min(F.least("u", "v")).alias("to")), "step")
     while True:
-        around = cells.withColumn("s", F.explode(steps)).select((F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("part").alias("near"))
-        least = cells.join(around, ["cx", "cy"]).groupBy("cx", "cy", "part").agg(F.min("near").alias("low"))
-        jump = cells.select(F.struct("cx", "cy").alias("low"), F.col("part").alias("far"))
-        step = _stored(least.join(jump, "low").select("cx", "cy", "part", F.least("low", "far").alias("next")), "step")
-        changed = step.filter(F.col("part") != F.col("next")).limit(1).count()
-        cells = step.select("cx", "cy", F.col("next").alias("part"))
+        near = links.join(step.select(F.col("part").alias("v"), F.col("to").alias("near")), "v").groupBy(F.col("u").alias("part")).agg(F.min("near").alias("near"))
+        moved = step.join(near, "part").select("part", "to", F.least("to", "near").alias("low"))
+        jump = step.select(F.col("part").alias("low"), F.col("to").alias("far"))
+        new = stored(moved.join(jump, "low", "left").select("part", "to", F.least("low", F.coalesce("far", "low")).alias("next")), "step")
+        changed = new.filter(F.col("to") != F.col("next")).limit(1).count()
+        dropped(step)
         if not changed:
-            return cells
+            return new.select("part", "to")
+        step = stored(new.select("part", F.col("next").alias("to")), "step")
+        dropped(new)
 
 
 def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: str = "x", max_group: int = MAX_GROUP) -> DataFrame:
     """(id, cluster_id): each point's seed. ``projected``: id, x, y, one row an id. ``order``: "x" (ties by id) or "id"."""
-    points = _stored(celled(projected.select("id", "x", "y"), radius), "points")
+    points = stored(celled(projected.select("id", "x", "y"), radius), "points")
     parts = connected_cells(points)
-    sizes = _stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
+    sizes = stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
     giant = [r["part"] for r in sizes.filter(F.col("n") > max_group).select("part").collect()]  # at most rows / max_group
@@ -108,7 +166,7 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
 def greedy_rounds(points: DataFrame, radius: float, min_points: int, order: str = "x") -> DataFrame:
     """``greedy_groups`` by rounds of joins, for sets too large for one task."""
     key = F.struct("x", "id") if order == "x" else F.struct(F.col("id").alias("x"), F.col("id"))
-    free = _stored(celled(points, 2 * radius).withColumn("key", key), "free")
+    free = stored(celled(points, 2 * radius).withColumn("key", key), "free")
     done = None
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
     while free.limit(1).count():
@@ -116,11 +174,11 @@ def greedy_rounds(points: DataFrame, radius: float, min_points: int, order: str
         heads = free.groupBy("cx", "cy").agg(F.min_by(F.struct("id", "x", "y", "key"), "key").alias("p")).select("cx", "cy", "p.*")
         copies = heads.withColumn("s", F.explode(steps)).select((F.col("cx") + F.col("s.dx")).alias("cx"), (F.col("cy") + F.col("s.dy")).alias("cy"), F.col("id").alias("seed"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("key").alias("skey"))
         met = free.join(F.broadcast(copies) if copies.limit(200_001).count() <= 200_000 else copies, ["cx", "cy"])
-        met = _stored(met.select("id", "x", "y", "key", "seed", "skey", within(F.col("sx"), F.col("sy"), F.col("x"), F.col("y"), radius).alias("near"), within(F.col("sx"), F.col("sy"), F.col("x"), F.col("y"), 2.01 * radius).alias("wide")), "met")
+        met = stored(met.select("id", "x", "y", "key", "seed", "skey", within(F.col("sx"), F.col("sy"), F.col("x"), F.col("y"), radius).alias("near"), within(F.col("sx"), F.col("sy"), F.col("x"), F.col("y"), 2.01 * radius).alias("wide")), "met")
         blocked = F.max(F.col("wide") & (F.col("key") < F.col("skey")))
         first = met.groupBy("seed").agg(blocked.alias("blocked"), F.count_if("near").alias("n")).filter(~F.col("blocked"))
         taken = met.filter("near").join(first, "seed").filter((F.col("n") >= min_points) | (F.col("id") == F.col("seed"))).select("id", F.col("seed").alias("cluster_id"))
-        taken = _stored(taken, "taken")
+        taken = stored(taken, "taken")
         done = taken if done is None else done.unionByName(taken)
-        free = _stored(free.join(taken.select("id"), "id", "left_anti"), "free")
+        free = stored(free.join(taken.select("id"), "id", "left_anti"), "free")
     return done if done is not None else points.select("id", F.col("id").alias("cluster_id")).limit(0)

@@ -13,11 +13,11 @@ from geoagg.options import Bounds, ClusterOptions
 
 
 def members(points: DataFrame, bounds: Bounds, zoom: int, options: ClusterOptions = ClusterOptions(), order: str = "x", wrap: bool = False, max_group: int = MAX_GROUP) -> DataFrame:
-    """The points of a viewport with x, y, cluster_id (the seed's id) and ``grouped`` (taken as a group, not left alone)."""
+    """The points of a viewport with x, y, cluster_id (the seed's id), group_size and ``grouped`` (taken as a group, not left alone)."""
     inside = viewport(points.dropDuplicates(["id"]), bounds, zoom, options, wrap)
     groups = greedy_groups(inside, options.radius, options.min_points, order, max_group)
-    sizes = groups.groupBy("cluster_id").agg(F.count("*").alias("size"))
-    return inside.join(groups, "id").join(sizes, "cluster_id").withColumn("grouped", F.col("size") >= options.min_points)
+    sizes = groups.groupBy("cluster_id").agg(F.count("*").alias("group_size"))
+    return inside.join(groups, "id").join(sizes, "cluster_id").withColumn("grouped", F.col("group_size") >= options.min_points)
 
 
 def exact_sum(c: Column) -> Column:
@@ -45,10 +45,10 @@ def metadata_rows(grouped: DataFrame, metadata: dict[str, str]) -> DataFrame:
     """
     text = {"s": lambda c: c.cast("string"), "n": texts.shortest, "b": lambda c: c.cast("string")}
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("type"), text[t](F.col(k)).alias("value")) for k, t in metadata.items()])
-    rows = grouped.select("cluster_id", "size", "grouped", F.explode(entries).alias("e")).select("cluster_id", "size", "grouped", "e.*").filter(F.col("value").isNotNull())
-    counts = rows.groupBy("cluster_id", "size", "grouped", "key", "type", "value").agg(F.count("*").alias("n"))
+    rows = grouped.select("cluster_id", "group_size", "grouped", F.explode(entries).alias("e")).select("cluster_id", "group_size", "grouped", "e.*").filter(F.col("value").isNotNull())
+    counts = rows.groupBy("cluster_id", "group_size", "grouped", "key", "type", "value").agg(F.count("*").alias("n"))
     totals = counts.groupBy("cluster_id", "key").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["cluster_id", "key"]).select("cluster_id", F.col("size").alias("count"), "key", F.when(F.col("grouped"), "map").otherwise("single").alias("kind"), "type", "value", (F.col("n") / F.col("total")).alias("freq"))
+    return counts.join(totals, ["cluster_id", "key"]).select("cluster_id", F.col("group_size").alias("count"), "key", F.when(F.col("grouped"), "map").otherwise("single").alias("kind"), "type", "value", (F.col("n") / F.col("total")).alias("freq"))
 
 
 def nested_rollup(clusters: DataFrame, group: Column, metrics: list[str]) -> DataFrame:

@@ -53,14 +53,14 @@ def time_range(metadata: DataFrame) -> DataFrame:
     """key, earliest, latest; a key with numbers has none."""
     rows = classified(metadata)
     numeric = rows.filter(F.col("class") == "number").select("key").distinct()
-    return rows.filter(F.col("class") == "time").join(F.broadcast(numeric), "key", "left_anti").groupBy("key").agg(F.min("time").alias("earliest"), F.max("time").alias("latest"))
+    return rows.filter(F.col("class") == "time").join(numeric, "key", "left_anti").groupBy("key").agg(F.min("time").alias("earliest"), F.max("time").alias("latest"))
 
 
 def distribution(metadata: DataFrame) -> DataFrame:
     """key, value, percent for keys that have neither numbers nor times."""
     rows = classified(metadata)
     other = rows.filter(F.col("class").isin("number", "time")).select("key").distinct()
-    n = rows.filter(F.col("class") == "text").join(F.broadcast(other), "key", "left_anti").groupBy("key", "value").agg(F.sum("weight").alias("n"))
+    n = rows.filter(F.col("class") == "text").join(other, "key", "left_anti").groupBy("key", "value").agg(F.sum("weight").alias("n"))
     totals = n.groupBy("key").agg(F.sum("n").alias("total"))
     return n.join(totals, "key").select("key", "value", F.when(F.col("total") > 0, F.col("n") / F.col("total") * 100.0).alias("percent"))
 
@@ -72,4 +72,10 @@ def summary_kinds(metadata: DataFrame) -> DataFrame:
 
 
 def size_histogram(clusters: DataFrame) -> DataFrame:
-    return clusters.groupBy("count").agg(F.count("*").alias("clusters"))
+    """count, clusters: how many clusters have each size, by size."""
+    return clusters.groupBy("count").agg(F.count("*").alias("clusters")).orderBy("count")
+
+
+def first_clusters(clusters: DataFrame, n: int = 3) -> DataFrame:
+    """The first ``n`` clusters by id, for a look at a result."""
+    return clusters.orderBy("id").limit(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
 
 MAX_ZOOM = 16
@@ -54,5 +55,18 @@ class Bounds:
     max_x: float
     max_y: float
 
+    @classmethod
+    def from_texts(cls, north: str, south: str, east: str, west: str) -> Bounds:
+        """Degrees given as texts, as a request has them; ``ValueError`` names the one that is no finite number."""
+        values = {}
+        for name, text in (("north", north), ("south", south), ("east", east), ("west", west)):
+            try:
+                values[name] = float(text)
+            except (TypeError, ValueError):
+                raise ValueError(f"{name}: {text!r} is no number") from None
+            if not math.isfinite(values[name]):
+                raise ValueError(f"{name}: {text!r} is not finite")
+        return cls(values["west"], values["south"], values["east"], values["north"])
+
 
 WORLD = Bounds(-180.0, -90.0, 180.0, 90.0)

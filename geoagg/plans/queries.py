@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from geoagg.functions import display, texts
 from geoagg.functions import projection as P
 from geoagg.operators import geojson, grid, index, neighbors, rollup, summary, viewport
-from geoagg.options import WORLD, Bounds, ClusterOptions
+from geoagg.options import SERVICE_OPTIONS, WORLD, Bounds, ClusterOptions
 from geoagg.plans.session import expired, lru_victim
-from geoagg.sources import ingest, points, store
+from geoagg.sources import ingest, points, scratch, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -307,7 +307,7 @@ for _name, _b, _z, _o, _order in (
     ("greedy_z15_singletons", SMALL, 15, TWO, "x"),
 ):
     boxed(_name, _b, lambda b, z=_z, o=_o, order=_order: f"{_groups(b, z, o, 'x, id' if order == 'x' else 'id')} select id, cluster_id, size from m")(
-        lambda spark, sf_dir, b, z=_z, o=_o, order=_order: _members(spark, sf_dir, b, z, o, order).select("id", "cluster_id", "size")
+        lambda spark, sf_dir, b, z=_z, o=_o, order=_order: _members(spark, sf_dir, b, z, o, order).select("id", "cluster_id", F.col("group_size").alias("size"))
     )
 
 
@@ -327,6 +327,16 @@ def greedy_orders_z8(spark, sf_dir):
     return rollup.cluster_rows(rollup.members(points.order_points(spark, sf_dir), CONUS, 8, o), 8, ["value"], o).select("id", "count", "lng", "lat", "value")
 
 
+@boxed("service_clusters_z5", SMALL, lambda b: f"{_clusters(b, 5, SERVICE_OPTIONS)} select id, count, value from c")
+def service_clusters_z5(spark, sf_dir, b):
+    return _cluster_rows(spark, sf_dir, b, 5, SERVICE_OPTIONS).select("id", "count", "value")
+
+
+@boxed("first_clusters", SMALL, lambda b: f"{_clusters(b, 5, TWO)} select id, count from c order by id limit 3")
+def first_clusters(spark, sf_dir, b):
+    return summary.first_clusters(_cluster_rows(spark, sf_dir, b)).select("id", "count")
+
+
 @boxed("cluster_size_histogram", SECOND, lambda b: f"{_clusters(b, 7, TWO)} select count, count(*) as clusters from c group by count")
 def cluster_size_histogram(spark, sf_dir, b):
     return summary.size_histogram(_cluster_rows(spark, sf_dir, b, 7))
@@ -431,7 +441,7 @@ def metric_columns(spark, sf_dir):
     return ingest.metric_columns(df.select("id", maps.alias("metrics")))
 
 
-@query("key_dictionary", "select * from (values ('even', 0::bigint), ('event_type', 1), ('level', 2)) t(key, key_id)")
+@query("key_dictionary", f"with {EVENTS}, d as (select distinct unnest([case when event_type is not null then 'event_type' end, case when level is not null then 'level' end, case when even is not null then 'even' end]) as key from ev) select key, row_number() over (order by key) - 1 as key_id from d where key is not null")
 def key_dictionary(spark, sf_dir):
     return ingest.key_dictionary(ingest.typed_metadata(points.event_points(spark, sf_dir), ["event_type", "level", "even"]))
 
@@ -456,7 +466,7 @@ def _fields(features: DataFrame, **paths: str) -> DataFrame:
 
 @boxed("geojson_flat", SECOND, lambda b: f"{_clusters(b, 9, TWO)} select id, 'Feature' as type, (count > 1)::varchar as cluster, case when count > 1 then id::varchar end as cluster_id, case when count > 1 then count::varchar end as point_count, case when count <= 1 then id::varchar end as own_id, round(value, 2) as value from c")
 def geojson_flat(spark, sf_dir, b):
-    grouped = _members(spark, sf_dir, b, 9).persist()
+    grouped = scratch.stored(_members(spark, sf_dir, b, 9), "grouped")
     features = geojson.flat_features(rollup.cluster_rows(grouped, 9, ["value", "k"], TWO), ["value", "k"], rollup.metadata_rows(grouped, METADATA))
     out = _fields(features, type="$.type", cluster="$.properties.cluster", cluster_id="$.properties.cluster_id", point_count="$.properties.point_count", own_id="$.properties.id", value="$.properties.value")
     return out.withColumn("value", F.round(F.col("value").cast("double"), 2))
@@ -469,6 +479,14 @@ def feature_collection_api(spark, sf_dir, b):
     return out.withColumns({c: F.round(F.col(c).cast("double"), 2) for c in ("value", "k")})
 
 
+@boxed("feature_collection", SECOND, lambda b: f"{_clusters(b, 9, TWO)} select 'FeatureCollection' as type, count(*) as features, min(id) as least_id, max(id) as most_id from c")
+def feature_collection(spark, sf_dir, b):
+    text = geojson.collection(geojson.service_features(_cluster_rows(spark, sf_dir, b, 9), ["value", "k"]))
+    whole = F.from_json("collection", "type string, features array<struct<properties:struct<id:bigint>>>")
+    ids = F.transform(F.col("c.features"), lambda f: f["properties"]["id"])
+    return text.select(whole.alias("c")).select("c.type", F.size(ids).cast("long").alias("features"), F.array_min(ids).alias("least_id"), F.array_max(ids).alias("most_id"))
+
+
 @query("display_scalars", """
 select o_orderkey as id, 'Total Price' as title,
   case when o_totalprice::double >= 1e6 then round(cast(o_totalprice::double / 1e6 as decimal(20, 9)), 1)::varchar || 'M' when o_totalprice::double >= 1e3 then round(cast(o_totalprice::double / 1e3 as decimal(20, 9)), 1)::varchar || 'K' else round(cast(o_totalprice::double as decimal(20, 9)), 1)::varchar end as short,
@@ -486,7 +504,7 @@ def display_scalars(spark, sf_dir):
 
 # --- catalog ---------------------------------------------------------------------------------------------------------
 
-_FILES = [("cluster-300000p-20250226-120950-5899860c.zst", 100), ("cluster-1000p-20240101-000000-aaaa1111.zst", 5), ("cluster-1000p-20240101-aaaa1111.zst", 6), ("cluster-10p-20240101-000000-bbbb.bin", 7), ("cluster-xp-20240101-000000-cccc.zst", 8), ("cluster-5p-20241399-000000-dddd.zst", 9), ("cluster-77p-20250301-235959-58ee77aa.zst", 10)]
+_FILES = [("cluster-4200p-20240229-101112-58c0ffee.zst", 100), ("cluster-1000p-20240101-000000-aaaa1111.zst", 5), ("cluster-1000p-20240101-aaaa1111.zst", 6), ("cluster-10p-20240101-000000-bbbb.bin", 7), ("cluster-xp-20240101-000000-cccc.zst", 8), ("cluster-5p-20241399-000000-dddd.zst", 9), ("cluster-77p-20250301-235959-58ee77aa.zst", 10)]
 _FILES_SQL = "f(name, file_size) as (values " + ", ".join(f"('{n}', {s}::bigint)" for n, s in _FILES) + ")"
 
 
@@ -496,7 +514,7 @@ def _files(spark):
 
 @query("list_saved", f"with {_FILES_SQL}, q as (select *, regexp_extract(name, '^cluster-([0-9]+)p-([0-9]{{8}})-([0-9]{{6}})-([^-]+)\\.zst$', ['n', 'd', 't', 'id']) as r from f) select r.id as id, try_cast(r.n as bigint) as num_points, strftime(try_strptime(r.d || r.t, '%Y%m%d%H%M%S'), '%Y-%m-%d %H:%M:%S') as saved_at, file_size from q where r.id <> '' and try_strptime(r.d || r.t, '%Y%m%d%H%M%S') is not null")
 def list_saved(spark, sf_dir):
-    return store.listed(_files(spark)).withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
+    return store.listed(_files(spark)).drop("name").withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("find_by_substring", f"with {_FILES_SQL} select name, file_size from f where contains(name, '58') and ends_with(name, '.zst') order by name limit 1")
@@ -524,10 +542,7 @@ def ttl_expired(spark, sf_dir):
 
 @query("save_load_roundtrip", f"with {EVENTS} select id, lng, lat, value, event_type, 40e0 as radius, 2 as min_points from ev")
 def save_load_roundtrip(spark, sf_dir):
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    path = scratch.folder(spark, "saved")
     store.save(points.event_points(spark, sf_dir), path, TWO)
     df, options = store.load(spark, path)
     return df.select("id", "lng", "lat", "value", "event_type", F.lit(options.radius).alias("radius"), F.lit(options.min_points).alias("min_points"))
@@ -540,11 +555,21 @@ def _uniform_sql(seed: int) -> str:
     return f"(((id * 1103515245 + {seed} * 12345 + 1013904223) % 1000003) / 1000003e0)"
 
 
-@query("uniform_points", f"with r as (select range as id from range(5000)) select id, cast(-180e0 + {_uniform_sql(42)} * 360e0 as float) as lng, cast(-90e0 + {_uniform_sql(43)} * 180e0 as float) as lat, cast({_uniform_sql(44)} * 100e0 as float) as value, cast({_uniform_sql(45)} * 1000e0 as float) as sales, ['retail', 'food', 'health', 'office', 'school', 'park', 'home'][(id % 7 + 1)::int] as category, ['north', 'south', 'east', 'west', 'central'][(id % 5 + 1)::int] as region from r")
+def _attributes_sql(seed: int) -> str:
+    """The generated metrics and metadata."""
+    u = lambda k: _uniform_sql(seed + k)
+    pick = lambda values: f"[{', '.join(repr(v) for v in values)}][(id % {len(values)} + 1)::int]"
+    return f"""cast({u(2)} * 100e0 as float) as value, cast({u(3)} * 1000e0 as float) as sales, cast({u(4)} * 50e0 as float) as size,
+      cast(trunc(cast({u(5)} * 500e0 as float)) as float) as customers, {pick(points.CATEGORIES)} as category, {pick(points.REGIONS)} as region,
+      cast({u(7)} * 3000e0 as float) as elevation,
+      strftime(make_timestamp((1700000000 + floor({u(6)} * 2592000)::bigint) * 1000000), '%Y-%m-%dT%H:%M:%SZ') as timestamp"""
+
+
+@query("uniform_points", f"with r as (select range as id from range(5000)) select id, cast(-180e0 + {_uniform_sql(42)} * 360e0 as float) as lng, cast(-90e0 + {_uniform_sql(43)} * 180e0 as float) as lat, {_attributes_sql(42)} from r")
 def uniform_points(spark, sf_dir):
     return points.uniform_points(spark, 5000)
 
 
-@query("city_points", f"with r as (select range as id from range(5000)), q as (select id, ['New York', 'Los Angeles', 'Chicago'][(id % 3 + 1)::int] as city, [40.7128e0, 34.0522e0, 41.8781e0][(id % 3 + 1)::int] as la, [-74.006e0, -118.2437e0, -87.6298e0][(id % 3 + 1)::int] as lo, sqrt({_uniform_sql(42)}) * (50e0 / 69e0) as reach, {_uniform_sql(43)} * 2e0 * pi() as angle from r) select id, city, round(lo + reach * cos(angle) / cos(radians(la)), 4) as lng, round(la + reach * sin(angle), 4) as lat from q")
+@query("city_points", f"with r as (select range as id from range(5000)), q as (select id, ['New York', 'Los Angeles', 'Chicago'][(id % 3 + 1)::int] as city, [40.7128e0, 34.0522e0, 41.8781e0][(id % 3 + 1)::int] as la, [-74.006e0, -118.2437e0, -87.6298e0][(id % 3 + 1)::int] as lo, sqrt({_uniform_sql(42)}) * (50e0 / 69e0) as reach, {_uniform_sql(43)} * 2e0 * pi() as angle from r) select id, city, round(lo + reach * cos(angle) / cos(radians(la)), 4) as lng, round(la + reach * sin(angle), 4) as lat, {_attributes_sql(42)} from q")
 def city_points(spark, sf_dir):
     return _rounded(points.city_points(spark, 5000), "lng", "lat")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,21 +20,35 @@ class Dataset:
     def __init__(self, df: DataFrame, options: ClusterOptions, metrics: list[str], metadata: list[str]):
         self.df, self.options, self.metrics = df, options.normalized(), metrics
         self.metadata = ingest.metadata_types(df, metadata)
+        self._grouped: dict[tuple, DataFrame] = {}
 
     def members(self, bounds: Bounds, zoom: int, **how) -> DataFrame:
         return rollup.members(self.df, bounds, zoom, self.options, **how)
 
+    def grouped(self, bounds: Bounds, zoom: int) -> DataFrame:
+        """``members``, computed once for all results of a viewport and held until another viewport is asked for."""
+        if (bounds, zoom) not in self._grouped:
+            self.close()
+            self._grouped[bounds, zoom] = self.members(bounds, zoom).persist()
+        return self._grouped[bounds, zoom]
+
+    def close(self) -> None:
+        """Gives back what the dataset holds."""
+        while self._grouped:
+            self._grouped.popitem()[1].unpersist()
+        self.df.unpersist()
+
     def clusters(self, bounds: Bounds, zoom: int, **how) -> DataFrame:
         return rollup.cluster_rows(self.members(bounds, zoom, **how), zoom, self.metrics, self.options)
 
     def features(self, bounds: Bounds, zoom: int, flat: bool = True) -> DataFrame:
-        grouped = self.members(bounds, zoom).persist()
+        grouped = self.grouped(bounds, zoom)
         rows = rollup.cluster_rows(grouped, zoom, self.metrics, self.options)
         return geojson.flat_features(rows, self.metrics, rollup.metadata_rows(grouped, self.metadata)) if flat else geojson.service_features(rows, self.metrics)
 
     def summary(self, bounds: Bounds, zoom: int) -> dict[str, DataFrame]:
         """The parts of the summary of a viewport; the groups are computed once for all of them."""
-        grouped = self.members(bounds, zoom).persist()
+        grouped = self.grouped(bounds, zoom)
         rows, meta = rollup.cluster_rows(grouped, zoom, self.metrics, self.options), rollup.metadata_rows(grouped, self.metadata)
         return {"counts": summary.counts(rows), "metrics": summary.metric_stats(rows, self.metrics), "ranges": summary.numeric_range(meta), "times": summary.time_range(meta), "distributions": summary.distribution(meta)}
 
@@ -60,14 +74,26 @@ class Session:
     def create(self, n: int, options: ClusterOptions = SERVICE_OPTIONS) -> str:
         """Generates, saves and opens ``n`` points; returns the dataset's id."""
         key = uuid.uuid4().hex[:8]
-        store.save(points.uniform_points(self.spark, n), f"{self.root}/{key}", options.normalized())
+        name = self.spark.range(1).select(store.saved_name(F.lit(n), F.timestamp_seconds(F.lit(int(time.time()))), F.lit(key))).first()[0]
+        store.save(points.uniform_points(self.spark, n), f"{self.root}/{name}", options.normalized())
         self.open(key)
         return key
 
-    def open(self, key: str, metrics: list[str] | None = None, metadata: list[str] | None = None) -> Dataset:
+    def list(self) -> DataFrame:
+        """id, num_points, saved_at, file_size of the saved datasets, latest first."""
+        return store.listed(store.listing(self.spark, self.root)).drop("name")
+
+    def info(self, key: str) -> DataFrame:
+        """The row of ``list`` for one dataset, or none."""
+        return store.named(store.listing(self.spark, self.root), key).drop("name")
+
+    def open(self, key: str, metrics: Sequence[str] | None = None, metadata: Sequence[str] | None = None) -> Dataset:
         self.sweep()
         if key not in self._open:
-            df, options = store.load(self.spark, f"{self.root}/{key}")
+            found = store.named(store.listing(self.spark, self.root), key).first()
+            if found is None:
+                raise KeyError(f"no saved dataset has the id {key}")
+            df, options = store.load(self.spark, f"{self.root}/{found['name']}")
             numeric = [c for c, t in df.dtypes if t in ("float", "double") and c not in ("lng", "lat")]
             texts = [c for c, t in df.dtypes if t in ("string", "boolean")]
             self._open[key] = Dataset(df, options, metrics or numeric, metadata or texts)
@@ -76,16 +102,16 @@ class Session:
             self._close(min(self._used, key=lambda k: (self._used[k], k)))
         return self._open[key]
 
-    def sweep(self) -> list[str]:
+    def sweep(self) -> Sequence[str]:
         """Closes what was unused for longer than the time to live."""
         old = [k for k, t in self._used.items() if self.clock() - t > self.ttl]
         for k in old:
             self._close(k)
         return old
 
-    def opened(self) -> list[str]:
+    def opened(self) -> Sequence[str]:
         return sorted(self._open)
 
     def _close(self, key: str) -> None:
-        self._open.pop(key).df.unpersist()
+        self._open.pop(key).close()
         self._used.pop(key)

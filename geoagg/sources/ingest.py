@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Which stored types count as which kind of metadata; others are dropped.
 KINDS = {"string": "s", "double": "n", "float": "n", "int": "n", "bigint": "n", "smallint": "n", "tinyint": "n", "boolean": "b"}
@@ -40,5 +41,18 @@ def metric_columns(df: DataFrame, column: str = "metrics", keys: list[str] | Non
     return df.select(*[c for c in df.columns if c != column], *[(F.coalesce(value(k), F.lit(0.0).cast("float")) if zero_fill else value(k)).alias(k) for k in keys])
 
 
+def upserted(df: DataFrame, order: str, column: str = "metrics") -> DataFrame:
+    """(id, column): one row an id, whose map has for each key the value of the last row by ``order`` that has the key.
+
+    An empty or null map changes nothing; a null value of a key is no value.
+    """
+    entries = df.select("id", order, F.explode(F.map_entries(column)).alias("e")).filter(F.col("e.value").isNotNull())
+    last = entries.groupBy("id", F.col("e.key").alias("key")).agg(F.max_by("e.value", order).alias("value"))
+    maps = last.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(column))
+    kind = df.schema[column].dataType
+    empty = F.map_from_arrays(F.array().cast(T.ArrayType(kind.keyType)), F.array().cast(T.ArrayType(kind.valueType)))
+    return df.select("id").distinct().join(maps, "id", "left").select("id", F.coalesce(column, empty).alias(column))
+
+
 def duplicates_dropped(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(["id"])

@@ -27,23 +27,40 @@ def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("id"), lng.alias("lng"), lat.alias("lat"), F.col("o_totalprice").alias("value"), "o_orderstatus", "o_orderpriority")
 
 
-def customer_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lng, lat = _place("c_nationkey", "c_custkey")
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("id"), lng.alias("lng"), lat.alias("lat"), F.col("c_acctbal").alias("value"), "c_mktsegment")
-
-
 def _uniform(seed: int) -> Column:
     """A number in [0, 1) from the row's id, the same in every run and on every engine."""
     return ((F.col("id") * 1103515245 + seed * 12345 + 1013904223) % 1000003) / F.lit(1000003.0)
 
 
+#: Categories and regions of generated points, in turn.
+CATEGORIES = ("retail", "food", "health", "office", "school", "park", "home")
+REGIONS = ("north", "south", "east", "west", "central")
+
+
+def _turn(values: tuple) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("id") % len(values) + 1).cast("int"))
+
+
+def _between(low: float, high: float, seed: int) -> Column:
+    return (F.lit(low) + _uniform(seed) * (high - low)).cast("float")
+
+
+def _attributes(seed: int) -> dict[str, Column]:
+    """The metrics and the metadata of generated points."""
+    # thirty days from a fixed instant, as a time without a zone, so that the text does not depend on the session
+    at = F.expr("timestamp_ntz'2023-11-14 22:13:20'") + F.make_dt_interval(secs=F.floor(_uniform(seed + 6) * 2_592_000).cast("decimal(18,6)"))
+    return {
+        "value": _between(0.0, 100.0, seed + 2), "sales": _between(0.0, 1000.0, seed + 3), "size": _between(0.0, 50.0, seed + 4), "customers": _between(0.0, 500.0, seed + 5).cast("int").cast("float"),
+        "category": _turn(CATEGORIES), "region": _turn(REGIONS), "elevation": _between(0.0, 3000.0, seed + 7), "timestamp": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+    }
+
+
 def uniform_points(spark: SparkSession, n: int, bounds=(-180.0, -90.0, 180.0, 90.0), seed: int = 42) -> DataFrame:
-    """``n`` points spread over a rectangle, with metrics value and sales and metadata category (7) and region (5)."""
+    """``n`` points spread over a rectangle, with metrics value, sales, size and customers and metadata category (7), region (5),
+    elevation and timestamp."""
     x0, y0, x1, y1 = bounds
-    category = F.element_at(F.array(*[F.lit(x) for x in ("retail", "food", "health", "office", "school", "park", "home")]), (F.col("id") % 7 + 1).cast("int"))
-    region = F.element_at(F.array(*[F.lit(x) for x in ("north", "south", "east", "west", "central")]), (F.col("id") % 5 + 1).cast("int"))
-    at = lambda lo, hi, s: (F.lit(lo) + _uniform(s) * (hi - lo)).cast("float")
-    return spark.range(n).select("id", at(x0, x1, seed).alias("lng"), at(y0, y1, seed + 1).alias("lat"), at(0.0, 100.0, seed + 2).alias("value"), at(0.0, 1000.0, seed + 3).alias("sales"), category.alias("category"), region.alias("region"))
+    columns = {"lng": _between(x0, x1, seed), "lat": _between(y0, y1, seed + 1), **_attributes(seed)}
+    return spark.range(n).select("id", *[c.alias(k) for k, c in columns.items()])
 
 
 #: Cities that points are dealt around.
@@ -55,4 +72,5 @@ def city_points(spark: SparkSession, n: int, miles: float = 50.0, seed: int = 42
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("id") % len(CITIES) + 1).cast("int"))
     reach, angle = F.sqrt(_uniform(seed)) * (miles / 69.0), _uniform(seed + 1) * 2.0 * F.pi()
     lat = pick([c[1] for c in CITIES])
-    return spark.range(n).select("id", pick([c[0] for c in CITIES]).alias("city"), (pick([c[2] for c in CITIES]) + reach * F.cos(angle) / F.cos(F.radians(lat))).alias("lng"), (lat + reach * F.sin(angle)).alias("lat"))
+    place = {"city": pick([c[0] for c in CITIES]), "lng": pick([c[2] for c in CITIES]) + reach * F.cos(angle) / F.cos(F.radians(lat)), "lat": lat + reach * F.sin(angle)}
+    return spark.range(n).select("id", *[c.alias(k) for k, c in {**place, **_attributes(seed)}.items()])

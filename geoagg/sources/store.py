@@ -1,4 +1,4 @@
-"""Saved datasets: tile-clustered Parquet with a side file of options, and the catalog over their names."""
+"""Saved datasets: tile-clustered Parquet with a side file of options in a folder named after them, and the catalog of the names."""
 
 from __future__ import annotations
 
@@ -32,14 +32,27 @@ def saved_name(rows: Column, at: Column, unique: Column) -> Column:
     return F.concat(F.lit("cluster-"), rows.cast("string"), F.lit("p-"), F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("-"), F.substring(unique, 1, 8), F.lit(".zst"))
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(name, file_size) of the datasets in a folder; a row a dataset, read from the file system by the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [s for s in fs.listStatus(path) if s.isDirectory()] if fs.exists(path) else []
+    return spark.createDataFrame([(s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength()) for s in there], "name string, file_size long")
+
+
 def listed(files: DataFrame) -> DataFrame:
-    """id, num_points, saved_at, file_size of the names in ``files`` (name, file_size) that follow the pattern, latest first."""
+    """name, id, num_points, saved_at, file_size of the names in ``files`` (name, file_size) that follow the pattern, latest first."""
     part = lambda i: F.regexp_extract("name", NAME, i)
     at = F.try_to_timestamp(F.concat(part(2), part(3)), F.lit("yyyyMMddHHmmss"))
-    rows = files.filter(F.col("name").rlike(NAME)).select(part(4).alias("id"), part(1).try_cast("long").alias("num_points"), at.alias("saved_at"), "file_size")
+    rows = files.filter(F.col("name").rlike(NAME)).select("name", part(4).alias("id"), part(1).try_cast("long").alias("num_points"), at.alias("saved_at"), "file_size")
     return rows.filter(F.col("num_points").isNotNull() & F.col("saved_at").isNotNull()).orderBy(F.desc("saved_at"))
 
 
+def named(files: DataFrame, key: str) -> DataFrame:
+    """The dataset with just this id: ``listed`` with its ``name``, the latest if there are several."""
+    return listed(files).filter(F.col("id") == key).limit(1)
+
+
 def find(files: DataFrame, wanted: str) -> DataFrame:
     """The first name, in text order, that contains the id and ends as a dataset does."""
     return files.filter(F.col("name").contains(wanted) & F.col("name").endswith(".zst")).orderBy("name").limit(1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from geoagg.functions import texts
 from geoagg.functions import projection as P
 from geoagg.operators import geojson, grid, index, neighbors, rollup, summary, viewport
-from geoagg.operators.greedy import greedy_groups, sweep
+from geoagg.operators.greedy import connected_cells, greedy_groups, label, sweep
 from geoagg.options import WORLD, Bounds, ClusterOptions
 from geoagg.plans.session import Session
 from geoagg.sources import ingest, store
@@ -90,6 +90,34 @@ def test_both_ways_to_group_equal_the_sequential_visit(spark, least):
         assert {r.id: r.cluster_id for r in greedy_groups(df, 25.0, least, max_group=most).collect()} == want
 
 
+def flood(cells):
+    """The connected sets of some cells."""
+    left, out = set(cells), []
+    while left:
+        todo, own = [left.pop()], set()
+        while todo:
+            x, y = todo.pop()
+            own.add((x, y))
+            near = {(x + dx, y + dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        out.append(frozenset(own))
+    return set(out)
+
+
+def test_cells_are_labelled_by_connected_set(spark):
+    rng = np.random.default_rng(2)
+    cells = sorted({(int(x), int(y)) for x, y in rng.integers(-30, 30, (900, 2))} | {(x, 40) for x in range(-40, 40)})
+    xy = np.array(cells)
+    heads = label(xy[:, 0], xy[:, 1])
+    sets = lambda pairs: {frozenset(c for c, h in pairs if h == k) for k in {h for _, h in pairs}}
+    assert sets(list(zip(cells, heads.tolist(), strict=True))) == flood(cells)
+    df = spark.createDataFrame(cells + cells[:50], "cx long, cy long")
+    for most, side in ((10**6, 512), (10, 8), (10, 3)):
+        rows = connected_cells(df, most, side).collect()
+        assert len(rows) == len(cells) and sets([((r.cx, r.cy), tuple(r.part)) for r in rows]) == flood(cells)
+
+
 def test_sweep_of_nothing():
     e = np.empty(0)
     assert len(sweep(e.astype(np.int64), e, e, e.astype(np.int64), 1.0, 2)) == 0
@@ -140,6 +168,25 @@ def test_ingest_drops_what_is_no_metadata(spark):
     assert {tuple(r) for r in ingest.metric_columns(maps, zero_fill=True).collect()} == {(1, 1.0, 0.0), (2, 0.0, 2.0)}
 
 
+def test_metrics_are_overwritten_key_by_key(spark):
+    rows = [(1, 1, {"a": 1.0, "b": 2.0}), (1, 2, {"a": 5.0}), (1, 3, {}), (2, 1, None), (3, 2, {"c": 1.0}), (3, 1, {"c": 9.0})]
+    df = spark.createDataFrame(rows, "id long, at int, metrics map<string,float>")
+    assert {r.id: r.metrics for r in ingest.upserted(df, "at").collect()} == {1: {"a": 5.0, "b": 2.0}, 2: {}, 3: {"c": 1.0}}
+
+
+def test_bounds_from_texts():
+    assert Bounds.from_texts("50", "20.5", "-60", "-180") == Bounds(-180.0, 20.5, -60.0, 50.0)
+    for bad in ("x", "", "nan", None):
+        with pytest.raises(ValueError, match="east"):
+            Bounds.from_texts("50", "20", bad, "0")
+
+
+def test_tangent_form_agrees(spark):
+    df = points(spark, [(1, 0.0, -60.0, 0.0), (2, 0.0, 45.0, 0.0)])
+    for r in df.select(P.project_y(F.col("lat"), 4).alias("y"), P.tangent_y(F.col("lat"), 4).alias("t")).collect():
+        assert abs(r.y / 2 - r.t) < 0.01
+
+
 def test_geojson_shapes(spark):
     df = points(spark, [(1, 0.0, 0.0, 1.0, "x"), (2, 0.0, 0.0, 2.0, "x"), (3, 90.0, 0.0, 5.0, "y")], "value double, id_text string")
     grouped = rollup.members(df, WORLD, 3, TWO)
@@ -166,6 +213,10 @@ def test_session_cap_and_time_to_live(spark, tmp_path):
         now[0] = float(t)
         keys.append(s.create(200))
     assert s.opened() == sorted(keys[1:])
+    assert sorted((r.id, r.num_points) for r in s.list().collect()) == sorted((k, 200) for k in keys)
+    assert [r.id for r in s.info(keys[0]).collect()] == [keys[0]] and s.info("nothing").count() == 0
+    with pytest.raises(KeyError):
+        s.open("nothing")
     d = s.open(keys[2])
     assert d.clusters(WORLD, 2).agg(F.sum("count")).first()[0] == 200
     assert d.summary(WORLD, 2)["counts"].first()["total_points"] == 200
