@@ -8,7 +8,8 @@ the corpus are sums of the finer ones.
 
 No limit is fixed: from a sketch come its median and the ratio of the median to the tenth percentile, both from the half that
 junk does not reach unless it is the majority. Both are drawn, as logarithms, towards those of the language, and these towards
-those of the corpus, as ``PRIOR`` documents would, at every size of a group alike. A metric fails above ``median * ratio **
+those of the corpus, as ``PRIOR`` documents would, at every size of a group alike; the corpus's ratio is drawn towards two in the
+same way, so that a handful of documents does not set narrow limits. A metric fails above ``median * ratio **
 spread``, characters a word also below ``median / ratio ** spread``, with the ``SPREAD`` of the metric. Of a count only what is
 more than chance is held against the limit (x - sqrt(x); for mean word lengths a share of 0.5 / sqrt(words)), so that short
 documents are not judged by one symbol.
@@ -29,8 +30,10 @@ from .common import SPACE, carried, let, pieces, restored, small, stored
 GAMMA = 1.02
 #: metric -> power of its ratio
 SPREAD = {"symbol_rate": 3.0, "dup_line_odds": 2.5, "chars_per_word": 6.0}
-#: Documents that the next wider group weighs in a narrower one.
+#: Documents that the next wider group weighs in a narrower one, and that ``WIDE`` weighs in the corpus.
 PRIOR = 100.0
+#: The logarithm of the ratio where nothing is known: the median twice the tenth percentile.
+WIDE = 0.6931471805599453
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = r"#*$%&|<>"
 
@@ -130,7 +133,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     a = small(facts(sketches.groupBy("lang", "metric", "bucket").agg(F.sum("n").alias("n")), ["lang"])).alias("a")
     o = small(facts(sketches.groupBy("metric", "bucket").agg(F.sum("n").alias("n")), [])).alias("o")
     merged = g.join(a, F.col("g.lang").eqNullSafe(F.col("a.lang")) & (F.col("g.metric") == F.col("a.metric"))).join(o, F.col("g.metric") == F.col("o.metric"))
-    own = {of: drawn("g", drawn("a", F.col(f"o.{of}"), of), of) for of in ("mid", "ratio")}
+    widest = {"mid": F.col("o.mid"), "ratio": drawn("o", F.lit(WIDE), "ratio")}
+    own = {of: drawn("g", drawn("a", top, of), of) for of, top in widest.items()}
     merged = merged.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.metric").alias("metric"), own["mid"].alias("mid"), own["ratio"].alias("ratio"))
     limit = lambda k, sign: F.max(F.when(F.col("metric") == k, F.exp(F.col("mid") + F.lit(sign * SPREAD[k]) * F.col("ratio"))))
     return merged.groupBy("lang", "source").agg(*[limit(k, 1).alias(f"upper_{k}") for k in SPREAD], limit("chars_per_word", -1).alias("lower_chars_per_word"))
@@ -211,7 +215,7 @@ u as (select *, q50 * {_LOG_GAMMA}::double mid, (q50 - q10) * {_LOG_GAMMA}::doub
 lim as (
   select g.lang, g.source, g.metric,
     (g.total * g.mid + {PRIOR}::double * ((a.total * a.mid + {PRIOR}::double * o.mid) / (a.total + {PRIOR}::double))) / (g.total + {PRIOR}::double) mid,
-    (g.total * g.ratio + {PRIOR}::double * ((a.total * a.ratio + {PRIOR}::double * o.ratio) / (a.total + {PRIOR}::double))) / (g.total + {PRIOR}::double) ratio
+    (g.total * g.ratio + {PRIOR}::double * ((a.total * a.ratio + {PRIOR}::double * ((o.total * o.ratio + {PRIOR}::double * {WIDE}::double) / (o.total + {PRIOR}::double))) / (a.total + {PRIOR}::double))) / (g.total + {PRIOR}::double) ratio
   from u g join u a on g.lang is not distinct from a.lang and g.metric = a.metric and a.gl = 0 and a.gs = 1
   join u o on o.metric = g.metric and o.gl = 1 where g.gl = 0 and g.gs = 0),
 lim2 as (
