@@ -9,7 +9,10 @@ reads them again for the next. All stages but the last return the columns of ``d
 * secrets: secrets are replaced in the texts;
 * mixing: adds sizes, targets, words taken and training positions, sorted by position; documents of which nothing is taken go.
 
-Null texts are rejected by the quality stage (under ten words); empty tables give empty results.
+Defined results: null, empty and short texts are rejected by the quality stage (under ten words); texts of any length are read
+whole; of rows that agree in doc_id and text one stays; a null doc_id is a document like others and comes last where ids decide;
+ties are decided by the text, so runs agree; extra columns pass through all stages, whatever their names, but for those named like
+one that mixing adds, which it replaces; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -52,6 +55,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole table ``documents``."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = common.stored(spark, stage(spark, docs, sf_dir), name)
