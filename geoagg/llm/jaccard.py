@@ -526,11 +526,12 @@ def drop_near_copies(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     signs, names = named_components(docs, width, percent)
     rows = stored(spark, signs.join(names, "_sig").groupBy("comp", "doc_id", "key").agg(F.count("*").alias("rows")), "rows")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key"))
-    stays = rows.groupBy("comp").agg(F.min(order).alias("stays"))
-    marked = rows.join(stays, "comp").withColumn("first", order.eqNullSafe(F.col("stays")))
+    # most components have one row, which stays
+    several = stored(spark, rows.groupBy("comp").agg(F.count("*").alias("n"), F.min(order).alias("stays")).filter("n > 1"), "several")
+    marked = rows.join(small(several), "comp", "left").withColumn("first", F.col("n").isNull() | order.eqNullSafe(F.col("stays")))
     named = lambda keep: marked.filter(keep).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
     gone, twice = stored(spark, named("not first"), "gone"), stored(spark, named("first and rows > 1"), "twice")
-    drop_scratch(rows, names)
+    drop_scratch(rows, names, several)
     own = docs.select(carried(docs), F.col("doc_id").alias("_own"), text_key())
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     left = own.join(small(gone), same, "left_anti")
