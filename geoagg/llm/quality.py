@@ -106,7 +106,9 @@ def judged_values(m: Column) -> dict[str, Column]:
 
 def sketch(counted: DataFrame) -> DataFrame:
     """Mergeable sketches: (lang, source, metric, bucket, n). Bucket b holds values up to GAMMA ** b."""
-    rows = counted.filter(~F.col("m.base_failed")).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), x.alias("x")) for k, x in metrics(F.col("m")).items()])).alias("v"))
+    each = F.array(*[F.struct(F.lit(k).alias("metric"), x.alias("x")) for k, x in metrics(F.col("m")).items()])
+    # not a filter, which would be pushed below the counts and make them twice
+    rows = counted.select("lang", "source", F.explode(F.when(~F.col("m.base_failed"), each)).alias("v"))
     bucket = F.ceil(F.log(F.col("v.x")) / F.lit(_LOG_GAMMA)).cast("int")
     return rows.groupBy("lang", "source", F.col("v.metric").alias("metric"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
