@@ -11,7 +11,7 @@ window is one shingle); for containment of the whole window its prefix is one sh
    offset, the length and a 128-bit hash of all words of the window, which is the check of the whole window.
 
 Index, counts and places are tables, joined by Spark; nothing of the benchmark or the documents is held by the driver. Both
-passes use a bit table of ``FILTER_BITS`` bits at most, without false negatives, to leave out most of what the joins would
+passes use a bit table of bounded size (``common.bit_table``), without false negatives, to leave out most of what the joins would
 discard; a benchmark of any size takes two passes. Results are functions of the text and are joined back by its MD5, so
 copies are one key and texts do not move.
 
@@ -28,13 +28,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashedWords, arrow_schema, carried, column_chunks, from_batches, gram_hashes, mix, restored, small, stored, text_key
+from .common import HashedWords, arrow_schema, bit_table, carried, column_chunks, from_batches, gram_hashes, mix, passes, restored, small, stored, text_key
 
 WINDOW = 10
 SHINGLE = 5
-#: Bits of a filter, at most and for each entry: 32 MB.
-FILTER_BITS = 1 << 28
-BITS_EACH = 64
 #: Hits that a counting task holds before it hands its sums on.
 FLUSH = 1 << 20
 
@@ -52,41 +49,6 @@ def _longs(a: np.ndarray):
     return pa.array(a.view(np.int64))
 
 
-# --- bit tables --------------------------------------------------------------------------------------------------------
-
-
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    h, mask = mix(hashes), np.uint64(bits - 1)
-    return (h & mask).astype(np.int64), ((h >> np.uint64(32)) & mask).astype(np.int64)
-
-
-def passes(hashes: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which ``hashes`` may be in the set that the bit table was made of."""
-    a, b = _places(hashes, 8 * len(table))
-    return ((table[a >> 3] >> (a & 7).astype(np.uint8)) & (table[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
-
-
-def bit_table(hashes: DataFrame) -> np.ndarray:
-    """A bit table over the one column of ``hashes``: built in blocks by Spark, at most ``FILTER_BITS`` bits."""
-    n = hashes.count()
-    bits = min(FILTER_BITS, 1 << max(15, (BITS_EACH * max(n, 1) - 1).bit_length()))
-    schema, _ = arrow_schema("place long")
-
-    def places(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            at = np.concatenate(_places(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits))
-            yield pa.RecordBatch.from_arrays([pa.array(at)], names=["place"])
-
-    at = from_batches(hashes, places, schema)
-    blocks = at.groupBy(F.expr("place div 32768").alias("block")).agg(F.bitmap_construct_agg(F.col("place") % 32768).alias("bits"))
-    out = np.zeros(bits // 8, np.uint8)
-    for r in blocks.toLocalIterator():
-        out[r["block"] * 4096 : (r["block"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 # --- the benchmark -----------------------------------------------------------------------------------------------------
 
 

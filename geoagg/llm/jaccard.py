@@ -22,7 +22,7 @@ sets share one with a chance of n * n / 2**65). Steps:
 6. Components over both kinds of links by repeated minimum with pointer jumping; labels are tables, nothing is collected.
 
 Pairs are first bounded by bit maps of their tokens, sizes included; full token sets are fetched, from the texts, only for
-pairs that pass, selected by a bit table of fixed size.
+pairs that pass, selected by a bit table that is sized by their number.
 
 Defined results: null or empty texts and texts without words have n_shingles 0 and are their own component; a text with
 fewer words than ``width`` has one shingle; rows with a null doc_id get the smallest doc_id of their component, or null;
@@ -35,11 +35,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HashedWords, arrow_schema, carried, column_chunks, drop_scratch, extended, from_batches, gram_hashes, mix, restored, small, stored, text_key
+from .common import HashedWords, arrow_schema, bit_table, carried, column_chunks, drop_scratch, extended, from_batches, gram_hashes, mix, passes, restored, small, stored, text_key
 
 #: Bits of a set's or a group's token union.
 UNION_BITS = 2048
-#: Entries of the hashed token counts and of the bit table, as a power of two, and of one of their blocks.
+#: Entries of the hashed token counts, as a power of two, and of one of their blocks.
 COUNT_BITS = 22
 BLOCK = 4096
 #: Prefix tokens in more sets than this are frequent.
@@ -156,22 +156,6 @@ def summed(rows: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def membership(nodes: DataFrame, bits: int) -> np.ndarray:
-    """One bit for each hash that a value of ``nodes.sig`` has: a filter without false negatives."""
-    schema, arrow = arrow_schema(COUNT_ROWS)
-
-    def count(batches):
-        import pyarrow as pa
-
-        counts = Counts(bits)
-        for b in batches:
-            counts.add(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        for rows in counts.rows():
-            yield pa.RecordBatch.from_arrays(rows, schema=arrow)
-
-    return np.packbits(summed(from_batches(nodes.select("sig"), count, schema), bits) > 0)
-
-
 # --- prefixes and sets -----------------------------------------------------------------------------------------------
 
 
@@ -225,6 +209,13 @@ def prefixes(docs: DataFrame, width: int, percent: int, counts) -> DataFrame:
     return from_batches(docs.select("text"), cut, schema)
 
 
+def _active(sets: list[np.ndarray], table: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(signature, set) of the sets, without empty ones, that pass a bit table of signatures."""
+    own = [s for s in sets if len(s)]
+    sigs = np.array([signature(s) for s in own], np.int64)
+    return [(int(sigs[i]), own[i]) for i in np.flatnonzero(passes(sigs.view(np.uint64), table))]
+
+
 def token_sets(docs: DataFrame, width: int, active) -> DataFrame:
     """(part, sig, tokens) of the sets that pass the bit table ``active``; a task gives copies once."""
     schema, arrow = arrow_schema("part int, sig long, tokens binary")
@@ -233,12 +224,11 @@ def token_sets(docs: DataFrame, width: int, active) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        table, seen, part = np.unpackbits(active.value), set(), TaskContext.get().partitionId()
-        mask = len(table) - 1
+        seen, part = set(), TaskContext.get().partitionId()
         for _, texts in column_chunks(batches):
             rows = []
-            for s in shingle_sets(texts, width):
-                if not len(s) or not table[(sig := signature(s)) & mask] or sig in seen:
+            for sig, s in _active(shingle_sets(texts, width), active.value):
+                if sig in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(sig)
@@ -282,11 +272,10 @@ def segments(docs: DataFrame, width: int, percent: int, active) -> DataFrame:
     def cut(batches):
         import pyarrow as pa
 
-        table, seen = np.unpackbits(active.value), set()
-        mask = len(table) - 1
+        seen = set()
         for _, texts in column_chunks(batches):
-            for s in shingle_sets(texts, width):
-                if not len(s) or not table[(sig := signature(s)) & mask] or sig in seen:
+            for sig, s in _active(shingle_sets(texts, width), active.value):
+                if sig in seen:
                     continue
                 if len(seen) < 1 << 18:
                     seen.add(sig)
@@ -365,13 +354,13 @@ def near(pairs: DataFrame, node: DataFrame, percent: int) -> DataFrame:
     return stored(pairs.sparkSession, bounded(mapped, percent, True), "near")
 
 
-def linked(docs: DataFrame, width: int, percent: int, pairs: DataFrame, bits: int) -> DataFrame:
+def linked(docs: DataFrame, width: int, percent: int, pairs: DataFrame) -> DataFrame:
     """The stored pairs (a, b) of signatures whose sets link."""
     spark = docs.sparkSession
     if not pairs.limit(1).count():
         return pairs
     ends = pairs.select(F.explode(F.array("a", "b")).alias("sig"))
-    sets = _one_row_each(stored(spark, token_sets(docs, width, spark.sparkContext.broadcast(membership(ends, bits))), "sets"))
+    sets = _one_row_each(stored(spark, token_sets(docs, width, spark.sparkContext.broadcast(bit_table(ends.distinct()))), "sets"))
     side = lambda s: sets.select(F.col("sig").alias(s), F.col("tokens").alias(f"tokens_{s}"))
     full = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "tokens_a", "tokens_b")
     schema, arrow = arrow_schema("a long, b long")
@@ -445,7 +434,7 @@ def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int,
     if leaders.filter(F.col("rows") > FREQUENT).limit(1).count():
         busy = joined.filter(F.col("rows") > FREQUENT).select("sig").distinct()
         busy = stored(spark, rows.filter(F.col("token").isNull()).select("sig", "lead").distinct().join(busy, "sig"), "busy")
-        cut = segments(docs, width, percent, spark.sparkContext.broadcast(membership(busy, bits)))
+        cut = segments(docs, width, percent, spark.sparkContext.broadcast(bit_table(busy.select("sig"))))
         cut = stored(spark, cut.join(busy, "sig").select("token", "sig", "lead"), "segments")
         shared = shared.unionByName(cut.select("token", "sig").join(met_in(cut, "segment_leaders").drop("rows"), "token"))
         own = prefix.join(small(busy.select("sig")), "sig", "left_semi").select("token", "sig", "ord").distinct().join(leaders.select("token"), "token", "left_anti")
@@ -462,7 +451,7 @@ def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int,
 
     pairs = shared.select(F.col("sig").alias("a"), "head").distinct()
     pairs = pairs.join(node.select(F.col("lead").alias("head"), F.col("sig").alias("b")), "head").filter("a <> b").select("a", "b")
-    first = linked(docs, width, percent, near(pairs, node, percent), bits)
+    first = linked(docs, width, percent, near(pairs, node, percent))
     # the token-group matrix: each set's group is its component, or itself
     groups = components(first)
     groups = groups.join(groups.groupBy("comp").agg(F.count("*").alias("members")), "comp")
@@ -485,7 +474,7 @@ def set_components(docs: DataFrame, counts: DataFrame, width: int, percent: int,
     asked = opened.withColumnRenamed("b", "g").join(_side(node, "a", *FACTS, "bits"), "a")
     members = node.select(F.col("comp").alias("g"), F.col("sig").alias("b"), *[F.col(c).alias(f"{c}_b") for c in (*FACTS, "bits")])
     inside = asked.join(members, "g").filter(_plausible(percent)).select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb"), "bits_a", "bits_b")
-    second = linked(docs, width, percent, stored(spark, bounded(inside, percent, True), "inside"), bits)
+    second = linked(docs, width, percent, stored(spark, bounded(inside, percent, True), "inside"))
     out = components(first.union(second))
     drop_scratch(shared, node, asks, matrix, met, opened)
     return out
@@ -497,7 +486,8 @@ def named_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     ``key``: MD5 of the text.
     """
     spark = docs.sparkSession
-    bits = COUNT_BITS
+    # tables of token counts grow with the documents, from 4 to 16 MB; any order is right, a good one is cheap
+    bits = min(COUNT_BITS + 2, max(COUNT_BITS, (16 * docs.select("doc_id").count()).bit_length()))
     both = stored(spark, signed(docs.select("doc_id", text_key(), "text"), width, ("doc_id", "key"), bits), "signs")
     signs = both.filter(F.col("_block").isNull()).select("doc_id", "key", "_n", "_sig")
     found = set_components(docs, both.filter(F.col("_block").isNotNull()).select("_part", "_block", "_counts"), width, percent, bits)
@@ -545,5 +535,24 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
 
 
+#: All pairs that share a shingle, compared exactly; components by reachability.
+OP7_SQL = """
+with recursive d as (
+  select row_number() over () rid, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w
+  from documents),
+s as (
+  select distinct rid, g from (
+    select rid, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from d)),
+n as (select rid, count(*) n from s group by rid),
+p as (select a.rid x, b.rid y, count(*) c from s a join s b on a.g = b.g and a.rid < b.rid group by a.rid, b.rid),
+l as (select x, y from p join n a on a.rid = x join n b on b.rid = y where 100 * c >= 90 * (a.n + b.n - c)),
+e as (select x, y from l union all select y, x from l),
+r(rid, near) as (select rid, rid from d union select r.rid, e.y from r join e on r.near = e.x),
+m as (select r.rid, min(d.doc_id) component_id from r join d on d.rid = r.near group by r.rid)
+select doc_id, coalesce(n, 0) n_shingles, component_id from d join m using (rid) left join n using (rid)
+"""
+
 QUERIES = {"op7_jaccard": op7_jaccard}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op7_jaccard": OP7_SQL}

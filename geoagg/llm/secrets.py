@@ -159,6 +159,7 @@ class Forest:
     """A fitted forest; ``score`` is its probability as an expression over the feature struct."""
 
     def __init__(self, model):
+        self.model = model
         self.roots = [t._java_obj.rootNode() for t in model.trees]
         #: the features that splits use
         self.used = {f for f, share in zip(FEATURES, model.featureImportances.toArray(), strict=True) if share > 0}
