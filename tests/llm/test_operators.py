@@ -498,7 +498,7 @@ def test_one_document_of_each_group_stays(spark):
 
 def test_forest_on_findings_it_has_not_seen(spark):
     forest = secrets.fit_forest(secrets.labelled_findings(spark))
-    assert any("doc_path" in str(t) for t in forest.used) and len(forest.used) > 8
+    assert "doc_path" in forest.used and len(forest.used) > 8
     rows = secrets.labelled_findings(spark, 1500, seed=99)
     scored = rows.select(forest.score(secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path"))).alias("s"), "label").collect()
     assert sum((r.s >= 0.5) == (r.label == 1) for r in scored) / len(scored) > 0.97
@@ -512,6 +512,16 @@ def test_forest_on_findings_it_has_not_seen(spark):
     assert [len(r.findings) for r in got] == [1, 0, 0] and got[0].text == f'token = "{secrets.MARK}" here'
 
 
+def test_expressions_equal_the_fitted_forest(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    forest = secrets.fit_forest(secrets.labelled_findings(spark, 800))
+    rows = secrets.labelled_findings(spark, 600, seed=5).select(secrets.features(F.col("value"), F.col("before"), F.col("after"), F.col("path")).alias("f"))
+    rows = rows.select("f.*", forest.score(F.col("f")).alias("own"))
+    out = forest.model.transform(VectorAssembler(inputCols=secrets.FEATURES, outputCol="features").transform(rows)).select("own", "probability").collect()
+    assert all(abs(r.own - r.probability[1]) < 1e-9 for r in out) and len({round(r.own, 3) for r in out}) > 5
+
+
 @pytest.mark.parametrize("size", [1, 500, 10_000])
 def test_candidates_by_brute_force(spark, size):
     """Texts put together from parts whose candidates are known, whole however long they are."""
@@ -580,6 +590,27 @@ def test_token_counts_add_up(spark):
         assert sum(r.field_tokens) + r.separator_tokens == r.n_tokens and sum(r.line_tokens) == r.field_tokens[2]
 
 
+def test_tokens_of_lines_by_brute_force(spark):
+    """The query's rows, from the bytes of each token one by one."""
+    encoding, _ = tokens.encoder(tokens.VOCABULARY)
+    got = {r.doc_id: r for r in tokens.op9_tokens(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "source", "lang", "text").collect():
+        fields = [x or "" for x in (r.source, r.lang, r.text)]
+        sections = [fields[0], "\n\n", fields[1], "\n\n", *[x + "\n" for x in fields[2].split("\n")]]
+        sections[-1] = sections[-1][:-1]
+        owner = [k for k, x in enumerate(sections) for _ in x.encode()]
+        counts, at, crossed = collections.Counter(), 0, 0
+        ids = encoding.encode_ordinary("\n\n".join(fields))
+        for t in ids:
+            n = len(encoding.decode_single_token_bytes(t))
+            counts[owner[at]] += 1
+            crossed += owner[at] != owner[at + n - 1]
+            at += n
+        g = got[r.doc_id]
+        assert (g.n_tokens, g.source_tokens, g.lang_tokens, g.separator_tokens, g.n_crossing) == (len(ids), counts[0], counts[2], counts[1] + counts[3], crossed)
+        assert g.line_tokens == [counts[k] for k in range(4, len(sections))] and g.text_tokens == sum(g.line_tokens)
+
+
 # --- 10 decontamination ----------------------------------------------------------------------------------------------
 
 
@@ -600,7 +631,7 @@ def brute_hits(text, items):
 @pytest.mark.parametrize("bits", [1 << 28, 1 << 15])
 def test_decontamination_by_brute_force(spark, monkeypatch, bits):
     # a table that is too small for its entries lets more through and changes nothing
-    monkeypatch.setattr(decontam, "FILTER_BITS", bits)
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
     monkeypatch.setattr(decontam, "FLUSH", 50)
     rng = np.random.default_rng(1)
     text = lambda n: " ".join(rng.choice(list("abcdefgh"), n))
