@@ -316,9 +316,12 @@ def greedy_clusters_z2(spark, sf_dir, b):
     return _cluster_rows(spark, sf_dir, b, zoom=2).select("id", "count", "value")
 
 
-@query("greedy_full")
+@query("greedy_full", f"{_clusters(CONUS, 5, TWO)} select id, count, round({P.unproject_lng_sql('x', 5)}::double, 3) as lng, round({P.unproject_lat_sql('y', 5)}::double, 3) as lat, value from c")
 def greedy_full(spark, sf_dir):
-    return _cluster_rows(spark, sf_dir, b=CONUS, zoom=5).select("id", "count", "lng", "lat", "value")
+    return _rounded(_cluster_rows(spark, sf_dir, b=CONUS, zoom=5).select("id", "count", "lng", "lat", "value"), "lng", "lat", digits=3)
+
+
+SLOW_SQL.add("greedy_full")
 
 
 @query("greedy_orders_z8")

@@ -12,7 +12,7 @@ def test_query_equals_sql(spark, name):
     same(QUERIES[name](spark, SF), ORACLE[name], SF)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+@pytest.mark.parametrize("name", ["greedy_full", "greedy_orders_z8"])
 def test_every_point_is_counted_once(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     table, key = ("events", "event_id") if name == "greedy_full" else ("orders", "o_orderkey")
