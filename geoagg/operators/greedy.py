@@ -23,6 +23,8 @@ from .neighbors import SLACK, celled, within
 MAX_GROUP = 5_000_000
 #: Points of the many small sets that one task sweeps together; sets do not meet, so sweeping them at once changes nothing.
 TASK_POINTS = 100_000
+#: Points that one task sweeps without a look at their sets, which costs more than it saves.
+FEW_POINTS = 20_000
 #: Occupied cells that one task labels at once, and the side of a block of cells where there are more.
 TASK_CELLS = 1_000_000
 BLOCK_SIDE = 512
@@ -139,12 +141,6 @@ def _joined(links: DataFrame) -> DataFrame:
 def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: str = "x", max_group: int = MAX_GROUP) -> DataFrame:
     """(id, cluster_id): each point's seed. ``projected``: id, x, y, one row an id. ``order``: "x" (ties by id) or "id"."""
     points = stored(celled(projected.select("id", "x", "y"), radius), "points")
-    parts = connected_cells(points)
-    sizes = stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
-    giant = [r["part"] for r in sizes.filter(F.col("n") > max_group).select("part").collect()]  # at most rows / max_group
-    labelled = points.join(parts, ["cx", "cy"])
 
     def sets(pdf):
         import pandas as pd
@@ -153,11 +149,20 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
         by = np.lexsort((ids, x)) if order == "x" else np.argsort(ids, kind="stable")
         return pd.DataFrame({"id": ids, "cluster_id": sweep(ids, x, pdf["y"].to_numpy(np.float32), by, radius, min_points)})
 
+    result = "id long, cluster_id long"
+    if points.count() <= min(FEW_POINTS, max_group):
+        return points.groupBy(F.lit(0).alias("task")).applyInPandas(sets, result)
+    parts = connected_cells(points)
+    sizes = stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
+    giant = [r["part"] for r in sizes.filter(F.col("n") > max_group).select("part").collect()]  # at most rows / max_group
+    labelled = points.join(parts, ["cx", "cy"])
     is_giant = F.lit(False)
     for g in giant:
         is_giant = is_giant | ((F.col("part.cx") == g["cx"]) & (F.col("part.cy") == g["cy"]))
     dealt = labelled.filter(~is_giant).groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
-    small = dealt.applyInPandas(sets, "id long, cluster_id long")
+    small = dealt.applyInPandas(sets, result)
     if not giant:
         return small
     return small.unionByName(greedy_rounds(labelled.filter(is_giant).select("id", "x", "y"), radius, min_points, order))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from geoagg.functions import texts
 from geoagg.functions import projection as P
-from geoagg.operators import geojson, grid, index, neighbors, rollup, summary, viewport
+from geoagg.operators import geojson, greedy, grid, index, neighbors, rollup, summary, viewport
 from geoagg.operators.greedy import connected_cells, greedy_groups, label, sweep
 from geoagg.options import WORLD, Bounds, ClusterOptions
 from geoagg.plans.session import Session
@@ -81,12 +81,13 @@ def brute(pts, radius, least):
 
 
 @pytest.mark.parametrize("least", [1, 2, 4])
-def test_both_ways_to_group_equal_the_sequential_visit(spark, least):
+def test_all_ways_to_group_equal_the_sequential_visit(spark, monkeypatch, least):
     rng = np.random.default_rng(5)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 300, (250, 2)))]
     want = brute(pts, 25.0, least)
     df = spark.createDataFrame(pts, "id long, x float, y float")
-    for most in (10**6, 3):
+    for few, most in ((20_000, 10**6), (0, 10**6), (0, 3)):
+        monkeypatch.setattr(greedy, "FEW_POINTS", few)
         assert {r.id: r.cluster_id for r in greedy_groups(df, 25.0, least, max_group=most).collect()} == want
 
 
