@@ -4,9 +4,11 @@ Points are visited in order; a point that is still free takes all free points wi
 more with itself, else stays alone and leaves them free. Points whose cells are not connected never meet, so connected sets of
 occupied cells are dealt to tasks whole, many small ones to one task. Cells are labelled in blocks, and the blocks' edges joined.
 
-A set of cells with more than ``MAX_GROUP`` points is not handed to one task: it is solved in rounds instead. In a round every
-free point that is the first among the free ones within two radii is decided, which is what the sequential visit would do with
-it, whatever happens further away. Both ways give equal results.
+A set of cells with more than ``MAX_GROUP`` points is not handed to one task at once. By x it is swept in strips, one after the
+other: a strip's task gets the strip, the points the last one could not decide and the groups' seeds within the radius of the
+strip. By id the first points are swept as far as they decide, and all others within the radius of their seeds are taken by many
+tasks at once; where that decides little, the rest is solved in rounds: in a round every free point that is the first among the
+free ones within two radii is decided. All ways give what the sequential visit gives.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from geoagg.sources.scratch import dropped, stored
 from .neighbors import SLACK, celled, within
 
 #: Points of one connected set that one task sweeps: 16 bytes a point and a few index arrays.
-MAX_GROUP = 5_000_000
+MAX_GROUP = 1_000_000
+#: Points of a strip, or of a step by id, of a larger set.
+STRIP = 1_000_000
 #: Points of the many small sets that one task sweeps together; sets do not meet, so sweeping them at once changes nothing.
 TASK_POINTS = 100_000
 #: Points that one task sweeps without a look at their sets, which costs more than it saves.
@@ -28,35 +32,121 @@ FEW_POINTS = 20_000
 #: Occupied cells that one task labels at once, and the side of a block of cells where there are more.
 TASK_CELLS = 1_000_000
 BLOCK_SIDE = 512
+#: Candidates a point up to which all near pairs are listed before the visit.
+FEW_NEAR = 8
+#: Share of the points that a step by id has to decide; below it, rounds are the better way.
+LEAST_DECIDED = 0.1
 
 
 def sweep(ids: np.ndarray, x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_points: int) -> np.ndarray:
     """The seed's id for each point of a set, visiting by ``order``; single precision."""
+    return ids[visit(x, y, order, radius, min_points)[0]] if len(ids) else ids.copy()
+
+
+def visit(x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_points: int, sure: np.ndarray | None = None, taken: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, leads, decided) for each point: its seed's index, whether it took a group, whether the visit reached or took it.
+
+    ``sure``: the points whose neighbours are all here. The visit stops at another one that finds fewer than ``min_points`` free
+    ones; it may have more elsewhere. ``taken``: points that are no longer free at the start.
+    """
+    n = len(x)
     x, y, r = x.astype(np.float32), y.astype(np.float32), np.float32(radius)
-    limit = r * r
-    size = float(radius) * SLACK
-    cx, cy = np.floor(x.astype(np.float64) / size).astype(np.int64), np.floor(y.astype(np.float64) / size).astype(np.int64)
-    cells: dict[tuple[int, int], np.ndarray] = {}
-    by_cell = np.lexsort((np.arange(len(ids)), cy, cx))
-    edges = np.flatnonzero(np.r_[True, (cx[by_cell][1:] != cx[by_cell][:-1]) | (cy[by_cell][1:] != cy[by_cell][:-1])])[: len(ids)]
-    for a, b in zip(edges, [*edges[1:], len(ids)], strict=False):
-        cells[(cx[by_cell[a]], cy[by_cell[a]])] = by_cell[a:b]
-    seed = ids.copy()
-    free = np.ones(len(ids), bool)
-    for i in order:
-        if not free[i]:
-            continue
-        near = [c for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (c := cells.get((cx[i] + dx, cy[i] + dy))) is not None]
-        near = np.concatenate(near)
-        near = near[free[near]]
-        dx, dy = x[near] - x[i], y[near] - y[i]
-        near = near[(np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)]
-        if len(near) >= min_points:
-            seed[near] = ids[i]
-            free[near] = False
-        else:
-            free[i] = False
-    return seed
+    limit, reach = r * r, float(radius) * SLACK
+    # rows of cells, by x within a row: what a point may take lies in three runs of rows
+    row = np.floor(y.astype(np.float64) / reach).astype(np.int64)
+    at = np.lexsort((x, row))
+    x, y, row, rank = x[at], y[at], row[at], np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    rank = rank[at]
+    by_x = bool((np.diff(x[np.argsort(rank)]) >= 0).all())  # then nothing to the left is free at a visit
+    stride = float(x.max(initial=0)) - float(x.min(initial=0)) + 4 * reach
+    place = (row - row.min(initial=0)) * stride + (x.astype(np.float64) - float(x.min(initial=0)))
+    runs = []
+    for d in (-stride, 0.0, stride):
+        back = reach * 0.001 if by_x else reach
+        runs.append((np.searchsorted(place, place + (d - back), "left"), np.searchsorted(place, place + (d + reach), "right")))
+    candidates = sum(e - s for s, e in runs)
+    seed, leads, free, stop = np.arange(n), np.zeros(n, bool), np.ones(n, bool) if taken is None else ~taken[at], n
+    unsure = np.zeros(n, bool) if sure is None else ~sure[at]
+    if candidates.sum() <= FEW_NEAR * n:
+        pairs = []
+        for s, e in runs:
+            size = e - s
+            i = np.repeat(np.arange(n), size)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(size) - size - s, size)
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            near = (rank[j] > rank[i]) & (np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)
+            pairs.append((i[near], j[near]))
+        i, j = (np.concatenate(side) for side in zip(*pairs, strict=True))
+        j = j[np.argsort(i, kind="stable")]
+        degree = np.bincount(i, minlength=n)
+        ends = np.cumsum(degree)
+        todo = np.flatnonzero(((degree > 0) | (min_points < 2)) & (degree + 1 >= min_points) | unsure)
+        todo = todo[np.argsort(rank[todo])]
+        open_, heads, others = bytearray(free.tobytes()), seed.tolist(), j.tolist()
+        for i, b, e, u in zip(todo.tolist(), (ends - degree)[todo].tolist(), ends[todo].tolist(), unsure[todo].tolist(), strict=True):
+            if not open_[i]:
+                continue
+            near = [k for k in others[b:e] if open_[k]]
+            if len(near) + 1 >= min_points:
+                leads[i] = True
+                open_[i] = 0
+                for k in near:
+                    open_[k] = 0
+                    heads[k] = i
+            elif u:
+                stop = rank[i]
+                break
+        seed, free = np.array(heads, np.int64), np.frombuffer(bytes(open_), bool)
+    else:
+        todo = np.flatnonzero((candidates >= min_points) | unsure)
+        todo = todo[np.argsort(rank[todo])]
+        for i in todo:
+            if not free[i]:
+                continue
+            near = np.concatenate([np.flatnonzero(free[s[i] : e[i]]) + s[i] for s, e in runs])
+            dx, dy = x[near] - x[i], y[near] - y[i]
+            near = near[(rank[near] >= rank[i]) & (np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)]
+            if len(near) >= min_points:
+                seed[near] = i
+                free[near] = False
+                leads[i] = True
+            elif unsure[i]:
+                stop = rank[i]
+                break
+    decided = ~free | (rank < stop)
+    out = tuple(np.empty_like(v) for v in (seed, leads, decided))
+    for o, v in zip(out, (at[seed], leads, decided), strict=True):
+        o[at] = v
+    return out
+
+
+def first_seed(x: np.ndarray, y: np.ndarray, seeds: dict[str, np.ndarray], radius: float) -> np.ndarray:
+    """For each point the index of the first of some seeds (x, y; in the order of their visits) within the radius, or -1."""
+    r, size = np.float32(radius), float(radius) * SLACK
+    best = np.full(len(x), len(seeds["x"]), np.int64)
+    if not len(best) or not len(seeds["x"]):
+        return np.full(len(x), -1, np.int64)
+    cell = lambda v: np.floor(v.astype(np.float64) / size).astype(np.int64)
+    cx, cy, sx, sy = cell(x), cell(y), cell(seeds["x"]), cell(seeds["y"])
+    low, width = min(cy.min(), sy.min()) - 1, max(cy.max(), sy.max()) - min(cy.min(), sy.min()) + 3
+    key, listed = cx * width + (cy - low), sx * width + (sy - low)
+    by = np.argsort(listed, kind="stable")
+    listed = listed[by]
+    for dx in (-1, 0, 1):
+        for dy in (-1, 0, 1):
+            want = key + dx * width + dy
+            start, end = np.searchsorted(listed, want, "left"), np.searchsorted(listed, want, "right")
+            left = np.flatnonzero(start < end)
+            t = 0
+            while len(left):
+                s = by[start[left] + t]
+                ux, uy = x[left] - seeds["x"][s], y[left] - seeds["y"][s]
+                met = (np.abs(ux) <= r) & (ux * ux + uy * uy <= r * r)
+                best[left[met]] = np.minimum(best[left[met]], s[met])
+                t += 1
+                left = left[start[left] + t < end[left]]
+    return np.where(best < len(seeds["x"]), best, -1)
 
 
 def label(cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
@@ -165,7 +255,88 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     small = dealt.applyInPandas(sets, result)
     if not giant:
         return small
-    return small.unionByName(greedy_rounds(labelled.filter(is_giant).select("id", "x", "y"), radius, min_points, order))
+    large = stored(labelled.filter(is_giant).select("id", "x", "y"), "large") if order == "id" else labelled.filter(is_giant).select("id", "x", "y")
+    return small.unionByName((greedy_strips if order == "x" else greedy_steps)(large, radius, min_points))
+
+
+_SWEPT = "id long, cluster_id long, x float, y float, leads boolean"
+
+
+def _swept(points: DataFrame, radius: float, min_points: int, order: str, seeds: dict[str, np.ndarray], end: float) -> DataFrame:
+    """One task's visit of ``points`` behind ``seeds``: cluster_id is null where it is not decided. All points left of ``end`` are here."""
+
+    def task(pdf):
+        import pandas as pd
+
+        ids, x, y = pdf["id"].to_numpy(), pdf["x"].to_numpy(np.float32), pdf["y"].to_numpy(np.float32)
+        by = np.lexsort((ids, x)) if order == "x" else np.argsort(ids, kind="stable")
+        before = first_seed(x, y, seeds, radius)
+        seed, leads, decided = visit(x, y, by, radius, min_points, x.astype(np.float64) + radius * SLACK < end, before >= 0)
+        own = ids[seed]
+        own[before >= 0] = seeds["id"][before[before >= 0]]
+        return pd.DataFrame({"id": ids, "cluster_id": pd.array(own, "Int64"), "x": x, "y": y, "leads": leads}).assign(cluster_id=lambda f: f["cluster_id"].mask(~decided))
+
+    return points.select("id", "x", "y").groupBy(F.lit(0).alias("task")).applyInPandas(task, _SWEPT)
+
+
+def _seeds(rows: list) -> dict[str, np.ndarray]:
+    return {c: np.array([row[c] for row in rows], t) for c, t in (("id", np.int64), ("x", np.float32), ("y", np.float32))}
+
+
+def _decided(tables: list[DataFrame]) -> DataFrame:
+    """(id, cluster_id) of all tables, which share their columns: one scan."""
+    paths = [f for t in tables for f in t.inputFiles()]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths).filter(F.col("cluster_id").isNotNull()).select("id", "cluster_id")
+
+
+def greedy_strips(points: DataFrame, radius: float, min_points: int, strip: int | None = None) -> DataFrame:
+    """``greedy_groups`` by x, strip by strip of about ``strip`` points. Each point goes to a task once, or again if it lies within
+    the radius of the strip's end and is still free there."""
+    count = -(-points.count() // (strip or STRIP))
+    points = stored(points.repartitionByRange(max(count, 1), "x").sortWithinPartitions("x"), "strips")
+    edges = sorted(set(points.approxQuantile("x", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
+    tables, rows = [], []
+    for low, high in zip([-np.inf, *edges], [*edges, np.inf], strict=True):
+        part = points.filter((F.col("x") >= F.lit(low).cast("float")) & (F.col("x") < F.lit(high).cast("float"))) if high < np.inf else points.filter(F.col("x") >= F.lit(low).cast("float"))
+        if tables:
+            part = part.unionByName(tables[-1].filter(F.col("cluster_id").isNull()).select("id", "x", "y"))
+        tables.append(stored(_swept(part, radius, min_points, "x", _seeds(rows), high), "swept"))
+        if high < np.inf:
+            near = high - radius * SLACK
+            rows = [row for row in rows if row["x"] >= near] + tables[-1].filter(F.col("leads") & (F.col("x") >= near)).select("id", "x", "y").orderBy("x", "id").collect()
+    dropped(points)
+    return _decided(tables)
+
+
+def greedy_steps(points: DataFrame, radius: float, min_points: int, step: int | None = None) -> DataFrame:
+    """``greedy_groups`` by id: the first ``step`` points are visited as far as they decide, then their seeds take from all others."""
+    step = step or STRIP
+    tables, rounds, n = [], None, points.count()
+    while n > step:
+        last = points.approxQuantile("id", [step / n], 0.1 * step / n)[0]
+        first = stored(_swept(points.filter(F.col("id") <= int(last)), radius, min_points, "id", _seeds([]), -np.inf), "swept")
+        seeds = _seeds(first.filter("leads").select("id", "x", "y").orderBy("id").collect())
+
+        def taken(frames, seeds=seeds):
+            import pandas as pd
+
+            for pdf in frames:
+                at = first_seed(pdf["x"].to_numpy(np.float32), pdf["y"].to_numpy(np.float32), seeds, radius)
+                own = pd.array(np.append(seeds["id"], 0)[at], "Int64")
+                own[at < 0] = pd.NA
+                yield pd.DataFrame({"id": pdf["id"], "cluster_id": own, "x": pdf["x"], "y": pdf["y"], "leads": False})
+
+        others = stored(points.filter(F.col("id") > int(last)).select("id", "x", "y").mapInPandas(taken, _SWEPT), "others")
+        tables += [first, others]
+        points = first.unionByName(others).filter(F.col("cluster_id").isNull()).select("id", "x", "y")
+        left = points.count()
+        if left > step and left > (1 - LEAST_DECIDED) * n:
+            rounds = greedy_rounds(points, radius, min_points, "id")
+            break
+        n = left
+    else:
+        tables.append(stored(_swept(points, radius, min_points, "id", _seeds([]), np.inf), "swept"))
+    return _decided(tables) if rounds is None else _decided(tables).unionByName(rounds)
 
 
 def greedy_rounds(points: DataFrame, radius: float, min_points: int, order: str = "x") -> DataFrame:

@@ -80,6 +80,17 @@ def brute(pts, radius, least):
     return seed
 
 
+def brute_by_id(pts, radius, least):
+    free, seed, r = {p[0] for p in pts}, {}, np.float32(radius)
+    for i, x, y in sorted(pts):
+        if i in free:
+            near = [j for j, u, v in pts if j in free and abs(np.float32(u) - np.float32(x)) <= r and (np.float32(u) - np.float32(x)) ** 2 + (np.float32(v) - np.float32(y)) ** 2 <= r * r]
+            near = near if len(near) >= least else [i]
+            seed.update(dict.fromkeys(near, i))
+            free -= set(near)
+    return seed
+
+
 @pytest.mark.parametrize("least", [1, 2, 4])
 def test_all_ways_to_group_equal_the_sequential_visit(spark, monkeypatch, least):
     rng = np.random.default_rng(5)
@@ -91,6 +102,52 @@ def test_all_ways_to_group_equal_the_sequential_visit(spark, monkeypatch, least)
         assert {r.id: r.cluster_id for r in greedy_groups(df, 25.0, least, max_group=most).collect()} == want
 
 
+@pytest.mark.parametrize("most", [0, 8, 10**6])
+def test_strips_equal_the_sequential_visit(monkeypatch, most):
+    """Strips by x of any width, with near pairs listed or not: every point is decided once."""
+    monkeypatch.setattr(greedy, "FEW_NEAR", most)
+    rng = np.random.default_rng(7)
+    for least, radius in ((1, 25.0), (2, 12.5), (4, 60.0)):
+        x, y = rng.integers(0, 300, (2, 250)).astype(np.float32)
+        ids = rng.permutation(250)
+        want = brute([(int(i), float(a), float(b)) for i, a, b in zip(ids, x, y, strict=True)], radius, least)
+        for width in (7, 40):
+            got, left, rows = {}, np.zeros(250, bool), []
+            edges = [-np.inf, *range(width, 300, width), np.inf]
+            for low, high in zip(edges, edges[1:], strict=False):
+                at = np.flatnonzero((x >= low) & (x < high) | left)
+                seeds = greedy._seeds(rows)
+                before = greedy.first_seed(x[at], y[at], seeds, radius)
+                seed, leads, decided = greedy.visit(x[at], y[at], np.lexsort((ids[at], x[at])), radius, least, x[at] + radius * 1.001 < high, before >= 0)
+                own = ids[at][seed]
+                own[before >= 0] = seeds["id"][before[before >= 0]]
+                assert not set(ids[at][decided].tolist()) & set(got)
+                got |= dict(zip(ids[at][decided].tolist(), own[decided].tolist(), strict=True))
+                left[:] = False
+                left[at[~decided]] = True
+                rows += sorted(({"id": ids[i], "x": x[i], "y": y[i]} for i in at[leads]), key=lambda r: (r["x"], r["id"]))
+            assert got == want
+
+
+@pytest.mark.parametrize("order", ["x", "id"])
+def test_large_sets_take_few_steps(spark, monkeypatch, order):
+    """A set above the bound is swept in strips or steps, not in a round for each link of its longest chain."""
+    rng = np.random.default_rng(6)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 200, (600, 2)))]
+    want = (brute if order == "x" else brute_by_id)(pts, 40.0, 2)
+    for name, value in (("FEW_POINTS", 0), ("STRIP", 150)):
+        monkeypatch.setattr(greedy, name, value)
+    monkeypatch.setattr(greedy, "greedy_rounds", None)
+    df = spark.createDataFrame(pts, "id long, x float, y float")
+    assert {r.id: r.cluster_id for r in greedy_groups(df, 40.0, 2, order, max_group=100).collect()} == want
+
+
+def test_sparse_steps_end_in_rounds(spark):
+    pts = [(i, float(x), 0.0) for i, x in enumerate(np.random.default_rng(3).permutation(60) * 30)]
+    df = spark.createDataFrame(pts, "id long, x float, y float")
+    assert {r.id: r.cluster_id for r in greedy.greedy_steps(df, 40.0, 2, 20).collect()} == brute_by_id(pts, 40.0, 2)
+
+
 def flood(cells):
     """The connected sets of some cells."""
     left, out = set(cells), []
