@@ -252,7 +252,7 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     for g in giant:
         is_giant = is_giant | ((F.col("part.cx") == g["cx"]) & (F.col("part.cy") == g["cy"]))
     dealt = labelled.filter(~is_giant).groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
-    small = dealt.applyInPandas(sets, result)
+    small = stored(dealt.applyInPandas(sets, result), "small")  # read more than once by what follows
     if not giant:
         return small
     large = stored(labelled.filter(is_giant).select("id", "x", "y"), "large") if order == "id" else labelled.filter(is_giant).select("id", "x", "y")

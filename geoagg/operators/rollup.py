@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoagg.functions import projection as P
@@ -45,10 +45,12 @@ def metadata_rows(grouped: DataFrame, metadata: dict[str, str]) -> DataFrame:
     """
     text = {"s": lambda c: c.cast("string"), "n": texts.shortest, "b": lambda c: c.cast("string")}
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("type"), text[t](F.col(k)).alias("value")) for k, t in metadata.items()])
-    rows = grouped.select("cluster_id", "group_size", "grouped", F.explode(entries).alias("e")).select("cluster_id", "group_size", "grouped", "e.*").filter(F.col("value").isNotNull())
+    # dealt by cluster once, before the rows are multiplied: both counts are taken where the rows lie
+    dealt = grouped.select("cluster_id", "group_size", "grouped", *metadata).repartition("cluster_id")
+    rows = dealt.select("cluster_id", "group_size", "grouped", F.explode(entries).alias("e")).select("cluster_id", "group_size", "grouped", "e.*").filter(F.col("value").isNotNull())
     counts = rows.groupBy("cluster_id", "group_size", "grouped", "key", "type", "value").agg(F.count("*").alias("n"))
-    totals = counts.groupBy("cluster_id", "key").agg(F.sum("n").alias("total"))
-    return counts.join(totals, ["cluster_id", "key"]).select("cluster_id", F.col("group_size").alias("count"), "key", F.when(F.col("grouped"), "map").otherwise("single").alias("kind"), "type", "value", (F.col("n") / F.col("total")).alias("freq"))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("cluster_id", "key")))
+    return counts.select("cluster_id", F.col("group_size").alias("count"), "key", F.when(F.col("grouped"), "map").otherwise("single").alias("kind"), "type", "value", (F.col("n") / F.col("total")).alias("freq"))
 
 
 def nested_rollup(clusters: DataFrame, group: Column, metrics: list[str]) -> DataFrame:

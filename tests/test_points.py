@@ -67,6 +67,16 @@ def test_frequencies_ignore_points_without_the_key(spark):
     assert {(r.key, r.value): r.freq for r in rows} == {("type", "store"): 1.0, ("city", "Boston"): 0.5, ("city", "New York"): 0.5}
 
 
+def test_metadata_is_dealt_once(spark):
+    """One exchange by cluster, before the rows are multiplied by their keys."""
+    grouped = spark.range(100).selectExpr("id", "id % 7 as cluster_id", "10L as group_size", "true as grouped", "string(id % 3) as a", "double(id) as b")
+    rows = rollup.metadata_rows(grouped, {"a": "s", "b": "n"})
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan[plan.index("Initial Plan") :].count("Exchange") == 1 if "Initial Plan" in plan else plan.count("Exchange") == 1
+    got = rows.filter("key = 'a'").groupBy("cluster_id").agg(F.sum("freq")).collect()
+    assert len(got) == 7 and all(abs(r[1] - 1) < 1e-9 for r in got)
+
+
 def brute(pts, radius, least):
     order, free, seed = sorted(pts, key=lambda p: (p[1], p[0])), {p[0] for p in pts}, {}
     r = np.float32(radius)
