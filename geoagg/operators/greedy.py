@@ -5,10 +5,10 @@ more with itself, else stays alone and leaves them free. Points whose cells are
 occupied cells are dealt to tasks whole, many small ones to one task. Cells are labelled in blocks, and the blocks' edges joined.
 
 A set of cells with more than ``MAX_GROUP`` points is not handed to one task at once. By x it is swept in strips, one after the
-other: a strip's task gets the strip, the points the last one could not decide and the groups' seeds within the radius of the
-strip. By id the first points are swept as far as they decide, and all others within the radius of their seeds are taken by many
-tasks at once; where that decides little, the rest is solved in rounds: in a round every free point that is the first among the
-free ones within two radii is decided. All ways give what the sequential visit gives.
+other, in one task that reads the points by x: it keeps the strip, the points the last one could not decide and the groups' seeds
+within the radius of the strip. By id the first points are swept as far as they decide, and all others within the radius of their
+seeds are taken by many tasks at once; where that decides little, the rest is solved in rounds: in a round every free point that is
+the first among the free ones within two radii is decided. All ways give what the sequential visit gives.
 """
 
 from __future__ import annotations
@@ -54,21 +54,33 @@ def visit(x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_po
     limit, reach = r * r, float(radius) * SLACK
     # rows of cells, by x within a row: what a point may take lies in three runs of rows
     row = np.floor(y.astype(np.float64) / reach).astype(np.int64)
-    at = np.lexsort((x, row))
+    row -= row.min(initial=0)
+    by_x = bool((np.diff(x[order]) >= 0).all())  # then nothing to the left is free at a visit
+    if by_x:
+        narrow = row.astype(np.uint16) if row.max(initial=0) < 1 << 16 else row
+        at = order[np.argsort(narrow[order], kind="stable")]
+    else:
+        at = np.lexsort((x, row))
     x, y, row, rank = x[at], y[at], row[at], np.empty(n, np.int64)
     rank[order] = np.arange(n)
     rank = rank[at]
-    by_x = bool((np.diff(x[np.argsort(rank)]) >= 0).all())  # then nothing to the left is free at a visit
-    stride = float(x.max(initial=0)) - float(x.min(initial=0)) + 4 * reach
-    place = (row - row.min(initial=0)) * stride + (x.astype(np.float64) - float(x.min(initial=0)))
-    runs = []
-    for d in (-stride, 0.0, stride):
-        back = reach * 0.001 if by_x else reach
-        runs.append((np.searchsorted(place, place + (d - back), "left"), np.searchsorted(place, place + (d + reach), "right")))
-    candidates = sum(e - s for s, e in runs)
+    left = float(x.min(initial=0))
+    stride = float(x.max(initial=0)) - left + 4 * reach
+    place = row * stride + (x.astype(np.float64) - left)
+    back = reach * 0.001 if by_x else reach
+    edges = np.array([d + e for d in (-stride, 0.0, stride) for e in (-back, reach)])
+
+    def runs_of(where):
+        return [(np.searchsorted(place, where + edges[k], "left"), np.searchsorted(place, where + edges[k + 1], "right")) for k in (0, 2, 4)]
+
+    some = place[:: max(n // 4096, 1)]
+    listed = sum((e - s).sum() for s, e in runs_of(some)) <= FEW_NEAR * len(some)
+    if listed:  # a few points' candidates do not show a dense spot elsewhere
+        runs = runs_of(place)
+        listed = sum(int((e - s).sum()) for s, e in runs) <= FEW_NEAR * n
     seed, leads, free, stop = np.arange(n), np.zeros(n, bool), np.ones(n, bool) if taken is None else ~taken[at], n
     unsure = np.zeros(n, bool) if sure is None else ~sure[at]
-    if candidates.sum() <= FEW_NEAR * n:
+    if listed:
         pairs = []
         for s, e in runs:
             size = e - s
@@ -99,21 +111,25 @@ def visit(x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_po
                 break
         seed, free = np.array(heads, np.int64), np.frombuffer(bytes(open_), bool)
     else:
-        todo = np.flatnonzero((candidates >= min_points) | unsure)
-        todo = todo[np.argsort(rank[todo])]
-        for i in todo:
-            if not free[i]:
+        index, doubtful = np.arange(n), bool(unsure.any())
+        open_ = memoryview(free.view(np.uint8))
+        for i in np.argsort(rank).tolist():
+            if not open_[i]:
                 continue
-            near = np.concatenate([np.flatnonzero(free[s[i] : e[i]]) + s[i] for s, e in runs])
+            a, b, c, d, e, f = place.searchsorted(edges + place[i]).tolist()
+            near = np.concatenate((index[a:b], index[c:d], index[e:f]))
+            near = near[free[near]]
             dx, dy = x[near] - x[i], y[near] - y[i]
-            near = near[(rank[near] >= rank[i]) & (np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)]
+            near = near[(np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)]  # what was visited is not free any more
             if len(near) >= min_points:
                 seed[near] = i
                 free[near] = False
                 leads[i] = True
-            elif unsure[i]:
+            elif doubtful and unsure[i]:
                 stop = rank[i]
                 break
+            else:
+                open_[i] = 0
     decided = ~free | (rank < stop)
     out = tuple(np.empty_like(v) for v in (seed, leads, decided))
     for o, v in zip(out, (at[seed], leads, decided), strict=True):
@@ -246,17 +262,23 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     sizes = stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
-    giant = [r["part"] for r in sizes.filter(F.col("n") > max_group).select("part").collect()]  # at most rows / max_group
+    giant = sizes.filter(F.col("n") > max_group).select("part.*", "n").collect()  # at most rows / max_group
     labelled = points.join(parts, ["cx", "cy"])
     is_giant = F.lit(False)
     for g in giant:
         is_giant = is_giant | ((F.col("part.cx") == g["cx"]) & (F.col("part.cy") == g["cy"]))
-    dealt = labelled.filter(~is_giant).groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
-    small = stored(dealt.applyInPandas(sets, result), "small")  # read more than once by what follows
+    small = None
+    if sum(g["n"] for g in giant) < total or not giant:
+        dealt = labelled.filter(~is_giant).groupBy(F.pmod(F.xxhash64("part"), F.lit(tasks)).alias("task"))
+        small = stored(dealt.applyInPandas(sets, result), "small")  # read more than once by what follows
     if not giant:
         return small
-    large = stored(labelled.filter(is_giant).select("id", "x", "y"), "large") if order == "id" else labelled.filter(is_giant).select("id", "x", "y")
-    return small.unionByName((greedy_strips if order == "x" else greedy_steps)(large, radius, min_points))
+    if small is None:
+        return (greedy_strips if order == "x" else greedy_steps)(points, radius, min_points)
+    large = labelled.filter(is_giant).select("id", "x", "y")
+    if order == "x":
+        return small.unionByName(greedy_strips(large, radius, min_points))
+    return small.unionByName(greedy_steps(stored(large, "large"), radius, min_points))
 
 
 _SWEPT = "id long, cluster_id long, x float, y float, leads boolean"
@@ -290,22 +312,48 @@ def _decided(tables: list[DataFrame]) -> DataFrame:
 
 
 def greedy_strips(points: DataFrame, radius: float, min_points: int, strip: int | None = None) -> DataFrame:
-    """``greedy_groups`` by x, strip by strip of about ``strip`` points. Each point goes to a task once, or again if it lies within
-    the radius of the strip's end and is still free there."""
-    count = -(-points.count() // (strip or STRIP))
-    points = stored(points.repartitionByRange(max(count, 1), "x").sortWithinPartitions("x"), "strips")
-    edges = sorted(set(points.approxQuantile("x", [i / count for i in range(1, count)], 0.1 / count))) if count > 1 else []
-    tables, rows = [], []
-    for low, high in zip([-np.inf, *edges], [*edges, np.inf], strict=True):
-        part = points.filter((F.col("x") >= F.lit(low).cast("float")) & (F.col("x") < F.lit(high).cast("float"))) if high < np.inf else points.filter(F.col("x") >= F.lit(low).cast("float"))
-        if tables:
-            part = part.unionByName(tables[-1].filter(F.col("cluster_id").isNull()).select("id", "x", "y"))
-        tables.append(stored(_swept(part, radius, min_points, "x", _seeds(rows), high), "swept"))
-        if high < np.inf:
-            near = high - radius * SLACK
-            rows = [row for row in rows if row["x"] >= near] + tables[-1].filter(F.col("leads") & (F.col("x") >= near)).select("id", "x", "y").orderBy("x", "id").collect()
-    dropped(points)
-    return _decided(tables)
+    """``greedy_groups`` by x in one task, which reads the points by x and sweeps about ``strip`` of them at once. It keeps those that
+    lie within the radius of the strip's end and are still free there, and the groups' seeds in that margin."""
+    size = strip or STRIP
+
+    def swept(frames):
+        import pandas as pd
+
+        waiting, seeds, new, first = [], _seeds([]), 0, -np.inf  # first: the least x of the points that no strip has had
+
+        def flush(end):
+            nonlocal waiting, seeds, new
+            ids, x, y = (np.concatenate([part[k] for part in waiting]) for k in range(3))
+            here = np.searchsorted(x, np.float32(end), "left") if end < np.inf else len(x)  # more points at the end may follow
+            late = ids[here:], x[here:], y[here:]
+            by = np.lexsort((ids[:here], x[:here]))
+            ids, x, y = ids[by], x[by], y[by]
+            before = np.full(here, -1)
+            if len(seeds["x"]):
+                reached = np.searchsorted(x, np.float32(seeds["x"].max() + radius * SLACK), "right")
+                before[:reached] = first_seed(x[:reached], y[:reached], seeds, radius)
+            seed, leads, decided = visit(x, y, np.arange(here), radius, min_points, x.astype(np.float64) + radius * SLACK < end, before >= 0)
+            own = ids[seed]
+            own[before >= 0] = seeds["id"][before[before >= 0]]
+            waiting, new = [tuple(v[~decided] for v in (ids, x, y)), late], len(late[0])
+            old = seeds["x"] >= end - radius * SLACK
+            leads &= x >= end - radius * SLACK
+            seeds = {c: np.concatenate((seeds[c][old], v[leads])) for c, v in zip(seeds, (ids, x, y), strict=True)}
+            return pd.DataFrame({"id": ids[decided], "cluster_id": own[decided]})
+
+        for pdf in frames:
+            if len(pdf):
+                waiting.append((pdf["id"].to_numpy(), pdf["x"].to_numpy(np.float32), pdf["y"].to_numpy(np.float32)))
+                new += len(pdf)
+            if new >= size and waiting[-1][1][-1] > first:
+                yield flush(float(waiting[-1][1][-1]))
+                first = float(waiting[-1][1][0])
+        if waiting:
+            yield flush(np.inf)
+
+    # by one column, which is sorted faster; ties are put by id above
+    by_x = points.select("id", "x", "y").repartition(1).sortWithinPartitions("x")
+    return stored(by_x.mapInPandas(swept, "id long, cluster_id long"), "swept")
 
 
 def greedy_steps(points: DataFrame, radius: float, min_points: int, step: int | None = None) -> DataFrame:
