@@ -30,9 +30,10 @@ def flat_features(clusters: DataFrame, metrics: list[str], metadata: DataFrame |
         rows = shares.unionByName(single).groupBy(F.col("cluster_id").alias("id")).agg(F.collect_list("key").alias("keys"), F.collect_list("v").alias("values"))
         clusters = clusters.join(rows, "id", "left")
         maps.append(F.when(F.col("keys").isNotNull(), F.map_from_arrays("keys", "values")).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))))
-    entries = F.concat(*[F.map_entries(m) for m in maps])
+    # a column of its own: as an expression it would be built again for each of its entries
+    clusters = clusters.select("id", "lng", "lat", F.concat(*[F.map_entries(m) for m in maps]).alias("entries"))
     # later names win: an entry stays if no later one has its name
-    last = F.filter(entries, lambda e, i: F.size(F.filter(entries, lambda o, j: (j > i) & (o["key"] == e["key"]))) == 0)
+    last = F.filter("entries", lambda e, i: F.size(F.filter("entries", lambda o, j: (j > i) & (o["key"] == e["key"]))) == 0)
     feature = F.struct(F.lit("Feature").alias("type"), _geometry().alias("geometry"), F.map_from_entries(last).alias("properties"))
     return clusters.select("id", F.to_json(feature).alias("feature"))
 

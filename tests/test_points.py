@@ -291,6 +291,14 @@ def test_geojson_shapes(spark):
     assert len(json.loads(geojson.collection(service).first()["collection"])["features"]) == 2
 
 
+def test_later_names_win_and_entries_are_built_once(spark):
+    rows = spark.createDataFrame([(1, 2, 0.0, 0.0, 7.0, 8.0)], "id long, count long, lng float, lat float, cluster double, value double")
+    meta = spark.createDataFrame([(1, 2, "value", "map", "s", "x", 1.0)], "cluster_id long, count long, key string, kind string, type string, value string, freq double")
+    features = geojson.flat_features(rows, ["cluster", "value"], meta)
+    assert json.loads(features.first()["feature"])["properties"] == {"cluster": 7.0, "cluster_id": 1, "point_count": 2, "value": {"x": 1.0}}
+    assert features._jdf.queryExecution().optimizedPlan().toString().count("map_from_arrays(") == 1
+
+
 def test_save_and_load(spark, tmp_path):
     df = points(spark, [(i, i / 10.0, -i / 10.0, float(i)) for i in range(50)])
     store.save(df, str(tmp_path / "d"), TWO)
