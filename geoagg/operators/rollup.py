@@ -10,14 +10,25 @@ from geoagg.functions import texts
 from geoagg.operators.greedy import MAX_GROUP, greedy_groups
 from geoagg.operators.viewport import viewport
 from geoagg.options import Bounds, ClusterOptions
+from geoagg.sources.scratch import stored
 
 
-def members(points: DataFrame, bounds: Bounds, zoom: int, options: ClusterOptions = ClusterOptions(), order: str = "x", wrap: bool = False, max_group: int = MAX_GROUP) -> DataFrame:
-    """The points of a viewport with x, y, cluster_id (the seed's id), group_size and ``grouped`` (taken as a group, not left alone)."""
+#: Rows up to which the clusters' sizes are sent to all.
+FEW_SIZES = 200_000
+
+
+def members(points: DataFrame, bounds: Bounds, zoom: int, options: ClusterOptions = ClusterOptions(), order: str = "x", wrap: bool = False, max_group: int = MAX_GROUP, sized: bool = True) -> DataFrame:
+    """The points of a viewport with x, y, cluster_id (the seed's id) and, if ``sized``, group_size and ``grouped`` (taken as a group,
+    not left alone)."""
     inside = viewport(points.dropDuplicates(["id"]), bounds, zoom, options, wrap)
     groups = greedy_groups(inside, options.radius, options.min_points, order, max_group)
-    sizes = groups.groupBy("cluster_id").agg(F.count("*").alias("group_size"))
-    return inside.join(groups, "id").join(sizes, "cluster_id").withColumn("grouped", F.col("group_size") >= options.min_points)
+    # where few columns are read, the planner takes either side for small and would send all points through the driver
+    out = inside.hint("merge").join(groups.hint("merge"), "id")
+    if not sized:
+        return out
+    sizes = stored(groups.groupBy("cluster_id").agg(F.count("*").alias("group_size")), "sizes")
+    sizes = F.broadcast(sizes) if sizes.count() <= FEW_SIZES else sizes.hint("merge")
+    return out.join(sizes, "cluster_id").withColumn("grouped", F.col("group_size") >= options.min_points)
 
 
 def exact_sum(c: Column) -> Column:

@@ -45,3 +45,11 @@ def test_batches_have_views_and_zooms(spark):
     plain = {r.view_id: r.n for r in QUERIES["batch_viewports"](spark, SF).collect()}
     assert all(r.n == plain[v] for (v, _), r in rows.items())
     assert all(abs(rows[v, 9].mean_x / rows[v, 2].mean_x - 128) < 0.01 for v in plain)
+
+
+@pytest.mark.parametrize("name", ["cluster_members_all", "first_clusters_all", "summary_counts_all", "greedy_input_order_all"])
+def test_points_are_not_sent_to_all(spark, name):
+    """A query that reads few columns makes a side of the join by id look small; all points would go through the driver."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    join = [line for line in plan.splitlines() if "Join Inner, (id#" in line]
+    assert len(join) == 1 and "strategy=merge" in join[0]
