@@ -110,6 +110,9 @@ def visit(x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_po
                 stop = rank[i]
                 break
         seed, free = np.array(heads, np.int64), np.frombuffer(bytes(open_), bool)
+    elif by_x:
+        rows_at_once(x, y, row, place, stride, rank, seed, leads, free, unsure, radius, min_points)
+        stop = 0  # what it has not reached is free
     else:
         index, doubtful = np.arange(n), bool(unsure.any())
         open_ = memoryview(free.view(np.uint8))
@@ -137,6 +140,66 @@ def visit(x: np.ndarray, y: np.ndarray, order: np.ndarray, radius: float, min_po
     return out
 
 
+def rows_at_once(x, y, row, place, stride: float, rank, seed, leads, free, unsure, radius: float, min_points: int) -> None:
+    """The visit by x, many rows at once, for points by row and by rank in it; fills ``seed``, ``leads`` and ``free``.
+
+    A row's head is its first free point. What can change a head's group lies within two radii, so within two rows: a head that
+    comes before those of two rows on each side is decided, and no other such head takes from the same rows. A head that is unsure
+    and finds too few waits, and the rows around it with it.
+    """
+    n, r = len(x), np.float32(radius)
+    if not n:
+        return
+    limit, reach, never = r * r, float(radius) * SLACK, len(x)
+    used, start = np.unique(row, return_index=True)
+    # rows side by side, with two empty ones for a gap and at both ends
+    spot = np.cumsum(np.minimum(np.diff(used, prepend=used[:1]).astype(np.int64), 3)) + 2
+    rows = int(spot[-1]) + 3
+    at, end, head, waits = np.full(rows, n), np.full(rows, n), np.full(rows, never), np.zeros(rows, bool)
+    at[spot], end[spot] = start, np.append(start[1:], n)
+    key, open_ = np.append(rank, never), np.append(free, True)  # one more at the end, where every search stops
+
+    def advance(which):
+        left, width = which, 8
+        while len(left):
+            block = open_[np.minimum(at[left][:, None] + np.arange(width), n)]
+            found = block.any(1)
+            at[left] = np.minimum(at[left] + np.where(found, block.argmax(1), width), end[left])
+            left = left[~found & (at[left] < end[left])]
+            width = min(2 * width, 4096)
+        head[which] = np.where(at[which] < end[which], key[at[which]], never)
+
+    advance(spot)
+    steps = np.array([-1, 0, 1])
+    while True:
+        near = np.minimum(np.minimum(head[:-4], head[1:-3]), np.minimum(head[3:-1], head[4:]))
+        todo = np.flatnonzero((head[2:-2] < near) & ~waits[2:-2]) + 2
+        if not len(todo):
+            break
+        p = at[todo]
+        around = todo[:, None] + steps
+        first = at[around].ravel()
+        size = np.maximum(place.searchsorted((place[p][:, None] + (steps * stride + reach)).ravel(), "right") - first, 0)
+        own = np.repeat(np.arange(len(p)), size.reshape(-1, 3).sum(1))
+        i = np.arange(len(own)) - np.repeat(np.cumsum(size) - size - first, size)
+        still = open_[i]
+        i, own = i[still], own[still]
+        dx, dy = x[i] - x[p][own], y[i] - y[p][own]
+        met = (np.abs(dx) <= r) & (dx * dx + dy * dy <= limit)
+        i, own = i[met], own[met]
+        takes = np.bincount(own, minlength=len(p)) >= min_points
+        late = ~takes & unsure[p]
+        waits[todo[late]] = True
+        taken = takes[own]
+        seed[i[taken]] = p[own[taken]]
+        leads[p[takes]] = True
+        open_[i[taken]] = False
+        open_[p[~late]] = False
+        moved = around[~late].ravel()
+        advance(moved[at[moved] < end[moved]])
+    free[:] = open_[:n]
+
+
 def first_seed(x: np.ndarray, y: np.ndarray, seeds: dict[str, np.ndarray], radius: float) -> np.ndarray:
     """For each point the index of the first of some seeds (x, y; in the order of their visits) within the radius, or -1."""
     r, size = np.float32(radius), float(radius) * SLACK

@@ -170,6 +170,21 @@ def test_strips_are_read_in_one_pass(spark, monkeypatch):
     assert written == ["swept"] * 3
 
 
+@pytest.mark.parametrize("least", [1, 2, 4])
+def test_rows_at_once_equal_the_sequential_visit(monkeypatch, least):
+    """Heads of rows that no other head can reach are visited together: few rounds, the groups of the visit one by one."""
+    monkeypatch.setattr(greedy, "FEW_NEAR", -1)
+    calls = []
+    monkeypatch.setattr(greedy, "rows_at_once", lambda *a, f=greedy.rows_at_once: calls.append(len(a[0])) or f(*a))
+    rng = np.random.default_rng(9)
+    for high, radius in ((300, 25.0), (300, 4.0), (30, 9.0), (5000, 60.0)):
+        x, y = rng.integers(0, 300, 400).astype(np.float32), rng.integers(0, high, 400).astype(np.float32)
+        ids = rng.permutation(400)
+        got = sweep(ids, x, y, np.lexsort((ids, x)), radius, least)
+        assert dict(zip(ids.tolist(), got.tolist(), strict=True)) == brute([(int(i), float(a), float(b)) for i, a, b in zip(ids, x, y, strict=True)], radius, least)
+    assert calls == [400] * 4
+
+
 def test_sparse_steps_end_in_rounds(spark):
     pts = [(i, float(x), 0.0) for i, x in enumerate(np.random.default_rng(3).permutation(60) * 30)]
     df = spark.createDataFrame(pts, "id long, x float, y float")
