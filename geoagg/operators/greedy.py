@@ -25,6 +25,8 @@ from .neighbors import SLACK, celled, within
 MAX_GROUP = 1_000_000
 #: Points of a strip, or of a step by id, of a larger set.
 STRIP = 1_000_000
+#: Points of one row of bytes that the task of a larger set gives back.
+PACK = 50_000
 #: Points of the many small sets that one task sweeps together; sets do not meet, so sweeping them at once changes nothing.
 TASK_POINTS = 100_000
 #: Points that one task sweeps without a look at their sets, which costs more than it saves.
@@ -321,8 +323,9 @@ def greedy_groups(projected: DataFrame, radius: float, min_points: int, order: s
     result = "id long, cluster_id long"
     if points.count() <= min(FEW_POINTS, max_group):
         return points.groupBy(F.lit(0).alias("task")).applyInPandas(sets, result)
-    parts = connected_cells(points)
-    sizes = stored(parts.join(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
+    cells = stored(points.groupBy("cx", "cy").agg(F.count("*").alias("n")), "counted")  # the points are read once for this
+    parts = connected_cells(cells)
+    sizes = stored(parts.join(cells, ["cx", "cy"]).groupBy("part").agg(F.sum("n").alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     tasks = max(projected.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_POINTS))
     giant = sizes.filter(F.col("n") > max_group).select("part.*", "n").collect()  # at most rows / max_group
@@ -374,23 +377,51 @@ def _decided(tables: list[DataFrame]) -> DataFrame:
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths).filter(F.col("cluster_id").isNotNull()).select("id", "cluster_id")
 
 
+def _packed(points: DataFrame) -> DataFrame:
+    """(x0, id0, id, x, y): points sorted by (x, id) by many tasks, a batch's columns as bytes in one row; rows follow by (x0, id0)."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                ids, x, y = (b.column(c).to_numpy(zero_copy_only=False).astype(t) for c, t in (("id", np.int64), ("x", np.float32), ("y", np.float32)))
+                yield pa.RecordBatch.from_pydict({"x0": pa.array(x[:1]), "id0": pa.array(ids[:1]), **{c: pa.array([v.tobytes()]) for c, v in (("id", ids), ("x", x), ("y", y))}})
+
+    by_x = points.select("id", "x", "y").repartitionByRange("x").sortWithinPartitions("x", "id")
+    return by_x.mapInArrow(pack, "x0 float, id0 long, id binary, x binary, y binary")
+
+
+def _unpacked(table: DataFrame) -> DataFrame:
+    """(id, cluster_id) of rows that hold both as bytes."""
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for row in b.to_pylist():
+                yield pa.RecordBatch.from_pydict({c: pa.array(np.frombuffer(row[c], np.int64)) for c in ("id", "cluster_id")})
+
+    return table.repartition(table.sparkSession.sparkContext.defaultParallelism).mapInArrow(unpack, "id long, cluster_id long")
+
+
 def greedy_strips(points: DataFrame, radius: float, min_points: int, strip: int | None = None) -> DataFrame:
     """``greedy_groups`` by x in one task, which reads the points by x and sweeps about ``strip`` of them at once. It keeps those that
-    lie within the radius of the strip's end and are still free there, and the groups' seeds in that margin."""
+    lie within the radius of the strip's end and are still free there, and the groups' seeds in that margin. The points are sorted
+    by many tasks and come and go as rows of bytes, so that the one task has the sweep only."""
     size = strip or STRIP
 
-    def swept(frames):
-        import pandas as pd
+    def swept(batches):
+        import pyarrow as pa
 
         waiting, seeds, new, first = [], _seeds([]), 0, -np.inf  # first: the least x of the points that no strip has had
 
         def flush(end):
             nonlocal waiting, seeds, new
-            ids, x, y = (np.concatenate([part[k] for part in waiting]) for k in range(3))
+            ids, x, y = (np.concatenate([part[k] for part in waiting]) for k in range(3))  # by x and id
             here = np.searchsorted(x, np.float32(end), "left") if end < np.inf else len(x)  # more points at the end may follow
             late = ids[here:], x[here:], y[here:]
-            by = np.lexsort((ids[:here], x[:here]))
-            ids, x, y = ids[by], x[by], y[by]
+            ids, x, y = ids[:here], x[:here], y[:here]
             before = np.full(here, -1)
             if len(seeds["x"]):
                 reached = np.searchsorted(x, np.float32(seeds["x"].max() + radius * SLACK), "right")
@@ -402,21 +433,22 @@ def greedy_strips(points: DataFrame, radius: float, min_points: int, strip: int
             old = seeds["x"] >= end - radius * SLACK
             leads &= x >= end - radius * SLACK
             seeds = {c: np.concatenate((seeds[c][old], v[leads])) for c, v in zip(seeds, (ids, x, y), strict=True)}
-            return pd.DataFrame({"id": ids[decided], "cluster_id": own[decided]})
-
-        for pdf in frames:
-            if len(pdf):
-                waiting.append((pdf["id"].to_numpy(), pdf["x"].to_numpy(np.float32), pdf["y"].to_numpy(np.float32)))
-                new += len(pdf)
-            if new >= size and waiting[-1][1][-1] > first:
-                yield flush(float(waiting[-1][1][-1]))
-                first = float(waiting[-1][1][0])
+            ids, own = ids[decided], own[decided]
+            for i in range(0, len(ids), PACK):
+                yield pa.RecordBatch.from_pydict({c: pa.array([v[i : i + PACK].tobytes()]) for c, v in (("id", ids), ("cluster_id", own))})
+
+        for b in batches:
+            for row in b.to_pylist():
+                waiting.append((np.frombuffer(row["id"], np.int64), np.frombuffer(row["x"], np.float32), np.frombuffer(row["y"], np.float32)))
+                new += len(waiting[-1][0])
+                if new >= size and waiting[-1][1][-1] > first:
+                    yield from flush(float(waiting[-1][1][-1]))
+                    first = float(waiting[-1][1][0])
         if waiting:
-            yield flush(np.inf)
+            yield from flush(np.inf)
 
-    # by one column, which is sorted faster; ties are put by id above
-    by_x = points.select("id", "x", "y").repartition(1).sortWithinPartitions("x")
-    return stored(by_x.mapInPandas(swept, "id long, cluster_id long"), "swept")
+    packed = _packed(points).repartition(1).sortWithinPartitions("x0", "id0").select("id", "x", "y")
+    return _unpacked(stored(packed.mapInArrow(swept, "id binary, cluster_id binary"), "swept"))
 
 
 def greedy_steps(points: DataFrame, radius: float, min_points: int, step: int | None = None) -> DataFrame:

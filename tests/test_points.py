@@ -185,6 +185,15 @@ def test_rows_at_once_equal_the_sequential_visit(monkeypatch, least):
     assert calls == [400] * 4
 
 
+def test_points_of_strips_are_packed_by_many_tasks(spark):
+    """The one task of the strips gets rows of bytes that other tasks have sorted by x and id."""
+    rng = np.random.default_rng(10)
+    pts = [(int(i), float(x), float(y)) for i, x, y in zip(rng.permutation(900), rng.integers(0, 40, 900), rng.integers(0, 200, 900), strict=True)]
+    rows = greedy._packed(spark.createDataFrame(pts, "id long, x float, y float")).orderBy("x0", "id0").collect()
+    back = [t for r in rows for t in zip(*[np.frombuffer(r[c], d).tolist() for c, d in (("id", np.int64), ("x", np.float32), ("y", np.float32))], strict=True)]
+    assert back == sorted(pts, key=lambda p: (p[1], p[0]))
+
+
 def test_sparse_steps_end_in_rounds(spark):
     pts = [(i, float(x), 0.0) for i, x in enumerate(np.random.default_rng(3).permutation(60) * 30)]
     df = spark.createDataFrame(pts, "id long, x float, y float")
