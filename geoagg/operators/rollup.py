@@ -60,7 +60,7 @@ def metadata_rows(grouped: DataFrame, metadata: dict[str, str]) -> DataFrame:
     dealt = grouped.select("cluster_id", "group_size", "grouped", *metadata).repartition("cluster_id")
     rows = dealt.select("cluster_id", "group_size", "grouped", F.explode(entries).alias("e")).select("cluster_id", "group_size", "grouped", "e.*").filter(F.col("value").isNotNull())
     counts = rows.groupBy("cluster_id", "group_size", "grouped", "key", "type", "value").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("cluster_id", "key")))
+    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("cluster_id", "key", "type")))  # a key has one type
     return counts.select("cluster_id", F.col("group_size").alias("count"), "key", F.when(F.col("grouped"), "map").otherwise("single").alias("kind"), "type", "value", (F.col("n") / F.col("total")).alias("freq"))
 
 

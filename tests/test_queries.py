@@ -53,3 +53,10 @@ def test_points_are_not_sent_to_all(spark, name):
     plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     join = [line for line in plan.splitlines() if "Join Inner, (id#" in line]
     assert len(join) == 1 and "strategy=merge" in join[0]
+
+
+def test_times_are_not_counted_for_ranges(spark):
+    """Each point has a time of its own: for ranges of numbers they are left out before the values are counted."""
+    lines = QUERIES["numeric_range_all"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    window = next(i for i, line in enumerate(lines) if "Window [" in line)
+    assert any("Filter" in line and "timestamp" in line for line in lines[window:])
